@@ -28,23 +28,38 @@ def first_match(threshold: float = 0.8, autojunk: bool = True):
         from functools import lru_cache
 
         @lru_cache(maxsize=512)
-        def matcher(second: str) -> SequenceMatcher:
-            return SequenceMatcher(None, "", second, autojunk)
+        def indexed(second: str) -> tuple[SequenceMatcher, dict[str, int]]:
+            places: dict[str, int] = {}
+            for i, char in enumerate(second):
+                places[char] = places.get(char, 0) | (1 << i)
+            return SequenceMatcher(None, "", second, autojunk), places
+
+        def common_subsequence(first: str, second: str, places: dict[str, int]) -> int:
+            """Length of the longest common subsequence, a machine word of columns at a time."""
+            full = (1 << len(second)) - 1
+            row = full
+            for char in first:
+                hit = row & places.get(char, 0)
+                row = ((row + hit) | (row - hit)) & full
+            return len(second) - row.bit_count()
 
         def similar(first: str, second: str) -> bool:
             if first == second:
                 return True
-            m = matcher(second)
-            m.set_seq1(first)
-            # quick_ratio() bounds ratio() from above
-            return m.quick_ratio() > threshold and m.ratio() > threshold
+            matcher, places = indexed(second)
+            # Matched blocks form a common subsequence, so its length bounds them.
+            bound = 2.0 * common_subsequence(first, second, places)
+            if not bound > threshold * (len(first) + len(second)):
+                return False
+            matcher.set_seq1(first)
+            return matcher.ratio() > threshold
 
         def one(t, ings, dirs, ttl) -> str:
             if t is None:
                 return "none"
-            if any(similar(t, i) for i in ings):
+            if t in ings or any(similar(t, i) for i in ings):
                 return "ingredient"
-            if any(similar(t, d) for d in dirs):
+            if t in dirs or any(similar(t, d) for d in dirs):
                 return "direction"
             if ttl is not None and similar(ttl, t):
                 return "title"

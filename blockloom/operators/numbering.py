@@ -44,17 +44,13 @@ def number_within(
         Window.unboundedPreceding, -1
     )
     runs = runs.select(
-        "__part",
-        *keys,
-        "__first",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+        F.col("__part").alias("__run"),
+        *[F.col(k).alias(f"__run_{i}") for i, k in enumerate(keys)],
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
     )
+    same = F.col("__part") == F.col("__run")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__run_{i}"))
     first = start if isinstance(start, Column) else F.lit(start)
-    same = [rows["__part"] == runs["__part"]] + [rows[k].eqNullSafe(runs[k]) for k in keys]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    return rows.join(runs, condition).select(
-        *[rows[c] for c in df.columns],
-        (first.cast("bigint") + runs["__before"] + rows["__pos"] - runs["__first"]).alias(out),
-    )
+    number = first.cast("bigint") + F.col("__pos") + F.col("__shift")
+    return rows.join(runs, same).select(*df.columns, number.alias(out))

@@ -52,8 +52,10 @@ def with_grams(df: DataFrame, text: str, out: str = "grams") -> DataFrame:
 
 def term_counts(df: DataFrame, text: str) -> DataFrame:
     """(term, tf) over the corpus."""
-    terms = with_grams(df.select(text), text).select(F.explode("grams").alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("tf"))
+    # explode() would have the optimizer filter on the array's size first, and so
+    # compute the array a second time; the outer form with a null check does not.
+    terms = with_grams(df.select(text), text).select(F.explode_outer("grams").alias("term"))
+    return terms.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("tf"))
 
 
 def tfidf_vocab(df: DataFrame, text: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
@@ -106,7 +108,7 @@ def tfidf_weights(
     weights = vector_to_array("tfidf")
     terms = F.lit(vocabulary)
     return (
-        vectors.select(*keys, F.posexplode(weights).alias("__i", "weight"))
+        vectors.select(*keys, F.posexplode_outer(weights).alias("__i", "weight"))
         .where(F.col("weight") != 0)
         .select(*keys, F.element_at(terms, F.col("__i") + 1).alias("term"), "weight")
     )

@@ -44,3 +44,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage at a reliable checkpoint, so that lost executors can not change it."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on input that comes in fewer pieces than there are cores.
+
+    Input of a cluster's size has more pieces than that and is left alone; then
+    this is only a look at the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
