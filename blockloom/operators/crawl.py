@@ -154,8 +154,10 @@ def assign_ids(
     df: DataFrame, start: int = 0, key: str = "file", out: str = "out_index", name: str = "out_name"
 ) -> DataFrame:
     """Add a dense running index in key order, from start, and the file stem made of it."""
-    narrow = number_within(df.select(key), [], [key], out, start)
-    return df.join(narrow, key).withColumn(name, F.format_string(FILE_PATTERN, F.col(out)))
+    numbered = number_within(df.select(key), [], [key], out, start)
+    if df.columns != [key]:
+        numbered = df.join(numbered, key)
+    return numbered.withColumn(name, F.format_string(FILE_PATTERN, F.col(out)))
 
 
 def rate_limit_plan(

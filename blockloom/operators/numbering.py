@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.session import checkpointed
+from blockloom.session import stored
 
 _LOCAL_BITS = 33  # monotonically_increasing_id(): partition in the upper 31 bits
 
@@ -29,12 +29,12 @@ def number_within(
     """Number the rows of every group start, start+1, ... in the given order.
 
     order should be unique within a group; without keys the numbering is global.
-    The sorted rows are checkpointed, because both passes must see the same
+    The sorted rows are stored, because both passes must see the same
     partitions: pass narrow rows and join wide ones back by key.
     """
     keys, order = list(keys), list(order)
     ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    rows = checkpointed(ranged.withColumn("__pos", F.monotonically_increasing_id()))
+    rows = stored(ranged.withColumn("__pos", F.monotonically_increasing_id()))
     rows = rows.withColumn("__part", F.shiftright("__pos", _LOCAL_BITS))
 
     runs = rows.groupBy("__part", *keys).agg(

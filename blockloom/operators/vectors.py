@@ -7,6 +7,8 @@ its own row and the document frequencies only, so weighting shuffles nothing.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -25,10 +27,11 @@ from pyspark.sql import functions as F
 
 from blockloom.functions.text import WORD
 from blockloom.operators.features import STRUCTURED
+from blockloom.session import stored
 
 # Text vectoriser defaults.
 MAX_TERMS = 500
-TOKEN_PATTERN = WORD + "{2,}"
+TOKEN_PATTERN = WORD + "{2,}+"
 
 _GRAMS_SQL = (
     "concat({tokens}, zip_with("
@@ -69,46 +72,55 @@ def _idf(n_docs: int, doc_freq: list[float]) -> list[float]:
     return [log((1 + n_docs) / (1 + d)) + 1 for d in doc_freq]
 
 
-def fit_text(
-    df: DataFrame, text: str = "text", max_terms: int = MAX_TERMS, out: str = "tfidf"
-) -> list[Transformer]:
-    """Fitted tf-idf stages: words and pairs, counts, idf, L2 norm.
-
-    Two passes: the vocabulary (at most max_terms strings come to the driver)
-    and one summary vector of document frequencies.
-    """
+def fit_counts(df: DataFrame, text: str = "text", max_terms: int = MAX_TERMS) -> list[Transformer]:
+    """Stages from a text to its term counts; at most max_terms strings come to the driver."""
     vocabulary = [r["term"] for r in tfidf_vocab(df, text, max_terms).collect()]
-    grams = SQLTransformer(
-        statement=(
-            f"SELECT *, {_GRAMS_SQL.format(tokens='__tokens')} AS __grams FROM ("
-            f"SELECT *, regexp_extract_all(lower(coalesce({text}, '')), '{TOKEN_PATTERN.replace(chr(92), chr(92) * 2)}', 0)"
-            " AS __tokens FROM __THIS__)"
-        )
-    )
     if not vocabulary:
         raise ValueError("no terms in the corpus")
+    pattern = TOKEN_PATTERN.replace("\\", "\\\\")
+    words = f"regexp_extract_all(lower(coalesce({text}, '')), '{pattern}', 0)"
+    grams = SQLTransformer(
+        statement=f"SELECT *, {_GRAMS_SQL.format(tokens='__tokens')} AS __grams"
+        f" FROM (SELECT *, {words} AS __tokens FROM __THIS__)"
+    )
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__grams", outputCol="__counts")
-    counted = counter.transform(grams.transform(df.select(text)))
+    return [grams, counter]
+
+
+def fit_idf(counted: DataFrame, out: str = "tfidf") -> list[Transformer]:
+    """Stages from term counts to weights of length 1: ln((1 + n) / (1 + df)) + 1 times the count."""
     row = counted.select(
         F.count("*").alias("n"), Summarizer.numNonZeros(F.col("__counts")).alias("df")
     ).first()
-    idf = ElementwiseProduct(
-        scalingVec=Vectors.dense(_idf(row["n"], list(row["df"]))), inputCol="__counts", outputCol="__weighted"
-    )
-    return [grams, counter, idf, Normalizer(p=2.0, inputCol="__weighted", outputCol=out)]
+    idf = [log((1 + row["n"]) / (1 + d)) + 1 for d in row["df"]]
+    return [
+        ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__counts", outputCol="__weighted"),
+        Normalizer(p=2.0, inputCol="__weighted", outputCol=out),
+    ]
+
+
+def fit_text(
+    df: DataFrame, text: str = "text", max_terms: int = MAX_TERMS, out: str = "tfidf"
+) -> list[Transformer]:
+    """Fitted tf-idf stages over words and pairs of words."""
+    counting = fit_counts(df, text, max_terms)
+    return [*counting, *fit_idf(PipelineModel(counting).transform(df.select(text)), out)]
 
 
 def tfidf_weights(
     df: DataFrame, keys: list[str], text: str = "text", max_terms: int = MAX_TERMS
 ) -> DataFrame:
-    """Long form (keys..., term, weight) of every non-zero weight."""
-    stages = fit_text(df, text, max_terms)
-    vocabulary = stages[1].vocabulary
-    vectors = PipelineModel(stages).transform(df.select(*keys, text))
-    weights = vector_to_array("tfidf")
-    terms = F.lit(vocabulary)
+    """Long form (keys..., term, weight) of every non-zero weight.
+
+    Splitting texts is the costly part, so the counts are stored: document
+    frequencies and weights are read off them.
+    """
+    counting = fit_counts(df, text, max_terms)
+    counted = stored(PipelineModel(counting).transform(df.select(*keys, text)).select(*keys, "__counts"))
+    vectors = PipelineModel(fit_idf(counted)).transform(counted)
+    terms = F.lit(counting[1].vocabulary)
     return (
-        vectors.select(*keys, F.posexplode_outer(weights).alias("__i", "weight"))
+        vectors.select(*keys, F.posexplode_outer(vector_to_array("tfidf")).alias("__i", "weight"))
         .where(F.col("weight") != 0)
         .select(*keys, F.element_at(terms, F.col("__i") + 1).alias("term"), "weight")
     )

@@ -9,6 +9,7 @@ from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from blockloom.operators.features import FeatureRules, block_features
 from blockloom.operators.flatten import SectionRules, html_blocks
@@ -16,7 +17,9 @@ from blockloom.operators.pairing import fuzzy_label
 from blockloom.operators.reports import classification_report
 from blockloom.operators.sampling import SEED, balance_classes, limit_blocks, limit_files, train_test_split
 from blockloom.operators.vectors import MAX_TERMS, fit_vectors
-from blockloom.session import checkpointed
+from blockloom.session import stored
+
+MAX_BROADCAST_BYTES = 64 * 2**20
 
 
 def labeled_blocks(
@@ -36,13 +39,24 @@ def labeled_blocks(
     """
     if limit is not None:
         labels = limit_files(labels, limit, key)
-    # Pages without a label are dropped before they are walked.
-    wanted = pages.select(key, html).join(labels.select(key), key, "left_semi")
-    blocks = html_blocks(wanted, key, html, rules=sections)
+    blocks = html_blocks(_labelled(pages.select(key, html), labels, key), key, html, rules=sections)
     rows = block_features(fuzzy_label(blocks, labels, key, threshold), features)
     return limit_blocks(rows, limit, (key, "idx")) if limit is not None else rows
 
 
+def _labelled(pages: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The pages worth walking, if the labels' keys are few enough to be sent to all executors.
+
+    If not, all pages: joining them would shuffle their HTML, while the join
+    that labels the blocks shuffles blocks and drops those of other pages anyway.
+    """
+    keys = labels.select(key).distinct()
+    size = keys.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 16)).first()[0]
+    if (size or 0) > MAX_BROADCAST_BYTES:
+        return pages
+    return pages.join(F.broadcast(keys), key, "left_semi")
+
+
 @dataclass
 class Trained:
     model: PipelineModel
@@ -64,12 +78,12 @@ def fit_classifier(
     rows = balanced
     for stage in [*stages, target]:
         rows = stage.transform(rows)
-    rows = checkpointed(rows.select("features", "__y"))
+    rows = stored(rows.select("features", "__y"))
     booster = GBTClassifier(
         featuresCol="features", labelCol="__y", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.1
     )
     classifier = OneVsRest(
-        classifier=booster, featuresCol="features", labelCol="__y", predictionCol="__p"
+        classifier=booster, featuresCol="features", labelCol="__y", predictionCol="__p", parallelism=4
     ).fit(rows)
     back = IndexToString(inputCol="__p", outputCol="prediction", labels=target.labels)
     return PipelineModel([*stages, classifier, back])
@@ -95,11 +109,11 @@ def train(
     """Split, balance the training part, fit, and report on the held-out part.
 
     by splits on other columns than key, e.g. the page. The labelled blocks are
-    checkpointed once: counting, sampling and fitting read them several times.
+    stored once: counting, sampling and fitting read them several times.
     """
-    rows = checkpointed(train_test_split(blocks, by or key, test, seed))
+    rows = stored(train_test_split(blocks, by or key, test, seed))
     fit_rows = rows.where("part = 'train'").drop("part")
-    balanced = checkpointed(balance_classes(fit_rows, key, label, seed=seed))
+    balanced = stored(balance_classes(fit_rows, key, label, seed=seed))
     model = fit_classifier(balanced, label, max_terms, rounds, depth, seed)
     predictions = predict(model, rows.where("part = 'test'").drop("part"))
     return Trained(model, classification_report(predictions, label), predictions)

@@ -40,10 +40,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage at a reliable checkpoint, so that lost executors can not change it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table in the shared folder.
+
+    Lost executors can not change or lose it, later passes read only the columns
+    they need, and its size is known when Spark picks a join.
+    """
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

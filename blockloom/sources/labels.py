@@ -61,6 +61,21 @@ def read_labels(
     return rows if limit_files is None else rows.orderBy("file").limit(limit_files)
 
 
+def read_packed_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Label records packed as JSON lines that carry their file stem (file).
+
+    One small file per record does not scale; this is the form for a large corpus.
+    """
+    schema = T.StructType([T.StructField("file", T.StringType()), *LABEL_SCHEMA.fields])
+    return (
+        spark.read.schema(schema)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .json(path)
+        .withColumn("firstAdded", F.try_to_timestamp("firstAdded"))
+    )
+
+
 def good_records(labels: DataFrame) -> DataFrame:
     return labels.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from blockloom.operators.crawl import assign_ids
 from blockloom.plans.curation import validate
-from blockloom.session import checkpointed
+from blockloom.session import stored
 from blockloom.sources.state import append_state, load_state, next_index
 
 
@@ -27,11 +27,11 @@ def ingest_batch(
     """
     spark = labels.sparkSession
     state = load_state(spark, state_path, before=batch)
-    outcome = checkpointed(
+    outcome = stored(
         validate(labels.dropDuplicates(["file"]), fetched, suffixes, state, retry_failed)
     )
     valid = outcome.where("status = 'valid'")
-    named = checkpointed(assign_ids(valid, next_index(spark, state_path, before=batch)))
+    named = stored(assign_ids(valid, next_index(spark, state_path, before=batch)))
     named.drop("status", "reason").write.mode("overwrite").parquet(
         f"{corpus_path.rstrip('/')}/batch={batch}"
     )

@@ -11,21 +11,52 @@ the same key and time only the first can pass, so a chunk works on distinct time
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _NEVER = -(2**62)
-_DELAYS_PER_CHUNK = 256
+_DELAYS_PER_CHUNK = 64
+_ROWS_PER_BATCH = 4096
 
 
-def _next_open(times: np.ndarray, delay: int) -> np.ndarray:
-    """For each time, the position of the first time at least delay later."""
-    return np.searchsorted(times, times + delay, side="left")
+def _same(a: tuple, b: tuple | None) -> bool:
+    return b is not None and a[1] == b[1] and (a[0] == b[0] or (pd.isna(a[0]) and pd.isna(b[0])))
+
+
+def _groups(batch) -> Iterator[tuple[tuple, int, int]]:
+    """((key, chunk), start, stop) of the runs of equal key and chunk in a sorted batch."""
+    keys, chunks = batch.column(0).to_pandas(), batch.column(1).to_numpy()
+    if not len(chunks):
+        return
+    codes = pd.factorize(keys, use_na_sentinel=False)[0]
+    edges = np.flatnonzero((codes[1:] != codes[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+    for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(chunks)]):
+        yield (keys.iat[start], int(chunks[start])), start, stop
+
+
+def _exits(times: np.ndarray, delay: int) -> tuple[list[int], list[int]]:
+    """upto, exit: opening no later than upto[i], the last time passed is exit[i].
+
+    A throttle that is closed when the chunk begins opens within one delay of
+    its first event, so only the events in that span can be the first to pass.
+    """
+    jump = np.searchsorted(times, times + delay, side="left")
+    last = np.where(jump < len(times), jump, np.arange(len(times)))
+    while True:
+        further = last[last]
+        if (further == last).all():
+            break
+        last = further
+    starts = min(int(jump[0]) + 1, len(times))
+    exits = times[last[:starts]]
+    keep = np.append(exits[1:] != exits[:-1], True)
+    return times[:starts][keep].tolist(), exits[keep].tolist()
 
 
 def throttle(
@@ -40,70 +71,123 @@ def throttle(
     """(key, ts, order, accepted): delay in seconds; order breaks ties in time."""
     micros = delay * 1_000_000
     width = micros * delays_per_chunk
-    rows = events.select(key, ts, order).withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
-    rows = rows.withColumn("__chunk", F.floor(F.col("__us") / F.lit(width)).cast("bigint"))
-    times = rows.groupBy(key, "__chunk", "__us").agg(F.min(order).alias("__first"))
-
-    key_field = T.StructField(key, events.schema[key].dataType)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.select(
+        F.col(key).alias("__key"),
+        F.floor(us / F.lit(width)).cast("bigint").alias("__chunk"),
+        us.alias("__us"),
+        F.col(order).alias("__order"),
+        F.col(ts).alias("__ts"),
+    )
+    group = ["__key", "__chunk"]
+    key_field = T.StructField("__key", events.schema[key].dataType)
     chunk_field = T.StructField("__chunk", T.LongType())
     longs = T.ArrayType(T.LongType())
+
+    def batches(schema: T.StructType, produced: Iterator[tuple]) -> Iterator:
+        """Rows to Arrow batches of bounded length."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        while chunk := list(islice(produced, _ROWS_PER_BATCH)):
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*chunk), arrow)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
     report_schema = T.StructType(
         [key_field, chunk_field, T.StructField("upto", longs), T.StructField("exit", longs)]
     )
 
-    def report(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """exit[i] is the last time passed if the throttle opens no later than upto[i]."""
-        t = np.sort(pdf["__us"].to_numpy())
-        jump = _next_open(t, micros)
-        last = np.where(jump < len(t), jump, np.arange(len(t)))
-        while True:
-            further = last[last]
-            if (further == last).all():
-                break
-            last = further
-        starts = min(int(jump[0]) + 1, len(t))
-        exits = t[last[:starts]]
-        keep = np.append(exits[1:] != exits[:-1], True)
-        return pd.DataFrame(
-            {key: [group[0]], "__chunk": [group[1]], "upto": [t[:starts][keep].tolist()], "exit": [exits[keep].tolist()]}
-        )
-
-    reports = times.groupBy(key, "__chunk").applyInPandas(report, report_schema)
+    def report(source: Iterator) -> Iterator:
+        def produced() -> Iterator[tuple]:
+            at, held = None, []
+            for batch in source:
+                times = batch.column(2).to_numpy()
+                for name, start, stop in _groups(batch):
+                    if held and not _same(name, at):
+                        yield (*at, *_exits(np.unique(np.concatenate(held)), micros))
+                        held = []
+                    at = name
+                    held.append(times[start:stop])
+            if held:
+                yield (*at, *_exits(np.unique(np.concatenate(held)), micros))
+
+        return batches(report_schema, produced())
+
+    reports = (
+        rows.select(*group, "__us").repartition(*group).sortWithinPartitions(*group)
+        .mapInArrow(report, report_schema)
+    )
 
     entry_schema = T.StructType([key_field, chunk_field, T.StructField("__opens", T.LongType())])
 
-    def chain(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Time at which the throttle opens at the start of each of the key's chunks."""
-        pdf = pdf.sort_values("__chunk")
-        opens, entries = _NEVER, []
-        for upto, exits in zip(pdf["upto"], pdf["exit"]):
-            entries.append(opens)
-            at = int(np.searchsorted(upto, opens, side="left"))
-            if at < len(upto):
-                opens = int(exits[at]) + micros
-        return pd.DataFrame({key: group[0], "__chunk": pdf["__chunk"].to_numpy(), "__opens": entries})
-
-    entries = reports.groupBy(key).applyInPandas(chain, entry_schema)
-
-    passed_schema = T.StructType([key_field, chunk_field, T.StructField("__us", T.LongType())])
-
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["__us"].to_numpy())
-        jump = _next_open(t, micros)
-        at = int(np.searchsorted(t, int(pdf["__opens"].iloc[0]), side="left"))
-        passed = []
-        while at < len(t):
-            passed.append(t[at])
-            at = int(jump[at])
-        return pd.DataFrame({key: group[0], "__chunk": group[1], "__us": np.array(passed, dtype="int64")})
-
-    passed = times.join(entries, [key, "__chunk"]).groupBy(key, "__chunk").applyInPandas(run, passed_schema)
-    winners = passed.join(times, [key, "__chunk", "__us"]).select(
-        key, "__chunk", "__us", F.col("__first").alias(order), F.lit(True).alias(out)
+    def chain(source: Iterator) -> Iterator:
+        """Time at which the throttle opens, at the start of each of a key's chunks."""
+
+        def produced() -> Iterator[tuple]:
+            at, opens = None, _NEVER
+            for batch in source:
+                upto, exits = batch.column(2), batch.column(3)
+                for name, start, _ in _groups(batch):
+                    if at is None or not _same((name[0], 0), (at, 0)):
+                        at, opens = name[0], _NEVER
+                    yield (*name, opens)
+                    limits = upto[start].values.to_numpy()
+                    i = int(np.searchsorted(limits, opens, side="left"))
+                    if i < len(limits):
+                        opens = exits[start].values[i].as_py() + micros
+
+        return batches(entry_schema, produced())
+
+    entries = (
+        reports.repartition("__key").sortWithinPartitions(*group).mapInArrow(chain, entry_schema)
     )
-    return rows.join(winners, [key, "__chunk", "__us", order], "left").select(
-        key, ts, order, F.coalesce(out, F.lit(False)).alias(out)
+
+    # A chunk's starting point sorts before its events, so no join is needed.
+    opening = entries.select(
+        *group, F.lit(None).cast("bigint").alias("__us"),
+        F.lit(None).cast(events.schema[order].dataType).alias("__order"),
+        F.lit(None).cast(events.schema[ts].dataType).alias("__ts"), "__opens",
+    )
+    ordered = (
+        rows.withColumn("__opens", F.lit(None).cast("bigint")).unionByName(opening)
+        .repartition(*group).sortWithinPartitions(*group, F.asc_nulls_first("__us"), "__order")
     )
+    out_schema = T.StructType(
+        [
+            T.StructField(key, key_field.dataType), T.StructField(ts, events.schema[ts].dataType),
+            T.StructField(order, events.schema[order].dataType), T.StructField(out, T.BooleanType()),
+        ]
+    )
+
+    def run(source: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out_schema)
+        opens = _NEVER
+        for batch in source:
+            event = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            times = batch.column(2).fill_null(0).to_numpy()
+            given = batch.column(5).fill_null(0).to_numpy()
+            passed = np.zeros(len(times), dtype=bool)
+            for _, start, stop in _groups(batch):
+                if not event[start]:
+                    opens = int(given[start])
+                    start += 1
+                t = times[start:stop]
+                at = int(np.searchsorted(t, opens, side="left"))
+                while at < len(t):
+                    passed[start + at] = True
+                    opens = int(t[at]) + micros
+                    at = int(np.searchsorted(t, opens, side="left"))
+            kept = pa.array(event)
+            columns = [batch.column(i).filter(kept) for i in (0, 4, 3)] + [pa.array(passed[event])]
+            yield pa.RecordBatch.from_arrays(
+                [c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow
+            )
+
+    return ordered.mapInArrow(run, out_schema)
 
 
 def throttle_stream(events: DataFrame, key: str, ts: str, delay: int, order: str) -> DataFrame:

@@ -285,6 +285,39 @@ grown AS (
   UNION SELECT 'allrecipes.com')
 SELECT page_id, domain FROM domains WHERE domain IN (SELECT domain FROM grown)"""
 
+ORACLE["read_labels"] = f"""WITH {LABELS}
+SELECT file, title, CAST(len(ingredients) AS INTEGER) AS n_ingredients, CAST(len(directions) AS INTEGER) AS n_directions
+FROM candidates WHERE doc_id % 50 <> 7
+UNION ALL
+SELECT NULL, 'Invalid JSON', NULL, NULL FROM candidates WHERE doc_id % 50 = 7"""
+ORACLE["write_corpus"] = _OUTCOME_CTE + """,
+numbered AS (
+  SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS out_index FROM outcomes WHERE status = 'valid')
+SELECT n.page_id, l.title, n.out_index, printf('recipe_%05d', n.out_index) AS out_name
+FROM numbered n JOIN page_labels l ON l.page_id = n.page_id"""
+ORACLE["materialize"] = blocks_cte() + "SELECT page_id, idx, text FROM blocks"
+
+# The stream comes in one file: one batch, numbered from 0 in file order.
+ORACLE["ingest_stream"] = page_text_cte("document") + f""", {DOMAINS}, {LABELS},
+first_pages AS (SELECT file, min(page_id) AS page_id FROM page_files GROUP BY file),
+checked AS (
+  SELECT c.file, f.page_id, d.url, d.domain,
+    c.title <> '' AND contains(t.page_text, lower(c.title)) AS title_ok,
+    {has_any('t.page_text', cleaned('c.ingredients'))} AS ingredients_ok,
+    {has_any('t.page_text', cleaned('c.directions'))} AS directions_ok
+  FROM candidates c LEFT JOIN first_pages f ON f.file = c.file
+    LEFT JOIN domains d ON d.page_id = f.page_id LEFT JOIN page_texts t ON t.page_id = f.page_id),
+stated AS (
+  SELECT *, page_id IS NOT NULL AND (title_ok OR ingredients_ok OR directions_ok) AS valid FROM checked)
+SELECT file, CASE WHEN valid THEN 'processed' ELSE 'failed' END AS status, url,
+  CASE WHEN page_id IS NULL THEN 'Missing href' WHEN NOT valid THEN
+    concat_ws(', ', CASE WHEN NOT title_ok THEN 'title missing' END,
+      CASE WHEN NOT ingredients_ok THEN 'no ingredients matched' END,
+      CASE WHEN NOT directions_ok THEN 'no directions matched' END) END AS reason,
+  coalesce(domain, '') AS domain,
+  CASE WHEN valid THEN row_number() OVER (PARTITION BY valid ORDER BY file) - 1 END AS out_index
+FROM stated"""
+
 # -- quality ------------------------------------------------------------------
 
 ORACLE["dup_lines"] = """

@@ -15,8 +15,8 @@ from blockloom.functions.text import (
 )
 from blockloom.operators import crawl, features, flatten, pairing, quality, records, reports, sampling, sections, vectors
 from blockloom.plans import curation, extraction, training
-from blockloom.session import scratch_path
-from blockloom.sources import corpus, state as crawl_state
+from blockloom.session import scratch_path, stored
+from blockloom.sources import corpus, labels as label_files, state as crawl_state
 from blockloom.streaming import extract as stream_extract, ingest, throttle as throttling
 from blockloom.workload import inputs
 from blockloom.workload.inputs import table, texts
@@ -98,6 +98,38 @@ def boilerplate_items(spark, sf):
     return rows.select("doc_id", "pos", is_boilerplate_item(line).alias("boilerplate"))
 
 
+@query
+def read_labels(spark, sf):
+    """Label records written as JSON lines, some cut short, and read back."""
+    root = scratch_path(spark, "labels")
+    whole = F.to_json(F.struct("file", "title", "ingredients", "directions"))
+    line = F.when(F.col("doc_id") % 50 == 7, F.substring(whole, 1, 20)).otherwise(whole)
+    _labels(spark, sf).select(line.alias("value")).write.text(root)
+    rows = label_files.read_packed_labels(spark, root)
+    good = label_files.good_records(rows).select(
+        "file", "title", F.size("ingredients").alias("n_ingredients"), F.size("directions").alias("n_directions")
+    )
+    bad = label_files.bad_records(rows).select(F.substring("reason", 1, 12).alias("title")).select(
+        F.lit(None).cast("string").alias("file"), "title",
+        F.lit(None).cast("int").alias("n_ingredients"), F.lit(None).cast("int").alias("n_directions"),
+    )
+    return good.unionByName(bad)
+
+
+@query
+def write_corpus(spark, sf):
+    valid = _outcomes(spark, sf).where("status = 'valid'").select("page_id", "title")
+    return corpus.write_corpus(stored(valid), scratch_path(spark, "corpus"), key="page_id")
+
+
+@query
+def materialize(spark, sf):
+    blocks = _blocks(spark, sf).select("page_id", "idx", "text")
+    root = scratch_path(spark, "materialized")
+    corpus.materialize(blocks, root, [sf], limit=None)
+    return corpus.materialize(blocks, root, [sf], limit=None)
+
+
 # -- joins --------------------------------------------------------------------
 
 def _labels(spark, sf):
@@ -259,7 +291,8 @@ def position_ratio(spark, sf):
 
 @query
 def assign_ids(spark, sf):
-    rows = _outcomes(spark, sf).where("status = 'valid'").select("page_id")
+    # Range partitioning samples its input first, so the outcomes are kept.
+    rows = stored(_outcomes(spark, sf).where("status = 'valid'").select("page_id"))
     return crawl.assign_ids(rows, 17, "page_id")
 
 
