@@ -130,6 +130,7 @@ def fit_structured(df: DataFrame, out: str = "structured") -> PipelineModel:
     """Fitted one-hot (tag, parent tag) and numeric stages; an unseen tag gives zeros."""
     numeric = [c for c in STRUCTURED if c not in ("tag", "parent_tag")]
     doubles = ", ".join(f"CAST({c} AS DOUBLE) AS __{c}" for c in numeric)
+    # The indexer's extra category for unseen tags comes last, and dropLast makes it all zeros.
     return Pipeline(
         stages=[
             SQLTransformer(
@@ -139,7 +140,7 @@ def fit_structured(df: DataFrame, out: str = "structured") -> PipelineModel:
                 )
             ),
             StringIndexer(inputCol="tag", outputCol="__tag_index", handleInvalid="keep"),
-            OneHotEncoder(inputCol="__tag_index", outputCol="__tag", dropLast=True, handleInvalid="keep"),
+            OneHotEncoder(inputCol="__tag_index", outputCol="__tag", dropLast=True),
             VectorAssembler(
                 inputCols=["__tag", "__parent_tag", *[f"__{c}" for c in numeric]], outputCol=out
             ),

@@ -22,21 +22,21 @@ def materialize(df: DataFrame, root: str, inputs: list[str], **options) -> DataF
     """Write df below root once per (inputs, options) and read it back.
 
     The name covers the input paths and all options, so other inputs or limits
-    never meet an old result. An unfinished write has no _SUCCESS and is redone.
+    never meet an old result. A marker table is written last; without it an
+    earlier write is taken as unfinished and redone.
     """
     text = json.dumps([sorted(inputs), sorted(options.items())], default=str)
     path = f"{root.rstrip('/')}/{hashlib.sha256(text.encode()).hexdigest()[:24]}"
     spark = df.sparkSession
-    if not _complete(spark, path):
+    if not _exists(spark, f"{path}.done"):
         df.write.mode("overwrite").parquet(path)
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}.done")
     return spark.read.parquet(path)
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
+def _exists(spark: SparkSession, path: str) -> bool:
     try:
-        return bool(
-            spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").take(1)
-        )
+        return bool(spark.read.parquet(path).columns)
     except AnalysisException:
         return False
 

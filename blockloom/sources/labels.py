@@ -44,21 +44,35 @@ def stem(file_name):
     return F.regexp_replace(F.element_at(F.split(file_name, "/"), -1), r"\.[^.]*\z", "")
 
 
+def _parsed(rows: DataFrame, schema: T.StructType, *keep) -> DataFrame:
+    """Records of the JSON texts in value; a text that is none keeps itself in _corrupt.
+
+    Parsing is an expression rather than the JSON source, which refuses queries
+    that need nothing but the corrupt texts.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    record = F.from_json("value", schema, options)
+    names = [f.name for f in schema.fields if f.name not in (CORRUPT, "firstAdded")]
+    return rows.withColumn("__r", record).select(
+        *keep,
+        *[F.col("__r")[n].alias(n) for n in names],
+        F.try_to_timestamp(F.col("__r")["firstAdded"]).alias("firstAdded"),
+        F.when(F.col("__r").isNull(), F.col("value")).otherwise(F.col("__r")[CORRUPT]).alias(CORRUPT),
+    )
+
+
 def read_labels(
     spark: SparkSession, path: str, limit_files: int | None = None, pattern: str = PATTERN
 ) -> DataFrame:
-    """Label records with their file stem (file); a file that is no JSON keeps its text in _corrupt."""
-    rows = (
-        spark.read.schema(LABEL_SCHEMA)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("pathGlobFilter", pattern)
-        .json(path)
-        .select(stem(F.col("_metadata.file_name")).alias("file"), "*")
-        .withColumn("firstAdded", F.try_to_timestamp("firstAdded"))
+    """Label records with their file stem (file), one JSON file each."""
+    files = (
+        spark.read.option("pathGlobFilter", pattern)
+        .text(path, wholetext=True)
+        .select(stem(F.col("_metadata.file_name")).alias("file"), "value")
     )
-    return rows if limit_files is None else rows.orderBy("file").limit(limit_files)
+    if limit_files is not None:
+        files = files.orderBy("file").limit(limit_files)
+    return _parsed(files, LABEL_SCHEMA, "file")
 
 
 def read_packed_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -67,13 +81,7 @@ def read_packed_labels(spark: SparkSession, path: str) -> DataFrame:
     One small file per record does not scale; this is the form for a large corpus.
     """
     schema = T.StructType([T.StructField("file", T.StringType()), *LABEL_SCHEMA.fields])
-    return (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-        .withColumn("firstAdded", F.try_to_timestamp("firstAdded"))
-    )
+    return _parsed(spark.read.text(path), schema)
 
 
 def good_records(labels: DataFrame) -> DataFrame:

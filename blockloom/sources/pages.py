@@ -13,9 +13,8 @@ PAGE_SCHEMA = "page_id bigint, url string, html string"
 def read_pages(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
     """(file, html) for every HTML file, keyed by its stem."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", pattern)
-        .text(path)
+        spark.read.option("pathGlobFilter", pattern)
+        .text(path, wholetext=True)
         .select(stem(F.col("_metadata.file_name")).alias("file"), F.col("value").alias("html"))
     )
 

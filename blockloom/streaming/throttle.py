@@ -126,11 +126,11 @@ def throttle(
 
         def produced() -> Iterator[tuple]:
             at, opens = None, _NEVER
-            for batch in source:
+            for batch in source:  # at is (key, 0), so that a null key differs from no key
                 upto, exits = batch.column(2), batch.column(3)
                 for name, start, _ in _groups(batch):
-                    if at is None or not _same((name[0], 0), (at, 0)):
-                        at, opens = name[0], _NEVER
+                    if not _same((name[0], 0), at):
+                        at, opens = (name[0], 0), _NEVER
                     yield (*name, opens)
                     limits = upto[start].values.to_numpy()
                     i = int(np.searchsorted(limits, opens, side="left"))
