@@ -14,25 +14,30 @@ from pyspark.sql import functions as F
 from blockloom.operators.flatten import SectionRules
 
 _BUCKET = 4096
-_RESET = "#none"  # an unknown heading ends the section; null would not
+# A heading's code is added to four times its index, so that the largest number
+# so far tells what the latest heading opened. An unknown heading counts, too.
+_NONE, _INGREDIENT, _DIRECTION = 0, 1, 2
 
 
 def section_marker(rules: SectionRules) -> Column:
-    return F.when(
-        F.lower("tag").isin(*rules.headings), F.coalesce(rules.of(F.col("text")), F.lit(_RESET))
-    )
+    """4 * idx + code for headings, null for other blocks."""
+    opens = rules.of(F.col("text"))
+    code = F.when(opens == "ingredient", _INGREDIENT).when(opens == "direction", _DIRECTION).otherwise(_NONE)
+    return F.when(F.lower("tag").isin(*rules.headings), F.col("idx").cast("bigint") * 4 + code)
 
 
 def block_context(
     blocks: DataFrame, key: str = "page_id", rules: SectionRules = SectionRules(), bucket: int = _BUCKET
 ) -> DataFrame:
-    """Add n_blocks (blocks of the page) and section (null where none is open)."""
+    """Add n_blocks (blocks of the page) and section (null where none is open).
+
+    blocks is read twice; pass a stored table, not a plan that flattens pages.
+    """
     marked = blocks.withColumn("__marker", section_marker(rules)).withColumn(
-        "__bucket", F.floor(F.col("idx") / bucket).cast("int")
+        "__bucket", F.shiftright(F.col("idx"), bucket.bit_length() - 1)
     )
     summary = marked.groupBy(key, "__bucket").agg(
-        F.count("*").alias("__n"),
-        F.max_by("__marker", F.when(F.col("__marker").isNotNull(), F.col("idx"))).alias("__last"),
+        F.count("*").alias("__n"), F.max("__marker").alias("__last")
     )
     page = Window.partitionBy(key)
     earlier = page.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,7 +45,7 @@ def block_context(
         F.col(key).alias("__key"),
         F.col("__bucket").alias("__b"),
         F.sum("__n").over(page).cast("int").alias("n_blocks"),
-        F.last("__last", ignorenulls=True).over(earlier).alias("__carried"),
+        F.max("__last").over(earlier).alias("__carried"),
     )
     joined = marked.join(
         summary, (F.col(key) == F.col("__key")) & (F.col("__bucket") == F.col("__b"))
@@ -48,8 +53,9 @@ def block_context(
     so_far = Window.partitionBy(key, "__bucket").orderBy("idx").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    section = F.coalesce(F.last("__marker", ignorenulls=True).over(so_far), F.col("__carried"))
-    return joined.withColumn("section", F.nullif(section, F.lit(_RESET))).drop(
+    latest = F.coalesce(F.max("__marker").over(so_far), F.col("__carried")) % 4
+    section = F.when(latest == _INGREDIENT, "ingredient").when(latest == _DIRECTION, "direction")
+    return joined.withColumn("section", section).drop(
         "__marker", "__bucket", "__key", "__b", "__carried"
     )
 

@@ -31,6 +31,7 @@ from blockloom.session import stored
 
 # Text vectoriser defaults.
 MAX_TERMS = 500
+_MAX_TIES = 10_000  # words beyond max_terms looked at for the pair bound
 TOKEN_PATTERN = WORD + "{2,}+"
 
 _GRAMS_SQL = (
@@ -53,23 +54,48 @@ def with_grams(df: DataFrame, text: str, out: str = "grams") -> DataFrame:
     ).drop("__tokens")
 
 
-def term_counts(df: DataFrame, text: str) -> DataFrame:
-    """(term, tf) over the corpus."""
-    # explode() would have the optimizer filter on the array's size first, and so
-    # compute the array a second time; the outer form with a null check does not.
-    terms = with_grams(df.select(text), text).select(F.explode_outer("grams").alias("term"))
-    return terms.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("tf"))
+def _count_terms(terms: DataFrame) -> DataFrame:
+    """(term, tf) of the arrays in terms.
+
+    explode() would have the optimizer filter on the array's size first, and so
+    compute the array a second time; the outer form with a null check does not.
+    """
+    rows = terms.select(F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+    return rows.groupBy("term").agg(F.count("*").alias("tf"))
 
 
-def tfidf_vocab(df: DataFrame, text: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
-    """The max_terms most frequent terms; equal counts are taken in term order."""
-    return term_counts(df, text).orderBy(F.desc("tf"), "term").limit(max_terms)
+def term_counts(df: DataFrame, text: str) -> DataFrame:
+    """(term, tf) of all words and pairs of the corpus."""
+    return _count_terms(with_grams(df.select(text), text, "terms").select("terms"))
 
 
-def _idf(n_docs: int, doc_freq: list[float]) -> list[float]:
-    from math import log
+def tfidf_vocab(df: DataFrame, text: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
+    """The max_terms most frequent words and pairs; equal counts are taken in term order.
 
-    return [log((1 + n_docs) / (1 + d)) + 1 for d in doc_freq]
+    A pair is no more frequent than either of its words, so only words at least
+    as frequent as the last of the max_terms best words can form a pair that gets
+    in. Counting pairs of those alone keeps the shuffle small: nearly all pairs
+    of a large corpus are rare, and counting all would move most of it. If ties
+    leave too many such words, all pairs are counted.
+    """
+    top = (F.desc("tf"), F.asc("term"))
+    split = df.select(tokens(F.col(text)).alias("terms"))
+    words = _count_terms(split).orderBy(*top).limit(max_terms + _MAX_TIES).collect()
+    least = words[max_terms - 1]["tf"] if len(words) >= max_terms else 0
+    if least == 0 or (len(words) == max_terms + _MAX_TIES and words[-1]["tf"] >= least):
+        return term_counts(df, text).orderBy(*top).limit(max_terms)
+    frequent = [w["term"] for w in words if w["tf"] >= least]
+    marked = F.transform("terms", lambda t: F.when(t.isin(frequent), t))
+    pairs = split.select(marked.alias("__marked")).select(
+        F.zip_with(
+            F.slice("__marked", F.lit(1), F.greatest(F.size("__marked") - 1, F.lit(0))),
+            F.slice("__marked", F.lit(2), F.greatest(F.size("__marked") - 1, F.lit(0))),
+            lambda a, b: F.concat(a, F.lit(" "), b),  # null if either is
+        ).alias("terms")
+    )
+    best = [(w["term"], w["tf"]) for w in words[:max_terms]]
+    known = df.sparkSession.createDataFrame(best, "term string, tf bigint")
+    return known.unionByName(_count_terms(pairs)).orderBy(*top).limit(max_terms)
 
 
 def fit_counts(df: DataFrame, text: str = "text", max_terms: int = MAX_TERMS) -> list[Transformer]:

@@ -15,7 +15,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,6 +25,18 @@ _DELAYS_PER_CHUNK = 64
 _ROWS_PER_BATCH = 4096
 
 
+def _micros(events: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of a time column, whatever the session's time zone.
+
+    A time without zone is not cast to one with: around a change to daylight
+    saving time that would shift differences.
+    """
+    if isinstance(events.schema[ts].dataType, T.TimestampNTZType):
+        since = F.col(ts) - F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+        return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("bigint")
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def _same(a: tuple, b: tuple | None) -> bool:
     return b is not None and a[1] == b[1] and (a[0] == b[0] or (pd.isna(a[0]) and pd.isna(b[0])))
 
@@ -71,7 +83,7 @@ def throttle(
     """(key, ts, order, accepted): delay in seconds; order breaks ties in time."""
     micros = delay * 1_000_000
     width = micros * delays_per_chunk
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us = _micros(events, ts)
     rows = events.select(
         F.col(key).alias("__key"),
         F.floor(us / F.lit(width)).cast("bigint").alias("__chunk"),
@@ -199,12 +211,12 @@ def throttle_stream(events: DataFrame, key: str, ts: str, delay: int, order: str
     """
     micros = delay * 1_000_000
     schema = T.StructType([events.schema[c] for c in (key, ts, order)])
-    narrow = events.select(key, ts, order)
+    narrow = events.select(key, ts, order, _micros(events, ts).alias("__us"))
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else _NEVER
-        pdf = pd.concat(list(frames)).sort_values([ts, order])
-        times = pdf[ts].to_numpy().astype("datetime64[us]").astype("int64")
+        pdf = pd.concat(list(frames)).sort_values(["__us", order])
+        times = pdf["__us"].to_numpy()
         picked = []
         at = int(np.searchsorted(times, last + micros, side="left"))
         while at < len(times):
@@ -212,7 +224,7 @@ def throttle_stream(events: DataFrame, key: str, ts: str, delay: int, order: str
             last = int(times[at])
             at = int(np.searchsorted(times, last + micros, side="left"))
         state.update((last,))
-        yield pdf.iloc[picked]
+        yield pdf.iloc[picked][[key, ts, order]]
 
     return narrow.groupBy(key).applyInPandasWithState(
         step, schema, "last bigint", "append", GroupStateTimeout.NoTimeout

@@ -279,13 +279,13 @@ def clean_corpus(spark, sf):
 
 @query
 def section_context(spark, sf):
-    rows = sections.section_context(_blocks(spark, sf), rules=inputs.SECTIONS)
+    rows = sections.section_context(stored(_blocks(spark, sf)), rules=inputs.SECTIONS)
     return rows.select("page_id", "idx", "section")
 
 
 @query
 def position_ratio(spark, sf):
-    rows = sections.block_context(_blocks(spark, sf), rules=inputs.SECTIONS)
+    rows = sections.block_context(stored(_blocks(spark, sf)), rules=inputs.SECTIONS)
     return rows.select("page_id", "idx", F.round(sections.position_ratio(), 9).alias("position_ratio"))
 
 

@@ -124,7 +124,7 @@ def test_context_of_block_tables_equals_the_fold(spark):
     rules = SectionRules(ingredient=("the",), direction=("la",), headings=("h1", "p"))
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     folded = html_blocks(pages, rules=rules)
-    tabled = block_context(html_blocks(pages), rules=rules, bucket=3)
+    tabled = block_context(html_blocks(pages), rules=rules, bucket=4)
     columns = ["page_id", "idx", "n_blocks", "section"]
     assert folded.select(*columns).exceptAll(tabled.select(*columns)).count() == 0
     assert folded.select(*columns).count() == tabled.count()

@@ -119,3 +119,12 @@ def test_feature_union(spark):
     rows = feature_rows(spark, ["p", "h1"])
     vec = PipelineModel(vectors.fit_vectors(rows)).transform(rows).select("structured", "tfidf", "features").first()
     assert vec.features.size == vec.structured.size + vec.tfidf.size
+
+
+@pytest.mark.parametrize("max_terms", [1, 5, 40, 300])
+def test_pruned_vocabulary_equals_full_counts(spark, max_terms):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    full = vectors.term_counts(df, "text").orderBy(F.desc("tf"), "term").limit(max_terms).collect()
+    assert vectors.tfidf_vocab(df, "text", max_terms).collect() == full
+    if max_terms == 300:
+        assert any(" " in r.term for r in full)

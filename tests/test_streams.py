@@ -51,6 +51,18 @@ def test_throttle_against_brute_force(spark, per_chunk):
     assert got.count() == len(rows)
 
 
+def test_throttle_does_not_depend_on_the_time_zone(spark):
+    """Times without zone across a change to daylight saving time in the session's zone."""
+    rows = [("a", dt.datetime(2024, 3, 10, 1, 59, 30), 0), ("a", dt.datetime(2024, 3, 10, 3, 0, 10), 1)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, n bigint")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert accepted(throttle(df, "k", "ts", 60, "n")) == {0, 1}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def write(spark, rows, path, schema, mode="append"):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode(mode).parquet(str(path))
 
