@@ -61,6 +61,7 @@ class PageWalker(HTMLParser):
         self._pieces: list[str] = []
         # Stack sizes at which the excluded / merged / root element sits, 0 = none.
         self._gone = self._merge_at = self._root = 0
+        self._special = 0  # open elements whose text is not ordinary text
         self._has_root = False
 
     def walk(self, html: str | None) -> list[Node]:
@@ -80,6 +81,8 @@ class PageWalker(HTMLParser):
     def _push(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
         self._open.append((name, {k: v or "" for k, v in attrs}))
         self._count[name] += 1
+        if name in SPECIAL_TEXT_TAGS:
+            self._special += 1
         if self._gone:
             return
         size = len(self._open)
@@ -101,6 +104,8 @@ class PageWalker(HTMLParser):
             self._pieces.clear()
         for name, _ in self._open[size:]:
             self._count[name] -= 1
+            if name in SPECIAL_TEXT_TAGS:
+                self._special -= 1
         del self._open[size:]
         if self._gone > size:
             self._gone = 0
@@ -132,7 +137,7 @@ class PageWalker(HTMLParser):
             text = "\n" if "\n" in text else " "
         if not text:
             return
-        special = special or any(self._count[t] for t in SPECIAL_TEXT_TAGS)
+        special = special or self._special > 0
         if self._merge_at:
             if not special:
                 self._pieces.append(text)
@@ -145,6 +150,10 @@ class PageWalker(HTMLParser):
         self._run.append(text)
         self._flush(special)
 
+    def updatepos(self, i, j):
+        """Line and column are not needed, and keeping them takes time."""
+        return j
+
     # -- parser events -------------------------------------------------------
 
     def handle_starttag(self, tag, attrs):

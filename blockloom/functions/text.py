@@ -47,6 +47,12 @@ def digit_class() -> str:
     ) + "]"
 
 
+@lru_cache(maxsize=1)
+def digit() -> str:
+    """Regex for one digit; most characters are ruled out before the many ranges are tried."""
+    return rf"[0-9]|(?=[^\x00-\x7f]){digit_class()}"
+
+
 def strip(col: Column) -> Column:
     """Remove Unicode whitespace at both ends (plain trim() only removes U+0020)."""
     return F.btrim(col, F.lit(WHITESPACE))
@@ -59,12 +65,12 @@ def normalise(col: Column) -> Column:
 
 def is_digits(col: Column) -> Column:
     """Whole string is digits (and not empty)."""
-    return col.rlike(f"^{digit_class()}+\\z")
+    return col.rlike(f"^(?:{digit()})++\\z")
 
 
 def count_digits(col: Column) -> Column:
     return F.char_length(col) - F.char_length(
-        F.regexp_replace(col, F.lit(digit_class()), F.lit(""))
+        F.regexp_replace(col, F.lit(digit()), F.lit(""))
     )
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.functions.text import any_of, count_char, count_digits, digit_class, whole_word
+from blockloom.functions.text import any_of, count_char, count_digits, digit, whole_word
 from blockloom.operators.sections import position_ratio
 
 # Measurement units.
@@ -55,7 +55,7 @@ def block_features(blocks: DataFrame, rules: FeatureRules = FeatureRules()) -> D
     class_id = F.lower(F.concat(F.array_join("class", " "), F.lit(" "), F.col("id")))
     computed = {
         "text_len": F.char_length(t),
-        "starts_with_digit": t.rlike(f"^{digit_class()}"),
+        "starts_with_digit": t.rlike(f"^(?:{digit()})"),
         "parent_tag": F.lit("None"),
         "raw": t,
         "num_digits": count_digits(t),
