@@ -8,12 +8,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from pyspark import cloudpickle
-
-    import blockloom
     from blockloom.session import local_session
 
-    cloudpickle.register_pickle_by_value(blockloom)
     session = local_session("tests", cores="8", partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
