@@ -224,7 +224,8 @@ def throttle_stream(events: DataFrame, key: str, ts: str, delay: int, order: str
             last = int(times[at])
             at = int(np.searchsorted(times, last + micros, side="left"))
         state.update((last,))
-        yield pdf.iloc[picked][[key, ts, order]]
+        if picked:
+            yield pdf.iloc[picked][[key, ts, order]]
 
     return narrow.groupBy(key).applyInPandasWithState(
         step, schema, "last bigint", "append", GroupStateTimeout.NoTimeout

@@ -133,3 +133,28 @@ def test_unseen_tags_are_scored(spark, model):
 
     page = spark.createDataFrame([("n", "<body><blink>1 cup rice</blink></body>")], "file string, html string")
     assert predict(model, featurised(page, "file")).count() == 1
+
+
+def test_whole_run(spark, tmp_path, recipes):
+    """Files to validated corpus to clean corpus to labelled blocks."""
+    source, html = tmp_path / "labels", tmp_path / "html"
+    source.mkdir()
+    html.mkdir()
+    pages, labels = recipes
+    for p in pages.limit(12).collect():
+        (html / f"{p.file}.html").write_text(p.html if p.file != "recipe_00003" else "<body>gone</body>")
+    for r in labels.limit(12).collect():
+        record = {**r.asDict(), "href": f"http://www.site{r.file[-1]}.com/{r.file}"}
+        if r.file == "recipe_00005":
+            record["ingredients"] = record["ingredients"] + record["ingredients"]
+        (source / f"{r.file}.json").write_text(json.dumps(record))
+    suffixes = spark.createDataFrame([("com",)], "suffix string")
+    fetched = read_pages(spark, str(html))
+    outcome = curation.validate(read_labels(spark, str(source)), fetched, suffixes)
+    assert {r.status: r["count"] for r in outcome.groupBy("status").count().collect()} == {"valid": 11, "failed": 1}
+    written = corpus.write_corpus(outcome.where("status = 'valid'"), str(tmp_path / "corpus"))
+    report, kept = curation.clean(written, written.select("file", "html", F.col("file").alias("page_id")))
+    assert [tuple(r) for r in report.collect()] == [("recipe_00005", "recipe_00005", "doubled ingredients")]
+    blocks = labeled_blocks(kept, written)
+    assert blocks.select("file").distinct().count() == 10
+    assert blocks.where("label = 'ingredient'").count() == 40
