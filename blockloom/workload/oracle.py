@@ -31,9 +31,9 @@ def strip(e: str) -> str:
 
 
 def decoded(e: str) -> str:
-    """The entities that occur in the pages; &amp; last."""
-    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("amp", "&")):
-        e = f"replace({e}, '&{name};', {_q(char)})"
+    """The entities that occur in the pages, with or without semicolon; &amp; last."""
+    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("nbsp", "\xa0"), ("amp", "&")):
+        e = f"regexp_replace({e}, '&{name}(;|\\b)', {_q(char)}, 'g')"
     return e
 
 

@@ -77,6 +77,10 @@ def test_entities_and_stray_signs():
     assert walk(html)[0][0] == "1 < 2 &amp; ½ ½ ⅓ – &unknown a < b && c"
 
 
+def test_entities_without_semicolon():
+    assert walk("<body><p>a &amp</p><p>b &copy c &am</p></body>") == [("a &", "p", 2), ("b © c &am", "p", 2)]
+
+
 def test_void_tags():
     assert walk("<body><p>a<br>b<img src='x>y'>c</p></body>") == [("a", "p", 2), ("b", "p", 2), ("c", "p", 2)]
     # an explicit end tag of an earlier void tag does not even split the text
