@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blockloom.llm.decontaminate import op4_spaced_seed_decontamination
+from blockloom.llm.line_dedup import op5_window_line_dedup
 from blockloom.llm.packing import op2_vector_packing
+from blockloom.llm.quality_rules import op7_line_first_cleaning
 from blockloom.llm.token_files import op1_huffman_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +17,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_huffman_token_files,
         op2_vector_packing,
+        op4_spaced_seed_decontamination,
+        op5_window_line_dedup,
+        op7_line_first_cleaning,
     )
 }
 
