@@ -5,7 +5,7 @@ All of a document is judged inside its row with SQL functions: nothing is shuffl
 A line fails if it is
 * navigation: so many separators that it is a menu or a table row,
 * boilerplate: a licence, copyright, cookie or sign-in phrase,
-* badly punctuated: many symbols or exclamation marks for its words, or long without a closing mark.
+* badly punctuated: many symbols or exclamation marks for its words, or long without any end of a sentence.
 Blank lines never fail. A document is rejected if it fails the base rules (few words, many repeated
 ones) or if failed lines hold more than `lost_share` of its words.
 
@@ -25,7 +25,7 @@ from blockloom.llm.common import BLANKS, lines, table, words
 # What the rules look for.
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = r"[|»›•→]"
-CLOSING = r"[.!?…:;\"'”’»)\]。！？]\s*$"
+SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*(\s|$)"
 BOILERPLATE = (
     r"(?i)\b(all rights reserved|licensed under|released under the|general public license|terms of (use|service)"
     r"|privacy policy|cookie policy|use of cookies|accept cookies|enable javascript|sign in|log in to|subscribe to"
@@ -38,7 +38,7 @@ class Rules:
     separators: int = 3  # in a line of navigation
     symbol_share: float = 0.1  # symbols by words of a line
     shout_share: float = 0.3  # "!!" by words of a line
-    long_line: int = 20  # words of a line that needs a closing mark
+    long_line: int = 20  # words of a line that needs the end of a sentence
     boilerplate_words: int = 25  # longer lines are text, even with such a phrase
     lost_share: float = 0.5
     least_words: int = 50
@@ -51,7 +51,7 @@ def line_fails(line: Column, rules: Rules = Rules()) -> Column:
     boilerplate = (n <= rules.boilerplate_words) & line.rlike(BOILERPLATE)
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) > rules.symbol_share * n
     shouting = F.regexp_count(line, F.lit("!!")) > rules.shout_share * n
-    unclosed = (n >= rules.long_line) & ~line.rlike(CLOSING)
+    unclosed = (n >= rules.long_line) & ~line.rlike(SENTENCE_END)
     return ~blank(line) & (navigation | boilerplate | symbols | shouting | unclosed)
 
 
