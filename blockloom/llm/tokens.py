@@ -1,9 +1,11 @@
 """Token ids of whole texts by a public tokenizer, as little-endian 16- or 32-bit integers.
 
-Byte-level BPE never merges across the places where a single space or newline
-stands between two other characters, so a text is cut there and the ids of the
-pieces, most of which recur, are kept in a bounded table per worker. Texts with a
-special token's string, and tokenizers of other kinds, are encoded in one go.
+Byte-level BPE never merges across the places where a single space or newline stands between two
+other characters, nor between an ASCII letter and a mark after it. Texts are cut there, and the ids of
+the pieces, most of which recur, are kept in a bounded table per worker: sorted 64-bit hashes and one
+array of ids. Only pieces that are not in it go through the tokenizer. Texts with other blanks are cut
+at single ones alone; texts with a special token's string, and tokenizers of other kinds, are encoded
+in one go.
 """
 
 from __future__ import annotations
@@ -14,9 +16,51 @@ import types
 
 import numpy as np
 
-PIECES = 1_000_000  # pieces a worker keeps; the table starts anew beyond that
-PIECE_CHARS = 48  # longer pieces are not kept
+PIECES = 2_000_000  # pieces a worker keeps; the table starts anew beyond that
+PORTION = 1 << 22  # bytes that are cut and hashed at a time
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_SPACE, _LINE = 32, 10
+_MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
+_LETTERS = np.isin(np.arange(256), np.frombuffer(bytes(range(65, 91)) + bytes(range(97, 123)), np.uint8))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_KIND = np.uint64(0xA0761D6478BD642F)
+
+
+def _inverse(odd: int) -> int:
+    return pow(odd, -1, 1 << 64)
+
+
+class Pieces:
+    """Ids by hash of the piece."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.rows = np.zeros(0, np.int64)  # place of a key in at and size
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.dtype)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of every key, -1 if there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, self.rows[place], -1)
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """keys are sorted and new."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = len(self.flat) + np.cumsum(size) - size
+        flat = np.fromiter((i for x in ids for i in x), self.dtype, int(size.sum()))
+        place = np.searchsorted(self.keys, keys)
+        self.rows = np.insert(self.rows, place, len(self.at) + np.arange(len(keys)))
+        self.keys = np.insert(self.keys, place, keys)
+        self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
 
 
 class Encoder:
@@ -33,85 +77,112 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t["content"] for t in spec.get("added_tokens") or ()]
-        pre = spec.get("pre_tokenizer") or {}
-        self.cut = self._byte_level(spec, pre)
-        self.kept: dict[str, bytes] = {}
-        self.point = {c: self._ids([c])[0] for c in ".,;:!?"} if self.cut else {}
-
-    @staticmethod
-    def _byte_level(spec: dict, pre: dict) -> bool:
-        """Whether texts may be cut at single blanks. (A ByteLevel post-processor only trims offsets.)"""
-        return (
+        pre, post = spec.get("pre_tokenizer") or {}, spec.get("post_processor") or {}
+        self.cut = (
             spec["model"]["type"] == "BPE"
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
             and spec.get("normalizer") is None
-            and (spec.get("post_processor") or {}).get("type") in (None, "ByteLevel")
+            and post.get("type") in (None, "ByteLevel")  # which only trims offsets
         )
+        self.kept = Pieces(self.dtype)
+        self.powers = self.back = np.ones(1, np.uint64)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(f.ids, self.dtype).tobytes() for f in found]
-
-    def _pieces(self, text: str) -> list[str]:
-        """The text's pieces: the first as it is, others without the space before them."""
-        spaced = text.replace("\n", " ")
-        # No blank but space and newline (others are not printable), and none beside another.
-        if "  " not in spaced and spaced[0] != " " and spaced[-1] != " " and spaced.isprintable():
-            return text.replace("\n", " \n").split(" ")
-        first, *rest = _CUT.split(text)
-        return [first, *(p[1:] if p[0] == " " else p for p in rest)]
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not kept. A mark after a letter is a token of its own."""
-        get, bases = self.kept.get, {}
-        for p in missing:
-            ends = len(p) > 1 and p[-1] in self.point and p[-2].isalpha() and p[-2] < "ɐ"
-            bases[p] = p[:-1] if ends else p
-        new = [b for b in set(bases.values()) if get(b) is None]
-        ids = dict(zip(new, self._ids([b if b[0] == "\n" else " " + b for b in new])))
-        found = {}
-        for p, b in bases.items():
-            known = ids.get(b)
-            value = get(b) if known is None else known
-            found[p] = value if b is p else value + self.point[p[-1]]
-        if len(self.kept) > PIECES:
-            self.kept.clear()
-        self.kept.update((p, v) for p, v in found.items() if len(p) <= PIECE_CHARS)
-        return found
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [f.ids for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text; none for a null or empty one."""
         out: list[bytes] = [b""] * len(texts)
-        whole, cut, heads, missing = [], [], [], set()
-        get = self.kept.get
+        whole: list[int] = []
+        plain: list[int] = []
+        size = 0
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self.cut or any(s in text for s in self.special):
+            if not self.cut or any(s in text for s in self.special) or "\0" in text:
                 whole.append(i)
                 continue
-            pieces = self._pieces(text)
-            heads.append(pieces[0])
-            rest = pieces[1:]
-            values = list(map(get, rest))
-            try:
-                ids = b"".join(values)
-            except TypeError:  # there are pieces without ids
-                ids = None
-                missing.update(p for p, v in zip(rest, values) if v is None)
-            cut.append((i, rest, values, ids))
-        found = self._learn(missing) if missing else {}
-        for (i, rest, values, ids), head in zip(cut, self._ids(heads) if heads else ()):
-            if ids is None:
-                ids = b"".join([found[p] if v is None else v for p, v in zip(rest, values)])
-            out[i] = head + ids
+            spaced = text.replace("\n", " ")
+            # No blank but space and newline (others are not printable), and none beside another.
+            if "  " in spaced or spaced[0] == " " or spaced[-1] == " " or not spaced.isprintable():
+                out[i] = b"".join(map(self._bytes, self._ids(_CUT.split(text))))
+                continue
+            plain.append(i)
+            size += len(text)
+            if size > PORTION:
+                self._plain(plain, texts, out)
+                plain, size = [], 0
+        if plain:
+            self._plain(plain, texts, out)
         if whole:
             for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-                out[i] = ids
+                out[i] = self._bytes(ids)
         return out
 
+    def _plain(self, chosen: list[int], texts: list[str], out: list[bytes]) -> None:
+        """Encode texts whose blanks are single spaces and newlines between other characters."""
+        raw = b"\0" + b"\0".join([texts[i].encode() for i in chosen]) + b"\0"
+        data = np.frombuffer(raw, np.uint8)
+        apart = np.flatnonzero((data == _SPACE) | (data == _LINE) | (data == 0))
+        start, end = apart[:-1] + 1, apart[1:]  # pieces without the blank before them
+        kind = data[start - 1]
+        marked = _MARKS[data[end - 1]] & _LETTERS[data[end - 2]] & (end - start > 1)
+        # A mark after a letter is a piece of its own, of kind 1.
+        places = np.flatnonzero(marked)
+        mark_at = end[places] - 1
+        end = end - marked
+        order_after = places + 1
+        start, end = np.insert(start, order_after, mark_at), np.insert(end, order_after, mark_at + 1)
+        kind = np.insert(kind, order_after, 1)
+
+        keys = self._hash(data, start, end, kind)
+        unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        rows = self.kept.find(unique)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            if len(self.kept.keys) + len(new) > PIECES:
+                self.kept.clear()
+                new = np.arange(len(unique))
+            before = {_SPACE: " ", _LINE: "\n", 0: "", 1: ""}
+            pieces = [
+                before[k] + raw[a:b].decode()
+                for k, a, b in zip(kind[first[new]].tolist(), start[first[new]].tolist(), end[first[new]].tolist())
+            ]
+            self.kept.add(unique[new], self._ids(pieces))
+            rows = self.kept.find(unique)
+        row = rows[which]
+        size = self.kept.size[row]
+        stop = np.cumsum(size)
+        ids = self.kept.flat[np.repeat(self.kept.at[row] - stop + size, size) + np.arange(stop[-1])]
+        heads = np.flatnonzero(kind == 0)  # the first piece of every text
+        bounds = np.append((stop - size)[heads], stop[-1]) * self.dtype.itemsize
+        packed = ids.tobytes()
+        for i, a, b in zip(chosen, bounds[:-1].tolist(), bounds[1:].tolist()):
+            out[i] = packed[a:b]
+
+    def _hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """A polynomial in the bytes of every piece, from prefix sums, mixed with its length and kind."""
+        if len(self.powers) <= len(data):
+            n = max(len(data) + 1, PORTION)
+            ones = np.full(n, _BASE, np.uint64)
+            ones[0] = 1
+            self.powers = np.multiply.accumulate(ones)
+            ones[1:] = np.uint64(_inverse(int(_BASE)))
+            self.back = np.multiply.accumulate(ones)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=sums[1:])
+        found = (sums[end] - sums[start]) * self.back[start]
+        found += (end - start).astype(np.uint64) * _MIX + kind.astype(np.uint64) * _KIND
+        for shift in (32, 29, 32):
+            found ^= found >> np.uint64(shift)
+            found *= _MIX
+        return found
+
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder, which stays for its later tasks."""
