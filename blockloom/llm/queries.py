@@ -10,6 +10,7 @@ from blockloom.llm import url_lists
 from blockloom.llm.chat_windows import op3_budgeted_chat_windows
 from blockloom.llm.decontaminate import op4_spaced_seed_decontamination
 from blockloom.llm.line_dedup import op5_window_line_dedup
+from blockloom.llm.ngram_join import op9_prefix_tree_jaccard_join
 from blockloom.llm.packing import op2_vector_packing
 from blockloom.llm.quality_rules import op7_line_first_cleaning
 from blockloom.llm.resharding import op6_min_cost_resharding
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_min_cost_resharding,
         op7_line_first_cleaning,
         url_lists.op8_temporal_url_lists,
+        op9_prefix_tree_jaccard_join,
         op10_toxicity_grammar,
     )
 }
