@@ -66,13 +66,13 @@ def _kept_lines(all_lines: Column, at: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, report: bool = False) -> DataFrame:
     """docs with repeated windows of lines removed; with report, also n_removed."""
-    gone = covered(docs)
+    gone = covered(docs).select(F.col("id").alias("__id"), F.col("key").alias("__same"), F.col("at").alias("__at"))
     own = [F.col(f"`{c}`") for c in docs.columns]
     left = docs.select(*own, content_key(F.col("text"), "__key"))
-    same = F.col("__key").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    same = F.col("__key").eqNullSafe(F.col("__same")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     both = left.join(gone, same, "left")
-    both = both.select(*own, "at", lines(F.col("text")).alias("__l"))
-    both = both.select(*own, "at", "__l", _kept_lines(F.col("__l"), F.col("at")).alias("__kept"))
+    both = both.select(*own, "__at", lines(F.col("text")).alias("__l"))
+    both = both.select(*own, "__at", "__l", _kept_lines(F.col("__l"), F.col("__at")).alias("__kept"))
     text = F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text"))
     removed = F.coalesce(F.size("__l") - F.size("__kept"), F.lit(0)).cast("bigint")
     out = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
