@@ -12,7 +12,7 @@ capture, and Spark may split a hot key; no window runs over captures. Whether th
 Spark's choice by size.
 
 Captures without URL or time match nothing. Entries without value, time or known action are left out;
-of entries of the same value and time, a release counts before a block. Equal captures are judged alike;
+of entries of the same value and time, the release counts. Equal captures are judged alike;
 other columns pass through. An empty list blocks nothing; no captures give no rows.
 """
 
@@ -46,7 +46,7 @@ def intervals(entries: DataFrame) -> DataFrame:
         "action in ('block', 'release')"
     )
     value = F.concat_ws(":", "kind", F.when(F.col("kind") == "path", F.col("value")).otherwise(F.lower("value")))
-    last = known.groupBy(value.alias("value"), "since").agg(F.min("action").alias("action"))  # 'block' < 'release'
+    last = known.groupBy(value.alias("value"), "since").agg(F.max("action").alias("action"))  # 'release' > 'block'
     order = Window.partitionBy("value").orderBy("since")
     held = last.withColumn("until", F.coalesce(F.lead("since").over(order), F.lit(FOREVER).cast("timestamp")))
     return held.where("action = 'block'").select("value", "since", "until")
