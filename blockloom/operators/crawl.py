@@ -91,40 +91,45 @@ def is_blocked(body: Column) -> Column:
 
 
 def crawl_outcome(
-    fetched: DataFrame, labels: DataFrame, key: str = "file", body: str = "html"
+    fetched: DataFrame, labels: DataFrame, key: str = "file", body: str = "html", browser_first: str | None = None
 ) -> DataFrame:
     """One outcome per candidate: (labels..., url, status, reason, page columns).
 
-    status is 'failed' (with a reason), 'needs_browser' or 'valid'. fetched holds
-    (key, body[, fetched_by]); a body fetched by a browser is not sent there again.
+    status is 'failed' (with a reason), 'pending' (no row in fetched yet), 'needs_browser' or 'valid'.
+    fetched holds (key, body[, fetched_by]), one row per key; a body fetched by a browser is not sent there
+    again. browser_first names a boolean column of labels: those are for the browser from the start.
     """
     columns = [c for c in fetched.columns if c != key]
-    rows = labels.join(fetched, key, "left").withColumn("url", strip(F.coalesce("href", F.lit(""))))
+    got = fetched.withColumn("__got", F.lit(True))
+    rows = labels.join(got, key, "left").withColumn("url", strip(F.coalesce("href", F.lit(""))))
     by_browser = (
         F.coalesce(F.col("fetched_by") == "browser", F.lit(False))
         if "fetched_by" in columns
         else F.lit(False)
     )
     has_href = F.col("url") != ""
+    waits = ~by_browser & F.coalesce(F.col(browser_first), F.lit(False)) if browser_first else F.lit(False)
+    there = F.col("__got").isNotNull()
     blank = strip(F.coalesce(body, F.lit(""))) == ""
     # Only bodies that reach the content check are turned into text.
     rows = rows.withColumn(
-        "__check", has_href & ~blank & (by_browser | ~is_blocked(F.col(body)))
+        "__check", has_href & ~blank & ~waits & (by_browser | ~is_blocked(F.col(body)))
     ).withColumn(
         "page_text", page_text_column(F.when(F.col("__check"), F.col(body)), "document", False)
     )
     checked = validate_pages(rows)
-    needs_browser = has_href & ~by_browser & F.coalesce(is_blocked(F.col(body)), F.lit(False))
+    needs_browser = waits | (has_href & ~by_browser & F.coalesce(is_blocked(F.col(body)), F.lit(False)))
     status = (
         F.when(~has_href, "failed")
         .when(needs_browser, "needs_browser")
+        .when(~there, "pending")
         .when(blank, "failed")
         .when(F.col("valid"), "valid")
         .otherwise("failed")
     )
     reason = (
         F.when(~has_href, MISSING_HREF)
-        .when(needs_browser, F.lit(None))
+        .when(needs_browser | ~there, F.lit(None))
         .when(blank, EMPTY_BODY)
         .when(~F.col("valid"), F.when(F.col("reasons") == "", MISMATCH).otherwise(F.col("reasons")))
     )

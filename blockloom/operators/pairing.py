@@ -22,8 +22,9 @@ def pair_left(labels: DataFrame, pages: DataFrame, key: str = "file") -> DataFra
 def pending(
     candidates: DataFrame, state: DataFrame, key: str = "file", retry_failed: bool = False
 ) -> DataFrame:
-    """Candidates not dealt with yet. state holds the latest status per key."""
-    known = state.where(F.col("status") == "processed") if retry_failed else state
+    """Candidates not dealt with yet. state holds the latest status per key; pending ones stay open."""
+    closed = ["processed"] if retry_failed else ["processed", "failed"]
+    known = state.where(F.col("status").isin(closed))
     return candidates.join(known.select(key), key, "left_anti")
 
 

@@ -17,9 +17,9 @@ from blockloom.operators.pairing import fuzzy_label
 from blockloom.operators.reports import classification_report
 from blockloom.operators.sampling import SEED, balance_classes, limit_blocks, limit_files, train_test_split
 from blockloom.operators.vectors import MAX_TERMS, fit_vectors
-from blockloom.session import stored
+from blockloom.session import scratch_path, stored
 
-MAX_BROADCAST_BYTES = 64 * 2**20
+FIT_ROWS = 200_000  # balanced blocks that trees are fitted to, at most and on average
 
 
 def labeled_blocks(
@@ -39,24 +39,12 @@ def labeled_blocks(
     """
     if limit is not None:
         labels = limit_files(labels, limit, key)
-    blocks = html_blocks(_labelled(pages.select(key, html), labels, key), key, html, rules=sections)
+    known = pages.select(key, html).join(labels.select(key), key, "left_semi")
+    blocks = html_blocks(known, key, html, rules=sections)
     rows = block_features(fuzzy_label(blocks, labels, key, threshold), features)
     return limit_blocks(rows, limit, (key, "idx")) if limit is not None else rows
 
 
-def _labelled(pages: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """The pages worth walking, if the labels' keys are few enough to be sent to all executors.
-
-    If not, all pages: joining them would shuffle their HTML, while the join
-    that labels the blocks shuffles blocks and drops those of other pages anyway.
-    """
-    keys = labels.select(key).distinct()
-    size = keys.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 16)).first()[0]
-    if (size or 0) > MAX_BROADCAST_BYTES:
-        return pages
-    return pages.join(F.broadcast(keys), key, "left_semi")
-
-
 @dataclass
 class Trained:
     model: PipelineModel
@@ -71,6 +59,7 @@ def fit_classifier(
     rounds: int = 100,
     depth: int = 5,
     seed: int = SEED,
+    fit_rows: int = FIT_ROWS,
 ) -> PipelineModel:
     """Boosted trees, one per class, over structured and text features."""
     stages = fit_vectors(balanced, "raw", max_terms)
@@ -78,7 +67,11 @@ def fit_classifier(
     rows = balanced
     for stage in [*stages, target]:
         rows = stage.transform(rows)
-    rows = stored(rows.select("features", "__y"))
+    share = min(1.0, fit_rows / max(1, balanced.count()))
+    rows = stored((rows.sample(share, seed=seed) if share < 1 else rows).select("features", "__y"))
+    context = balanced.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():  # boosting then cuts its lineage now and then
+        context.setCheckpointDir(scratch_path(balanced.sparkSession, "boosting"))
     booster = GBTClassifier(
         featuresCol="features", labelCol="__y", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.1
     )
@@ -105,16 +98,19 @@ def train(
     depth: int = 5,
     max_terms: int = MAX_TERMS,
     seed: int = SEED,
+    fit_rows: int = FIT_ROWS,
 ) -> Trained:
     """Split, balance the training part, fit, and report on the held-out part.
 
     by splits on other columns than key, e.g. the page. The labelled blocks are
-    stored once: counting, sampling and fitting read them several times.
+    stored once: counting, sampling and fitting read them several times. Vocabulary and
+    weights of terms come from all balanced blocks; trees, each of whose levels is a pass
+    over its rows, are fitted to a sample of fit_rows of them. Jobs run as this is called.
     """
     rows = stored(train_test_split(blocks, by or key, test, seed))
     fit_rows = rows.where("part = 'train'").drop("part")
     balanced = stored(balance_classes(fit_rows, key, label, seed=seed))
-    model = fit_classifier(balanced, label, max_terms, rounds, depth, seed)
+    model = fit_classifier(balanced, label, max_terms, rounds, depth, seed, fit_rows)
     predictions = predict(model, rows.where("part = 'test'").drop("part"))
     return Trained(model, classification_report(predictions, label), predictions)
 

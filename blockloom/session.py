@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -30,16 +31,36 @@ def _local_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir.
+    """The folder all executors share: spark.checkpoint.dir, or what setCheckpointDir() was given.
 
-    Only where that is unset (tests, one machine) a temporary folder is used.
+    A session of one machine (local[...]) may do without and gets a temporary folder; any other
+    needs one, as executors would else write to disks that nobody else reads.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        checkpoints = context._jsc.sc().getCheckpointDir()
+        given = checkpoints.get() if checkpoints.isDefined() else None
+    if given:
+        return given
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_dir()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/blockloom-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has stored; frames that read it can not be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -54,10 +75,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on input that comes in fewer pieces than there are cores.
+    """Deal out rows that are costly to process where the reader can not split the input.
 
-    Input of a cluster's size has more pieces than that and is left alone; then
-    this is only a look at the plan.
+    A file of one row group is one task, whatever the split size. Input of as many pieces as a shuffle
+    has (spark.sql.shuffle.partitions), which any large table is, stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

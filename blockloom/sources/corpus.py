@@ -37,8 +37,10 @@ def materialize(df: DataFrame, root: str, inputs: list[str], **options) -> DataF
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def records_json(records: DataFrame, key: str = "page_id") -> DataFrame:

@@ -4,37 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CORRUPT = "_corrupt"
 
-# The fields of a label file.
-LABEL_SCHEMA = T.StructType(
-    [
-        T.StructField("title", T.StringType()),
-        T.StructField("href", T.StringType()),
-        T.StructField("hash", T.StringType()),
-        T.StructField("image", T.StringType()),
-        T.StructField("ingredients", T.ArrayType(T.StringType())),
-        T.StructField("directions", T.ArrayType(T.StringType())),
-        T.StructField("keywords", T.ArrayType(T.StringType())),
-        T.StructField("__v", T.IntegerType()),
-        T.StructField("users", T.ArrayType(T.StringType())),
-        T.StructField("firstAdded", T.StringType()),
-        T.StructField("extension", T.StringType()),
-        T.StructField(
-            "ratings",
-            T.ArrayType(
-                T.StructType(
-                    [T.StructField("user", T.StringType()), T.StructField("rating", T.IntegerType())]
-                )
-            ),
-        ),
-        T.StructField("hidden", T.BooleanType()),
-        T.StructField("rating", T.IntegerType()),
-        T.StructField(CORRUPT, T.StringType()),
-    ]
-)
+# The fields of a label file. A value of another type is null, it does not spoil the record.
+FIELDS = {
+    "title": "string",
+    "href": "string",
+    "hash": "string",
+    "image": "string",
+    "ingredients": "array<string>",
+    "directions": "array<string>",
+    "keywords": "array<string>",
+    "__v": "int",
+    "users": "array<string>",
+    "extension": "string",
+    "ratings": "array<struct<user:string,rating:int>>",
+    "hidden": "boolean",
+    "rating": "int",
+}
 
 PATTERN = "recipe_*.json"
 
@@ -44,20 +32,23 @@ def stem(file_name):
     return F.regexp_replace(F.element_at(F.split(file_name, "/"), -1), r"\.[^.]*\z", "")
 
 
-def _parsed(rows: DataFrame, schema: T.StructType, *keep) -> DataFrame:
-    """Records of the JSON texts in value; a text that is none keeps itself in _corrupt.
+def _parsed(rows: DataFrame, key: str = "file") -> DataFrame:
+    """(file, fields..., firstAdded, _corrupt) of the JSON texts in value.
 
-    Parsing is an expression rather than the JSON source, which refuses queries
-    that need nothing but the corrupt texts.
+    Only a text that is no JSON object is corrupt, and keeps itself in _corrupt. Fields are read one by
+    one, so an odd value in one leaves the others alone. A corrupt line without a file of its own is named by
+    its source and its hash, which keeps such lines apart.
     """
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    record = F.from_json("value", schema, options)
-    names = [f.name for f in schema.fields if f.name not in (CORRUPT, "firstAdded")]
-    return rows.withColumn("__r", record).select(
-        *keep,
-        *[F.col("__r")[n].alias(n) for n in names],
-        F.try_to_timestamp(F.col("__r")["firstAdded"]).alias("firstAdded"),
-        F.when(F.col("__r").isNull(), F.col("value")).otherwise(F.col("__r")[CORRUPT]).alias(CORRUPT),
+    rows = rows.withColumn("__v", F.try_parse_json("value"))
+    is_record = F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False))
+    field = lambda name, kind: F.try_variant_get("__v", f"$.{name}", kind)
+    line = F.concat(F.col("__source"), F.lit("#"), F.md5("value"))
+    file = F.col("__file") if "__file" in rows.columns else F.when(is_record, field(key, "string"))
+    return rows.select(
+        F.coalesce(file, line).alias(key),
+        *[F.when(is_record, field(name, kind)).alias(name) for name, kind in FIELDS.items()],
+        F.when(is_record, F.try_to_timestamp(field("firstAdded", "string"))).alias("firstAdded"),
+        F.when(~is_record, F.col("value")).alias(CORRUPT),
     )
 
 
@@ -68,11 +59,16 @@ def read_labels(
     files = (
         spark.read.option("pathGlobFilter", pattern)
         .text(path, wholetext=True)
-        .select(stem(F.col("_metadata.file_name")).alias("file"), "value")
+        .select(stem(F.col("_metadata.file_name")).alias("__file"), F.col("_metadata.file_name").alias("__source"), "value")
     )
     if limit_files is not None:
-        files = files.orderBy("file").limit(limit_files)
-    return _parsed(files, LABEL_SCHEMA, "file")
+        files = files.orderBy("__file").limit(limit_files)
+    return _parsed(files)
+
+
+def parse_packed_labels(texts: DataFrame) -> DataFrame:
+    """Label records of JSON lines, batch or stream, read by the text source."""
+    return _parsed(texts.select(F.col("_metadata.file_name").alias("__source"), "value"))
 
 
 def read_packed_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -80,8 +76,7 @@ def read_packed_labels(spark: SparkSession, path: str) -> DataFrame:
 
     One small file per record does not scale; this is the form for a large corpus.
     """
-    schema = T.StructType([T.StructField("file", T.StringType()), *LABEL_SCHEMA.fields])
-    return _parsed(spark.read.text(path), schema)
+    return parse_packed_labels(spark.read.text(path))
 
 
 def good_records(labels: DataFrame) -> DataFrame:
@@ -91,5 +86,5 @@ def good_records(labels: DataFrame) -> DataFrame:
 def bad_records(labels: DataFrame) -> DataFrame:
     """(file, reason) of the files that could not be read."""
     return labels.where(F.col(CORRUPT).isNotNull()).select(
-        "file", F.concat(F.lit("Invalid JSON: "), F.substring(CORRUPT, 1, 200)).alias("reason")
+        "file", F.concat(F.lit("Invalid JSON: "), CORRUPT).alias("reason")
     )

@@ -16,11 +16,18 @@ from blockloom.operators.crawl import BROWSER_DOMAINS, EMPTY_BODY
 STATE_SCHEMA = "file string, status string, url string, reason string, domain string, out_index bigint, batch bigint"
 
 
-def _history(spark: SparkSession, path: str, before: int | None) -> DataFrame:
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table, or no rows if nothing has been written there yet; other errors are raised."""
     try:
-        rows = spark.read.schema(STATE_SCHEMA).parquet(path)
-    except AnalysisException:
-        rows = spark.createDataFrame([], STATE_SCHEMA)
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _history(spark: SparkSession, path: str, before: int | None) -> DataFrame:
+    rows = read_if_there(spark, path, STATE_SCHEMA)
     return rows if before is None else rows.where(F.col("batch") < before)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -9,7 +11,25 @@ from pyspark.sql.streaming.query import StreamingQuery
 from blockloom.operators.crawl import assign_ids
 from blockloom.plans.curation import validate
 from blockloom.session import stored
-from blockloom.sources.state import append_state, load_state, next_index
+from blockloom.sources.state import append_state, browser_domains, load_state, next_index, read_if_there
+
+OPEN = ("pending", "needs_browser")
+
+
+def _one_per_file(labels: DataFrame) -> DataFrame:
+    """The greatest record of every file, in the order of its JSON text: the same one in every run."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in labels.columns]))
+    record = F.struct(text.alias("t"), F.struct(*[F.col(f"`{c}`") for c in labels.columns]).alias("r"))
+    return labels.groupBy("file").agg(F.max_by(record, F.struct(text)).alias("m")).select("m.r.*")
+
+
+def _bodies(fetched: DataFrame, files: DataFrame) -> DataFrame:
+    """The bodies of these files, the browser's where there are two."""
+    own = fetched.join(files, "file", "left_semi")
+    if "fetched_by" not in own.columns:
+        return own
+    body = F.struct(*own.columns)
+    return own.groupBy("file").agg(F.max_by(body, F.col("fetched_by") == "browser").alias("b")).select("b.*")
 
 
 def ingest_batch(
@@ -23,13 +43,23 @@ def ingest_batch(
 ) -> None:
     """Validate one batch of labels, add the valid pairs to the corpus and note every outcome.
 
-    Running a batch again writes the same folders with the same ids.
+    Label records whose body is not there yet, or has to come by browser, are kept beside the state and
+    tried again with every batch. Running a batch again writes the same folders with the same ids.
     """
     spark = labels.sparkSession
-    state = load_state(spark, state_path, before=batch)
+    state = stored(load_state(spark, state_path, before=batch))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in labels.schema)
+    kept = read_if_there(spark, f"{state_path.rstrip('/')}-open", f"{schema}, batch bigint")
+    last = kept.where(F.col("batch") < batch).agg(F.max("batch")).first()[0]
+    waiting = kept.where(F.col("batch") == (-1 if last is None else last)).drop("batch")
+    todo = stored(_one_per_file(labels.unionByName(waiting)))
+    domains = browser_domains(spark, state_path, before=batch)
     outcome = stored(
-        validate(labels.dropDuplicates(["file"]), fetched, suffixes, state, retry_failed)
+        validate(todo, _bodies(fetched, todo.select("file")), suffixes, state, retry_failed, domains)
     )
+    still_open = todo.join(outcome.where(F.col("status").isin(*OPEN)).select("file"), "file", "left_semi")
+    still_open.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}-open/batch={batch}")
+
     valid = outcome.where("status = 'valid'")
     named = stored(assign_ids(valid, next_index(spark, state_path, before=batch)))
     named.drop("status", "reason").write.mode("overwrite").parquet(
@@ -38,11 +68,13 @@ def ingest_batch(
     processed = named.withColumn("status", F.lit("processed")).withColumn(
         "reason", F.lit(None).cast("string")
     )
-    failed = outcome.where("status = 'failed'").withColumn(
-        "out_index", F.lit(None).cast("bigint")
-    )
+    others = outcome.where("status <> 'valid'").withColumn("out_index", F.lit(None).cast("bigint"))
     columns = ["file", "status", "url", "reason", "domain", "out_index"]
-    append_state(processed.select(*columns).unionByName(failed.select(*columns)), state_path, batch)
+    entries = processed.select(*columns).unionByName(others.select(*columns))
+    # An open file gets an entry when its status changes, not with every batch.
+    before = state.select(*[F.col(c).alias(f"__{c}") for c in columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])
+    append_state(entries.join(before, same, "left_anti"), state_path, batch)
 
 
 def ingest_stream(

@@ -48,19 +48,13 @@ def candidate_labels(documents: DataFrame) -> DataFrame:
         .select(
             F.format_string(FILE_PATTERN, F.col("doc_id").cast("int")).alias("file"),
             "doc_id",
-            F.substring(F.col("__lines")[0], 1, 60).alias("title"),
+            F.col("__lines")[0].alias("title"),
             F.filter(rest, lambda i: F.char_length(i) <= ITEM_CHARS).alias("ingredients"),
             F.filter(rest, lambda i: F.char_length(i) > ITEM_CHARS).alias("directions"),
         )
     )
 
 
-def with_href(labels: DataFrame, pages: DataFrame) -> DataFrame:
-    """Labels with the url of their page; null for a document without one."""
-    urls = page_files(pages.select("url")).groupBy("file").agg(F.min("url").alias("href"))
-    return labels.join(urls, "file", "left")
-
-
 def suffix_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
 

@@ -6,11 +6,20 @@ stack of open elements.
 
 from __future__ import annotations
 
-from blockloom.functions.dom import PRESERVE_TAGS, SPECIAL_TEXT_TAGS, VOID_TAGS
-from blockloom.functions.text import WHITESPACE, digit_class, whole_word, any_of
-from blockloom.operators import crawl, flatten
-from blockloom.workload import inputs
-from blockloom.workload.queries import DAY, WITHOUT_NAV
+# Written by hand, so that a wrong table or pattern of the engine does not pass on both sides.
+VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
+SPECIAL_TEXT_TAGS = "script style template rt rp".split()
+PRESERVE_TAGS = "pre textarea".split()
+EXCLUDED = "script style noscript footer nav link meta button".split()
+WITH_NAV = [t for t in EXCLUDED if t != "nav"]
+SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+UNITS = (
+    "teaspoon teaspoons tsp tablespoon tablespoons tbsp cup cups ounce ounces oz pound pounds lb lbs gram grams g kilogram"
+    " kilograms kg liter liters l ml milliliter milliliters pinch clove cloves slice slices the la un"
+).split()
+SUFFIXES = ("com", "net", "org", "example.org", "*.ck", "!www.ck")
+ITEM_CHARS = 120
+DAY = 86_400
 
 ORACLE: dict[str, str] = {}
 
@@ -23,7 +32,9 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-WS = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
+WS = "concat(" + ", ".join(f"chr({c})" for c in SPACES) + ")"
+# Digits in the sense of the contract: decimal numbers, superscripts and digits in rings, but no fractions.
+DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿]"
 
 
 def strip(e: str) -> str:
@@ -75,7 +86,7 @@ raw_nodes AS (
 """
 
 
-def blocks_cte(excluded=flatten.EXCLUDED_TAGS) -> str:
+def blocks_cte(excluded=EXCLUDED) -> str:
     return f"""WITH RECURSIVE {_WALK},
 nodes AS (
   SELECT *, {strip('raw')} AS piece, CASE WHEN list_contains(st, 'li') THEN list_position(st, 'li') END AS li
@@ -119,10 +130,10 @@ page_texts AS (
 """
 
 
-N = inputs.ITEM_CHARS
+N = ITEM_CHARS
 LABELS = f"""labels_raw AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 candidates AS (
-  SELECT printf('recipe_%05d', doc_id) AS file, doc_id, substr(lines[1], 1, 60) AS title,
+  SELECT printf('recipe_%05d', doc_id) AS file, doc_id, lines[1] AS title,
     list_filter(lines[2:], lambda i: length(i) <= {N}) AS ingredients,
     list_filter(lines[2:], lambda i: length(i) > {N}) AS directions
   FROM labels_raw),
@@ -133,7 +144,7 @@ page_labels AS (
   SELECT p.page_id, c.title, c.ingredients, c.directions FROM page_files p JOIN candidates c ON c.file = p.file)
 """
 
-DIGITS = f"^{digit_class()}+$"
+DIGITS = f"^{DIGIT}+$"
 
 
 def cleaned(items: str) -> str:
@@ -159,7 +170,7 @@ def joined(items: str) -> str:
 # -- flattening ---------------------------------------------------------------
 
 ORACLE["html_blocks"] = blocks_cte() + "SELECT page_id, idx, text, tag, depth FROM blocks"
-ORACLE["li_blocks"] = blocks_cte(WITHOUT_NAV) + "SELECT page_id, idx, text, depth FROM blocks WHERE tag = 'li'"
+ORACLE["li_blocks"] = blocks_cte(WITH_NAV) + "SELECT page_id, idx, text, depth FROM blocks WHERE tag = 'li'"
 ORACLE["block_attrs"] = blocks_cte() + "SELECT page_id, idx, itemprop, class, id FROM blocks"
 for _scope in ("body", "document"):
     ORACLE[f"page_text_{_scope}"] = page_text_cte(_scope) + "SELECT page_id, page_text FROM page_texts"
@@ -223,7 +234,7 @@ SELECT page_id, idx, t, {joined('ing')} AS ing_candidates, {joined('dir')} AS di
 FROM near"""
 
 HOST = "lower(regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)', 1), ':\\d*$', ''))"
-DOMAINS = f"""suffixes AS (SELECT unnest({_list(inputs.SUFFIXES)}) AS s),
+DOMAINS = f"""suffixes AS (SELECT unnest({_list(SUFFIXES)}) AS s),
 hosts AS (SELECT page_id, url, string_split({HOST}, '.') AS parts FROM pages),
 tails AS (
   SELECT page_id, k, array_to_string(parts[len(parts) - k + 1:], '.') AS tail, len(parts) AS n
@@ -254,69 +265,83 @@ ORACLE["validate_pages"] = _DOC + (
     "SELECT page_id, title_ok, ingredients_ok, directions_ok, valid, reasons FROM validated"
 )
 
-# Bodies 3 are blank, 4 an error text, 5 and 6 refused; hrefs 7 are blank. The
-# error text holds no item of any record, but may hold a blank-free short one,
-# so body 4 is checked as text, too.
-_OUTCOMES = f"""{LABELS},
-fetched AS (
-  SELECT page_id, url, CASE WHEN page_id % 10 = 4 THEN 'http 404' END AS fixed FROM pages),
-texts AS (
-  SELECT f.page_id, f.url, coalesce(f.fixed, t.page_text) AS page_text
-  FROM fetched f JOIN page_texts0 t ON t.page_id = f.page_id),
-page_texts AS (SELECT page_id, page_text FROM texts),
-{CHECKS},
+# Beside the pages (kind 0) there are attempts, by the last digit of the page: 3 a blank body, 4 an error
+# text, 5 and 6 refused, 7 without href, 8 not fetched. The error text may hold a short item, so it is checked.
+_TRIES = """tries AS (
+  SELECT page_id AS page, page_id AS key, 0 AS kind, url, file FROM page_files
+  UNION ALL SELECT page_id, -1 - page_id, page_id % 10, url, file FROM page_files WHERE page_id % 10 BETWEEN 3 AND 8)
+"""
+_CHECKED_TRIES = f"""checked AS (
+  SELECT r.key AS page_id, r.page, r.kind, r.url, c.title,
+    c.title <> '' AND contains(r.page_text, lower(c.title)) AS title_ok,
+    {has_any('r.page_text', cleaned('c.ingredients'))} AS ingredients_ok,
+    {has_any('r.page_text', cleaned('c.directions'))} AS directions_ok
+  FROM (SELECT r.*, CASE WHEN r.kind = 4 THEN 'http 404' ELSE t.page_text END AS page_text
+        FROM tries r JOIN page_texts t ON t.page_id = r.page) r
+    JOIN candidates c ON c.file = r.file),
+"""
+_OUTCOMES = _CHECKED_TRIES + CHECKS[CHECKS.index("validated AS"):] + """,
 outcomes AS (
-  SELECT v.page_id, CASE WHEN v.page_id % 10 <> 7 THEN f.url END AS url, f.url AS page_url,
-    CASE WHEN v.page_id % 10 IN (7, 3) THEN 'failed'
-         WHEN v.page_id % 10 IN (5, 6) THEN 'needs_browser'
-         WHEN v.valid THEN 'valid' ELSE 'failed' END AS status,
-    CASE WHEN v.page_id % 10 = 7 THEN 'Missing href'
-         WHEN v.page_id % 10 IN (5, 6) THEN NULL
-         WHEN v.page_id % 10 = 3 THEN 'Empty or invalid HTML from both methods'
-         WHEN NOT v.valid THEN v.reasons END AS reason
-  FROM validated v JOIN fetched f ON f.page_id = v.page_id)
+  SELECT page_id, page, kind, title, url AS page_url, CASE WHEN kind <> 7 THEN url END AS url,
+    CASE WHEN kind IN (3, 7) THEN 'failed' WHEN kind IN (5, 6) THEN 'needs_browser' WHEN kind = 8 THEN 'pending'
+         WHEN valid THEN 'valid' ELSE 'failed' END AS status,
+    CASE WHEN kind = 7 THEN 'Missing href' WHEN kind IN (5, 6, 8) THEN NULL
+         WHEN kind = 3 THEN 'Empty or invalid HTML from both methods'
+         WHEN NOT valid THEN reasons END AS reason
+  FROM validated)
 """
-_OUTCOME_CTE = page_text_cte("document").replace("page_texts AS", "page_texts0 AS", 1) + f", {_OUTCOMES}"
+_OUTCOME_CTE = page_text_cte("document") + f", {LABELS}, {_TRIES}, {_OUTCOMES}"
 ORACLE["crawl_outcome"] = _OUTCOME_CTE + "SELECT page_id, url, status, reason FROM outcomes"
 ORACLE["browser_domains"] = _OUTCOME_CTE + f""", {DOMAINS},
+named AS (
+  SELECT o.page_id, o.reason, CASE WHEN o.kind = 7 THEN '' ELSE d.domain END AS domain
+  FROM outcomes o JOIN domains d ON d.page_id = o.page),
 grown AS (
-  SELECT d.domain FROM outcomes o JOIN domains d ON d.page_id = o.page_id
-  WHERE o.reason = 'Empty or invalid HTML from both methods'
-  UNION SELECT 'allrecipes.com')
-SELECT page_id, domain FROM domains WHERE domain IN (SELECT domain FROM grown)"""
+  SELECT domain FROM named WHERE reason = 'Empty or invalid HTML from both methods' UNION SELECT 'allrecipes.com')
+SELECT page_id, domain FROM named WHERE domain IN (SELECT domain FROM grown)"""
+
+
+def broken(file: str) -> str:
+    """The broken line that stands beside every 50th record."""
+    return f"""'{{"file": "' || {file} || '", "title": '"""
+
 
 ORACLE["read_labels"] = f"""WITH {LABELS}
-SELECT file, title, CAST(len(ingredients) AS INTEGER) AS n_ingredients, CAST(len(directions) AS INTEGER) AS n_directions
-FROM candidates WHERE doc_id % 50 <> 7
+SELECT file, title, {joined('ingredients')} AS ingredients, {joined('directions')} AS directions FROM candidates
 UNION ALL
-SELECT NULL, 'Invalid JSON', NULL, NULL FROM candidates WHERE doc_id % 50 = 7"""
+SELECT md5(line), 'Invalid JSON: ' || line, NULL, NULL
+FROM (SELECT {broken('file')} AS line FROM candidates WHERE doc_id % 50 = 7)"""
 ORACLE["write_corpus"] = _OUTCOME_CTE + """,
 numbered AS (
-  SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS out_index FROM outcomes WHERE status = 'valid')
-SELECT n.page_id, l.title, n.out_index, printf('recipe_%05d', n.out_index) AS out_name
-FROM numbered n JOIN page_labels l ON l.page_id = n.page_id"""
+  SELECT page_id, title, row_number() OVER (ORDER BY page_id) - 1 AS out_index FROM outcomes WHERE status = 'valid')
+SELECT page_id, title, out_index, printf('recipe_%05d', out_index) AS out_name FROM numbered"""
 ORACLE["materialize"] = blocks_cte() + "SELECT page_id, idx, text FROM blocks"
 
-# The stream comes in one file: one batch, numbered from 0 in file order.
-ORACLE["ingest_stream"] = page_text_cte("document") + f""", {DOMAINS}, {LABELS},
-first_pages AS (SELECT file, min(page_id) AS page_id FROM page_files GROUP BY file),
-checked AS (
-  SELECT c.file, f.page_id, d.url, d.domain,
-    c.title <> '' AND contains(t.page_text, lower(c.title)) AS title_ok,
-    {has_any('t.page_text', cleaned('c.ingredients'))} AS ingredients_ok,
-    {has_any('t.page_text', cleaned('c.directions'))} AS directions_ok
-  FROM candidates c LEFT JOIN first_pages f ON f.file = c.file
-    LEFT JOIN domains d ON d.page_id = f.page_id LEFT JOIN page_texts t ON t.page_id = f.page_id),
-stated AS (
-  SELECT *, page_id IS NOT NULL AND (title_ok OR ingredients_ok OR directions_ok) AS valid FROM checked)
-SELECT file, CASE WHEN valid THEN 'processed' ELSE 'failed' END AS status, url,
-  CASE WHEN page_id IS NULL THEN 'Missing href' WHEN NOT valid THEN
-    concat_ws(', ', CASE WHEN NOT title_ok THEN 'title missing' END,
-      CASE WHEN NOT ingredients_ok THEN 'no ingredients matched' END,
-      CASE WHEN NOT directions_ok THEN 'no directions matched' END) END AS reason,
-  coalesce(domain, '') AS domain,
-  CASE WHEN valid THEN row_number() OVER (PARTITION BY valid ORDER BY file) - 1 END AS out_index
-FROM stated"""
+# Four batches. Domains with a blank body in batch 2 are for the browser in batch 3, also for what is still open.
+ORACLE["ingest_stream"] = _OUTCOME_CTE + f""", {DOMAINS},
+placed AS (
+  SELECT CASE WHEN o.kind = 0 THEN printf('recipe_%05d', o.page) ELSE 'recipe_x' || o.page END AS file,
+    o.page AS n, o.kind, o.url, o.status, o.reason, CASE WHEN o.kind = 7 THEN '' ELSE d.domain END AS domain,
+    CASE WHEN o.kind = 0 THEN [0, 1, 3][o.page % 3 + 1] WHEN o.kind = 3 THEN 2 ELSE o.page % 2 END AS batch
+  FROM outcomes o JOIN domains d ON d.page_id = o.page
+  UNION ALL
+  SELECT 'recipe_d' || doc_id, doc_id, 7, NULL, 'failed', 'Missing href', '', doc_id % 4
+  FROM candidates WHERE file NOT IN (SELECT file FROM page_files)),
+listed AS (SELECT DISTINCT domain FROM placed WHERE kind = 3),
+final AS (
+  SELECT file, n, url, domain, batch,
+    CASE WHEN domain IN (SELECT domain FROM listed) AND (batch = 3 OR status IN ('pending', 'needs_browser'))
+      THEN 'needs_browser' ELSE status END AS status, reason
+  FROM placed),
+numbered AS (
+  SELECT *, CASE WHEN status = 'valid' THEN row_number() OVER (PARTITION BY status ORDER BY batch, file) - 1 END AS out_index
+  FROM final)
+SELECT file, CASE WHEN status = 'valid' THEN 'processed' ELSE status END AS status, url,
+  CASE WHEN status = 'failed' THEN reason END AS reason, domain, out_index
+FROM numbered
+UNION ALL
+SELECT md5(line), 'failed', NULL, 'Invalid JSON: ' || line, NULL, NULL
+FROM (SELECT {broken('file')} AS line FROM placed WHERE n % 50 = 7)"""
 
 # -- quality ------------------------------------------------------------------
 
@@ -353,8 +378,8 @@ ORACLE["clean_corpus"] = _REPORT + (
 
 _SECTION = f"""marked AS (
   SELECT *, CASE WHEN lower(tag) NOT IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN NULL
-      WHEN regexp_matches(lower(text), {_q(any_of(inputs.SECTIONS.ingredient))}) THEN 'ingredient'
-      WHEN regexp_matches(lower(text), {_q(any_of(inputs.SECTIONS.direction))}) THEN 'direction'
+      WHEN regexp_matches(lower(text), 'the|der') THEN 'ingredient'
+      WHEN regexp_matches(lower(text), 'la|que|in') THEN 'direction'
       ELSE '#none' END AS marker
   FROM blocks),
 sectioned AS (
@@ -371,7 +396,7 @@ numbered AS (
   SELECT page_id, 16 + row_number() OVER (ORDER BY page_id) AS out_index FROM outcomes WHERE status = 'valid')
 SELECT page_id, out_index, printf('recipe_%05d', out_index) AS out_name FROM numbered"""
 ORACLE["rate_limit_plan"] = f"""WITH {DOMAINS}
-SELECT domain, page_id, (row_number() OVER (PARTITION BY domain ORDER BY page_id) - 1) * {crawl.THROTTLE_SECONDS} AS wait
+SELECT domain, page_id, (row_number() OVER (PARTITION BY domain ORDER BY page_id) - 1) * 60 AS wait
 FROM domains"""
 ORACLE["limit_blocks"] = blocks_cte() + """
 SELECT page_id, idx, text FROM blocks WHERE page_id IN (SELECT page_id FROM pages ORDER BY page_id LIMIT 40)
@@ -441,12 +466,11 @@ SELECT class, round(precision, 9) AS precision, round(recall, 9) AS recall, roun
 
 # -- features and vectors -----------------------------------------------------
 
-F = inputs.FEATURES
 _CI = "lower(class || ' ' || id)"
 
 
 def word(words) -> str:
-    return _q(whole_word(words))
+    return _q(r"(^|[^\p{L}\p{N}_])(" + "|".join(words) + r")([^\p{L}\p{N}_]|$)")
 
 
 def flag(condition: str) -> str:
@@ -460,17 +484,17 @@ def count_of(char: str) -> str:
 _FEATURES = blocks_cte() + f""", {_SECTION},
 features AS (
   SELECT page_id, idx, text AS raw, tag, depth, CAST(length(text) AS INTEGER) AS text_len,
-    regexp_matches(text, {_q('^' + digit_class())}) AS starts_with_digit, 'None' AS parent_tag,
-    CAST(length(text) - length(regexp_replace(text, {_q(digit_class())}, '', 'g')) AS INTEGER) AS num_digits,
-    {flag(f"regexp_matches(lower(text), {word(F.units)})")} AS contains_unit,
+    regexp_matches(text, {_q('^' + DIGIT)}) AS starts_with_digit, 'None' AS parent_tag,
+    CAST(length(text) - length(regexp_replace(text, {_q(DIGIT)}, '', 'g')) AS INTEGER) AS num_digits,
+    {flag(f"regexp_matches(lower(text), {word(UNITS)})")} AS contains_unit,
     {count_of(',')} AS comma_count, {count_of('.')} AS dot_count,
     {flag(f"regexp_matches(text, '[0-9]|[½¼¾⅓]') OR regexp_matches(text, {word(('two', 'three', 'four', 'five'))})")} AS contains_quantity_number,
     idx AS element_index, round(idx / greatest(1, n_blocks - 1), 9) AS position_ratio,
     {flag("coalesce(section = 'ingredient', false)")} AS is_under_current_ingredient_section,
     {flag("coalesce(section = 'direction', false)")} AS is_under_current_direction_section,
-    {flag(f"regexp_matches({_CI}, {_q(any_of(F.ingredient))})")} AS class_has_ing_keyword,
-    {flag(f"regexp_matches({_CI}, {_q(any_of(F.direction))})")} AS class_has_dir_keyword,
-    {flag(f"regexp_matches({_CI}, {_q(any_of(F.title))})")} AS class_has_title_keyword
+    {flag(f"regexp_matches({_CI}, 'ad')")} AS class_has_ing_keyword,
+    {flag(f"regexp_matches({_CI}, 'step')")} AS class_has_dir_keyword,
+    {flag(f"regexp_matches({_CI}, 'a')")} AS class_has_title_keyword
   FROM sectioned)
 """
 _NUMBERS = (
@@ -507,7 +531,7 @@ _BOILERPLATE = (
     "regexp_matches(text, '(?i)^for the ') OR regexp_matches(text, "
     "'(?i)^(calories|fat|saturated fat|carbohydrates|sugar|fiber|protein|sodium|cholesterol)[:\\\\-]\\s*\\d+')"
 )
-_RECORDS = blocks_cte(WITHOUT_NAV) + f""",
+_RECORDS = blocks_cte(WITH_NAV) + f""",
 records AS (
   SELECT p.page_id, arg_min(b.text, b.idx) FILTER (WHERE b.tag = 'h1') AS title,
     coalesce(list(b.text ORDER BY b.idx) FILTER (WHERE b.tag = 'li' AND NOT ({_BOILERPLATE})), []) AS ingredients,
@@ -536,3 +560,11 @@ ORACLE["throttle_events"] = _THROTTLE + """
 SELECT e.user_id, e.event_id, p.event_id IS NOT NULL AS accepted
 FROM events e LEFT JOIN passed p ON p.user_id = e.user_id AND p.event_id = e.event_id"""
 ORACLE["throttle_stream"] = _THROTTLE + "SELECT user_id, event_id FROM passed"
+
+# -- training -----------------------------------------------------------------
+
+ORACLE["train_counts"] = blocks_cte() + f""", {LABELS},
+parts AS (
+  SELECT b.page_id, CASE WHEN {hash32("concat_ws(':', '42', b.page_id, b.idx)")} < {int(0.2 * 2**32)} THEN 'test' ELSE 'train' END AS part
+  FROM blocks b WHERE b.page_id IN (SELECT page_id FROM page_labels))
+SELECT part, count(*) AS n, count(DISTINCT page_id) AS pages FROM parts GROUP BY part"""

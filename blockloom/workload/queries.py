@@ -26,8 +26,6 @@ QUERIES: dict[str, Query] = {}
 
 DAY = 86_400
 WITHOUT_NAV = tuple(t for t in flatten.EXCLUDED_TAGS if t != "nav")
-# Boosting rounds and depth of the registered training runs.
-ROUNDS, DEPTH = 3, 3
 
 
 def query(fn: Query) -> Query:
@@ -100,18 +98,32 @@ def boilerplate_items(spark, sf):
 
 @query
 def read_labels(spark, sf):
-    """Label records written as JSON lines, some cut short, and read back."""
+    """Label records written as JSON lines, with broken lines and odd values beside them, and read back."""
     root = scratch_path(spark, "labels")
-    whole = F.to_json(F.struct("file", "title", "ingredients", "directions"))
-    line = F.when(F.col("doc_id") % 50 == 7, F.substring(whole, 1, 20)).otherwise(whole)
-    _labels(spark, sf).select(line.alias("value")).write.text(root)
-    rows = label_files.read_packed_labels(spark, root)
-    good = label_files.good_records(rows).select(
-        "file", "title", F.size("ingredients").alias("n_ingredients"), F.size("directions").alias("n_directions")
+    _label_lines(_labels(spark, sf).withColumn("n", F.col("doc_id"))).write.text(root)
+    return _label_rows(label_files.read_packed_labels(spark, root))
+
+
+def _label_lines(labels: DataFrame) -> DataFrame:
+    """JSON lines of label records; a broken one more for every 50th n, odd unread values in others."""
+    n = F.col("n")
+    odd = F.struct(
+        *[F.col(c) for c in labels.columns if c not in ("n", "doc_id", "batch")],
+        F.when(n % 3 == 0, F.lit("5")).when(n % 3 == 1, F.lit("4.5")).alias("rating"),
+        F.when(n % 4 == 0, F.lit("yes")).alias("hidden"),
+        (n + 3_000_000_000).alias("__v"),
     )
-    bad = label_files.bad_records(rows).select(F.substring("reason", 1, 12).alias("title")).select(
-        F.lit(None).cast("string").alias("file"), "title",
-        F.lit(None).cast("int").alias("n_ingredients"), F.lit(None).cast("int").alias("n_directions"),
+    broken = F.concat(F.lit('{"file": "'), F.col("file"), F.lit('", "title": '))
+    lines = F.when(n % 50 == 7, F.array(F.to_json(odd), broken)).otherwise(F.array(F.to_json(odd)))
+    return labels.select(F.explode(lines).alias("value"))
+
+
+def _label_rows(rows: DataFrame) -> DataFrame:
+    """Good and bad records side by side; a bad one is named by the hash of its text."""
+    good = label_files.good_records(rows).select("file", "title", _joined("ingredients"), _joined("directions"))
+    bad = label_files.bad_records(rows).select(
+        F.substring_index("file", "#", -1).alias("file"), F.col("reason").alias("title"),
+        F.lit(None).cast("string").alias("ingredients"), F.lit(None).cast("string").alias("directions"),
     )
     return good.unionByName(bad)
 
@@ -202,21 +214,35 @@ def registered_domain(spark, sf):
     return rows.select("page_id", "url", "domain")
 
 
+# Attempts beside the real pages, by the last digit of the page they repeat: blank, mistaken and refused
+# bodies, a record without href, and one that is not fetched yet. Their keys are negative.
+BLANK, MISTAKEN, REFUSED, TURNED_AWAY, NO_HREF, NOT_YET = 3, 4, 5, 6, 7, 8
+
+
+def _attempts(pages):
+    """pages and the attempts beside them: kind is 0 for a page itself. Bodies stay on the pages."""
+    n = (F.col("page_id") % 10).cast("int")
+    kinds = F.when(n.between(BLANK, NOT_YET), F.array(F.lit(0), n)).otherwise(F.array(F.lit(0)))
+    rows = pages.withColumn("kind", F.explode(kinds)).withColumnRenamed("page_id", "page")
+    key = F.when(F.col("kind") == 0, F.col("page")).otherwise(-1 - F.col("page"))
+    return rows.withColumn("page_id", key)
+
+
 def _fetched(spark, sf):
-    """Bodies as a crawler may have left them: some blank, refused or mistaken."""
-    n = F.col("page_id") % 10
+    """Bodies as a crawler may have left them: every page's, and those of the attempts beside them."""
+    kind = F.col("kind")
     body = (
-        F.when(n == 3, "  ").when(n == 4, "HTTP 404").when(n == 5, "<p>Error 405</p>")
-        .when(n == 6, "<html><body>Not Acceptable</body></html>").otherwise(F.col("html"))
+        F.when(kind == BLANK, "  ").when(kind == MISTAKEN, "HTTP 404").when(kind == REFUSED, "<p>Error 405</p>")
+        .when(kind == TURNED_AWAY, "<html><body>Not Acceptable</body></html>").otherwise(F.col("html"))
     )
-    return texts(spark, sf, "pages", "page_id", "html").select("page_id", body.alias("html"))
+    rows = _attempts(texts(spark, sf, "pages", "page_id", "html")).where(kind != NOT_YET)
+    return rows.select("page_id", body.alias("html"))
 
 
 def _outcomes(spark, sf):
-    href = F.when(F.col("page_id") % 10 == 7, F.lit(" ")).otherwise(F.col("url")).alias("href")
-    labels = inputs.page_labels(spark, sf).join(
-        table(spark, sf, "pages").select("page_id", href), "page_id"
-    )
+    href = F.when(F.col("kind") == NO_HREF, F.lit(" ")).otherwise(F.col("url")).alias("href")
+    tries = _attempts(table(spark, sf, "pages").select("page_id", "url")).select("page", "page_id", href)
+    labels = inputs.page_labels(spark, sf).withColumnRenamed("page_id", "page").join(tries, "page").drop("page")
     return crawl.crawl_outcome(_fetched(spark, sf), labels, "page_id")
 
 
@@ -227,12 +253,11 @@ def crawl_outcome(spark, sf):
 
 @query
 def browser_domains(spark, sf):
-    rows = _outcomes(spark, sf).select("page_id", "url", "reason")
-    rows = crawl.registered_domain(rows, inputs.suffix_rules(spark))
+    # Outcomes and domains are narrow: each is worked out once.
+    outcomes = stored(_outcomes(spark, sf).select("page_id", "url", "reason"))
+    rows = stored(crawl.registered_domain(outcomes, inputs.suffix_rules(spark)).select("page_id", "domain", "reason"))
     start = spark.createDataFrame([(d,) for d in crawl.BROWSER_DOMAINS], "domain string")
-    grown = crawl.grow_browser_domains(start, rows)
-    pages = crawl.registered_domain(table(spark, sf, "pages").select("page_id", "url"), inputs.suffix_rules(spark))
-    return crawl.needs_browser(pages, grown).select("page_id", "domain")
+    return crawl.needs_browser(rows, crawl.grow_browser_domains(start, rows)).select("page_id", "domain")
 
 
 # -- quality ------------------------------------------------------------------
@@ -385,12 +410,29 @@ def records_json(spark, sf):
     return corpus.records_json(_rule_records(spark, sf))
 
 
-def _trained(spark, sf):
-    blocks = training.labeled_blocks(
+def _blocks_to_learn(spark, sf):
+    return training.labeled_blocks(
         inputs.page_labels(spark, sf), texts(spark, sf, "pages", "page_id", "html"), "page_id",
         sections=inputs.SECTIONS, features=inputs.FEATURES,
     )
-    return training.train(blocks, ["page_id", "idx"], rounds=ROUNDS, depth=DEPTH)
+
+
+def _trained(spark, sf):
+    """The training job with its defaults; fitting is bounded by its fit_rows."""
+    return training.train(_blocks_to_learn(spark, sf), ["page_id", "idx"])
+
+
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _model(spark, sf):
+    """The trained model, saved by the first query of an application that needs it and loaded by others."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SAVED:
+        path = scratch_path(spark, "model")
+        training.save_model(_trained(spark, sf).model, path)
+        _SAVED[key] = path
+    return training.load_model(_SAVED[key])
 
 
 @query
@@ -398,10 +440,20 @@ def train_eval(spark, sf):
     return _trained(spark, sf).report
 
 
+@query
+def train_counts(spark, sf):
+    """Blocks of pages with label records by where training puts them: what is split, before fitting."""
+    rows = training.labeled_blocks(
+        inputs.page_labels(spark, sf), texts(spark, sf, "pages", "page_id", "html"), "page_id",
+        sections=inputs.SECTIONS, features=inputs.FEATURES, threshold=0.999_999,
+    )
+    split = sampling.train_test_split(rows, ["page_id", "idx"])
+    return split.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
+
+
 @query
 def predict_blocks(spark, sf):
-    model = _trained(spark, sf).model
-    return training.predict(model, _features(spark, sf)).select("page_id", "idx", "text", "prediction")
+    return training.predict(_model(spark, sf), _features(spark, sf)).select("page_id", "idx", "text", "prediction")
 
 
 # -- streaming ----------------------------------------------------------------
@@ -433,22 +485,47 @@ def throttle_stream(spark, sf):
 @query
 def ingest_stream(spark, sf):
     root = scratch_path(spark, "ingest")
-    pages = _pages(spark, sf)
-    one = pages.groupBy("file").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p"))
-    fetched = one.select("file", "p.page_id", "p.html")
-    href = one.select("file", F.col("p.url").alias("href"))
-    labels = inputs.candidate_labels(_stream(spark, sf, "documents")).join(href, "file", "left")
-    ingest.ingest_stream(
-        labels, fetched, inputs.suffix_rules(spark), f"{root}/state", f"{root}/corpus", f"{root}/checkpoint"
-    ).awaitTermination()
-    return crawl_state.load_state(spark, f"{root}/state")
+    named = F.when(F.col("page_id") < 0, F.concat(F.lit("recipe_x"), -1 - F.col("page_id"))).otherwise(
+        F.format_string(crawl.FILE_PATTERN, F.col("page_id").cast("int"))
+    )
+    fetched = _fetched(spark, sf).select(named.alias("file"), "html")
+    labels = stored(_ingest_labels(spark, sf, named))
+    for batch in range(4):
+        lines = _label_lines(labels.where(F.col("batch") == batch))
+        lines.write.mode("append").text(f"{root}/in")
+        stream = label_files.parse_packed_labels(spark.readStream.text(f"{root}/in"))
+        ingest.ingest_stream(
+            stream, fetched, inputs.suffix_rules(spark), f"{root}/state", f"{root}/corpus", f"{root}/checkpoint"
+        ).awaitTermination()
+    found = crawl_state.load_state(spark, f"{root}/state")
+    return found.withColumn("file", F.substring_index("file", "#", -1))
+
+
+def _ingest_labels(spark, sf, named):
+    """Label records in four batches: pages in 0, 1 and 3, blank attempts in 2, others in 0 and 1;
+    documents without a page, which have no href, by their ids."""
+    n, kind = F.col("n"), F.col("kind")
+    href = F.when(kind == NO_HREF, F.lit(" ")).otherwise(F.col("url")).alias("href")
+    batch = (
+        F.when(kind == 0, F.element_at(F.array(F.lit(0), F.lit(1), F.lit(3)), (n % 3 + 1).cast("int")))
+        .when(kind == BLANK, F.lit(2)).otherwise(n % 2)
+    )
+    tries = _attempts(_pages(spark, sf).select("page_id", "url", F.col("file").alias("document")))
+    records = _labels(spark, sf).withColumnRenamed("file", "document")
+    content = ["title", "ingredients", "directions"]
+    paged = records.join(tries, "document").withColumn("n", F.col("page"))
+    paged = paged.select(named.alias("file"), *content, href, "n", batch.cast("bigint").alias("batch"))
+    rest = records.join(tries.select("document"), "document", "left_anti").select(
+        F.concat(F.lit("recipe_d"), F.col("doc_id")).alias("file"), *content, F.lit(None).cast("string").alias("href"),
+        F.col("doc_id").alias("n"), (F.col("doc_id") % 4).alias("batch"),
+    )
+    return paged.unionByName(rest)
 
 
 @query
 def extract_stream(spark, sf):
     root = scratch_path(spark, "extract")
-    model = _trained(spark, sf).model
     stream_extract.extract_stream(
-        _stream(spark, sf, "pages"), model, f"{root}/out", f"{root}/checkpoint"
+        _stream(spark, sf, "pages"), _model(spark, sf), f"{root}/out", f"{root}/checkpoint"
     ).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("page_id", "title", "ingredients", "directions")
