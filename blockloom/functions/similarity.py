@@ -12,59 +12,56 @@ def within_length_bound(a: Column, b: Column, threshold: float) -> Column:
     return F.lit(2.0) * F.least(a, b) > F.lit(threshold) * (a + b)
 
 
-def first_match(threshold: float = 0.8, autojunk: bool = True):
-    """Pandas UDF (text, ingredients, directions, title) -> label.
+class Comparer:
+    """Ratios against one second sequence, whose index is built once."""
 
-    The candidates are the ones left by the length bound. Kinds are tried in
-    order and the first item above the threshold decides. Comparison is not
-    symmetric: items are the second sequence, whose index is built once per item
-    and kept for the batch; the title is the first.
+    def __init__(self, second: str, threshold: float, autojunk: bool):
+        from difflib import SequenceMatcher
+
+        self.second, self.threshold = second, threshold
+        self.matcher = SequenceMatcher(None, "", second, autojunk)
+        self.places: dict[str, int] = {}
+        for i, char in enumerate(second):
+            self.places[char] = self.places.get(char, 0) | (1 << i)
+
+    def common(self, first: str) -> int:
+        """Length of the longest common subsequence, a machine word of columns at a time."""
+        full = (1 << len(self.second)) - 1
+        row = full
+        for char in first:
+            hit = row & self.places.get(char, 0)
+            row = ((row + hit) | (row - hit)) & full
+        return len(self.second) - row.bit_count()
+
+    def above(self, first: str) -> bool:
+        """Whether the ratio is above the threshold. Matched blocks form a common subsequence, which bounds them."""
+        need = self.threshold * (len(first) + len(self.second))
+        if first == self.second:
+            return 2.0 * len(first) > need or not first
+        if 2.0 * self.common(first) <= need:
+            return False
+        self.matcher.set_seq1(first)
+        return self.matcher.ratio() > self.threshold
+
+
+def any_above(threshold: float = 0.8, autojunk: bool = True):
+    """Pandas UDF (firsts, seconds) -> whether any first has a ratio above the threshold with any second.
+
+    Both are arrays; the comparison is not symmetric. Null arrays compare with nothing.
     """
 
-    def label(
-        text: pd.Series, ingredients: pd.Series, directions: pd.Series, title: pd.Series
-    ) -> pd.Series:
-        from difflib import SequenceMatcher
+    def flags(firsts: pd.Series, seconds: pd.Series) -> pd.Series:
         from functools import lru_cache
 
         @lru_cache(maxsize=512)
-        def indexed(second: str) -> tuple[SequenceMatcher, dict[str, int]]:
-            places: dict[str, int] = {}
-            for i, char in enumerate(second):
-                places[char] = places.get(char, 0) | (1 << i)
-            return SequenceMatcher(None, "", second, autojunk), places
-
-        def common_subsequence(first: str, second: str, places: dict[str, int]) -> int:
-            """Length of the longest common subsequence, a machine word of columns at a time."""
-            full = (1 << len(second)) - 1
-            row = full
-            for char in first:
-                hit = row & places.get(char, 0)
-                row = ((row + hit) | (row - hit)) & full
-            return len(second) - row.bit_count()
-
-        def similar(first: str, second: str) -> bool:
-            if first == second:
-                return True
-            matcher, places = indexed(second)
-            # Matched blocks form a common subsequence, so its length bounds them.
-            bound = 2.0 * common_subsequence(first, second, places)
-            if not bound > threshold * (len(first) + len(second)):
+        def comparer(second: str) -> Comparer:
+            return Comparer(second, threshold, autojunk)
+
+        def found(these, those) -> bool:
+            if these is None or those is None:
                 return False
-            matcher.set_seq1(first)
-            return matcher.ratio() > threshold
-
-        def one(t, ings, dirs, ttl) -> str:
-            if t is None:
-                return "none"
-            if t in ings or any(similar(t, i) for i in ings):
-                return "ingredient"
-            if t in dirs or any(similar(t, d) for d in dirs):
-                return "direction"
-            if ttl is not None and similar(ttl, t):
-                return "title"
-            return "none"
-
-        return pd.Series([one(*row) for row in zip(text, ingredients, directions, title)])
-
-    return F.pandas_udf(label, "string")
+            return any(comparer(b).above(a) for b in those for a in these)
+
+        return pd.Series([found(*row) for row in zip(firsts, seconds)], dtype=bool)
+
+    return F.pandas_udf(flags, "boolean")

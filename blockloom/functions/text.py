@@ -22,10 +22,7 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 
 # Item texts that are headings or nutrition lines, not items.
 HEADING_ITEM = r"(?i)^for the "
-NUTRITION_ITEM = (
-    r"(?i)^(calories|fat|saturated fat|carbohydrates|sugar|fiber|protein|sodium|cholesterol)"
-    r"[:\\-]\s*\d+"
-)
+NUTRITION_ITEM = r"(?i)^(calories|fat|saturated fat|carbohydrates|sugar|fiber|protein|sodium|cholesterol)[:\\-]\s*\d+"
 
 
 @lru_cache(maxsize=1)

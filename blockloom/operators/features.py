@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.functions.text import any_of, count_char, count_digits, digit, whole_word
+from blockloom.operators.flatten import DIRECTION_KEYWORDS, INGREDIENT_KEYWORDS
 from blockloom.operators.sections import position_ratio
 
 # Measurement units.
@@ -22,6 +23,7 @@ UNITS = (
 QUANTITY_WORDS = ("two", "three", "four", "five")
 QUANTITY_SIGNS = "½¼¾⅓"
 
+# Names of the structured features.
 STRUCTURED = (
     "tag", "depth", "text_len", "starts_with_digit", "parent_tag", "num_digits",
     "contains_unit", "comma_count", "dot_count", "contains_quantity_number",
@@ -33,11 +35,9 @@ STRUCTURED = (
 
 @dataclass(frozen=True)
 class FeatureRules:
-    # Default keywords looked for in class and id.
-    ingredient: tuple[str, ...] = ("ingredient", "component", "element", "material")
-    direction: tuple[str, ...] = (
-        "instruct", "direction", "step", "method", "preparation", "procedure", "technique",
-    )
+    ingredient: tuple[str, ...] = INGREDIENT_KEYWORDS
+    direction: tuple[str, ...] = DIRECTION_KEYWORDS
+    # Default keywords of a title's class and id.
     title: tuple[str, ...] = ("title", "name", "headline")
     units: tuple[str, ...] = field(default=UNITS)
     fix_quantity: bool = False

@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.functions.similarity import first_match, within_length_bound
+from blockloom.functions.similarity import any_above, within_length_bound
 from blockloom.functions.text import is_digits, normalise
 
 
+#: Labels in order of priority, the column of their candidates, and whether the block's text is compared as
+#: the first sequence (with items) or as the second (with the title).
+LABELS = (
+    ("ingredient", "ing_candidates", True),
+    ("direction", "dir_candidates", True),
+    ("title", "title_candidate", False),
+)
+
+
 def pair(labels: DataFrame, pages: DataFrame, key: str = "file") -> DataFrame:
     """Labels with their page; a label without a page yields nothing."""
     return labels.join(pages, key, "inner")
@@ -79,18 +88,18 @@ def fuzzy_label(
     threshold: float = 0.8,
     autojunk: bool = True,
 ) -> DataFrame:
-    """Add label: 'ingredient', 'direction', 'title' or 'none', in that priority.
+    """Add label: the first of LABELS that has a candidate similar to the block, or 'none'.
 
-    A block without candidates goes to Python as a null and is not compared.
+    A block without candidates of a kind goes to Python as a null and is not compared.
     """
     rows = fuzzy_candidates(blocks, labels, key, threshold)
-    open_case = (
-        (F.size("ing_candidates") > 0)
-        | (F.size("dir_candidates") > 0)
-        | F.col("title_candidate").isNotNull()
-    )
-    text = F.when(open_case, F.col("t"))
-    label = first_match(threshold, autojunk)(
-        text, "ing_candidates", "dir_candidates", "title_candidate"
-    )
-    return rows.select(*blocks.columns, label.alias("label"))
+    similar = any_above(threshold, autojunk)
+    label, text = F, F.array("t")
+    for kind, candidates, text_is_first in LABELS:
+        there = F.col(candidates)
+        has = F.size(there) > 0 if text_is_first else there.isNotNull()
+        there = there if text_is_first else F.array(there)
+        own, others = F.when(has, text), F.when(has, there)
+        flag = similar(own, others) if text_is_first else similar(others, own)
+        label = label.when(flag, F.lit(kind))
+    return rows.select(*blocks.columns, label.otherwise(F.lit("none")).alias("label"))

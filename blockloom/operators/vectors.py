@@ -13,10 +13,9 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
+    FeatureHasher,
     Normalizer,
-    OneHotEncoder,
     SQLTransformer,
-    StringIndexer,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
@@ -31,7 +30,7 @@ from blockloom.session import stored
 
 # Text vectoriser defaults.
 MAX_TERMS = 500
-_MAX_TIES = 10_000  # words beyond max_terms looked at for the pair bound
+TAG_FEATURES = 256  # hashed tag names
 TOKEN_PATTERN = WORD + "{2,}+"
 
 _GRAMS_SQL = (
@@ -74,28 +73,27 @@ def tfidf_vocab(df: DataFrame, text: str = "text", max_terms: int = MAX_TERMS) -
 
     A pair is no more frequent than either of its words, so only words at least
     as frequent as the last of the max_terms best words can form a pair that gets
-    in. Counting pairs of those alone keeps the shuffle small: nearly all pairs
-    of a large corpus are rare, and counting all would move most of it. If ties
-    leave too many such words, all pairs are counted.
+    in. Pairs are joined with these words before they are counted: nearly all pairs
+    of a large corpus are rare, and counting all would move most of it. Whether the
+    words are broadcast is Spark's choice. Counting the words is a job that runs at once.
     """
     top = (F.desc("tf"), F.asc("term"))
     split = df.select(tokens(F.col(text)).alias("terms"))
-    words = _count_terms(split).orderBy(*top).limit(max_terms + _MAX_TIES).collect()
-    least = words[max_terms - 1]["tf"] if len(words) >= max_terms else 0
-    if least == 0 or (len(words) == max_terms + _MAX_TIES and words[-1]["tf"] >= least):
-        return term_counts(df, text).orderBy(*top).limit(max_terms)
-    frequent = [w["term"] for w in words if w["tf"] >= least]
-    marked = F.transform("terms", lambda t: F.when(t.isin(frequent), t))
-    pairs = split.select(marked.alias("__marked")).select(
-        F.zip_with(
-            F.slice("__marked", F.lit(1), F.greatest(F.size("__marked") - 1, F.lit(0))),
-            F.slice("__marked", F.lit(2), F.greatest(F.size("__marked") - 1, F.lit(0))),
-            lambda a, b: F.concat(a, F.lit(" "), b),  # null if either is
-        ).alias("terms")
+    words = stored(_count_terms(split))
+    best = words.orderBy(*top).limit(max_terms)
+    least = best.agg(F.count("*").alias("n"), F.min("tf").alias("tf")).first()
+    floor = least["tf"] if least["n"] == max_terms else 0
+    frequent = words.where(F.col("tf") >= floor).select("term")
+    count = F.greatest(F.size("terms") - 1, F.lit(0))
+    neighbours = F.zip_with(
+        F.slice("terms", F.lit(1), count), F.slice("terms", F.lit(2), count), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     )
-    best = [(w["term"], w["tf"]) for w in words[:max_terms]]
-    known = df.sparkSession.createDataFrame(best, "term string, tf bigint")
-    return known.unionByName(_count_terms(pairs)).orderBy(*top).limit(max_terms)
+    pairs = split.select(F.explode_outer(neighbours).alias("p")).where(F.col("p").isNotNull()).select("p.a", "p.b")
+    for side in ("a", "b"):
+        pairs = pairs.join(frequent.withColumnRenamed("term", side), side, "left_semi")
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("tf"))
+    counted = counted.select(F.concat("a", F.lit(" "), "b").alias("term"), "tf")
+    return best.unionByName(counted).orderBy(*top).limit(max_terms)
 
 
 def fit_counts(df: DataFrame, text: str = "text", max_terms: int = MAX_TERMS) -> list[Transformer]:
@@ -145,18 +143,15 @@ def tfidf_weights(
     counted = stored(PipelineModel(counting).transform(df.select(*keys, text)).select(*keys, "__counts"))
     vectors = PipelineModel(fit_idf(counted)).transform(counted)
     terms = F.lit(counting[1].vocabulary)
-    return (
-        vectors.select(*keys, F.posexplode_outer(vector_to_array("tfidf")).alias("__i", "weight"))
-        .where(F.col("weight") != 0)
-        .select(*keys, F.element_at(terms, F.col("__i") + 1).alias("term"), "weight")
-    )
+    pairs = F.zip_with(terms, vector_to_array("tfidf"), lambda t, w: F.struct(t.alias("term"), w.alias("weight")))
+    hits = F.filter(pairs, lambda p: p["weight"] != 0)  # within the row: most weights are zero
+    return vectors.select(*keys, F.explode(hits).alias("__p")).select(*keys, "__p.term", "__p.weight")
 
 
 def fit_structured(df: DataFrame, out: str = "structured") -> PipelineModel:
-    """Fitted one-hot (tag, parent tag) and numeric stages; an unseen tag gives zeros."""
+    """Stages for tag, parent tag and numbers. Tag names of wild pages have no bound, so they are hashed."""
     numeric = [c for c in STRUCTURED if c not in ("tag", "parent_tag")]
     doubles = ", ".join(f"CAST({c} AS DOUBLE) AS __{c}" for c in numeric)
-    # The indexer's extra category for unseen tags comes last, and dropLast makes it all zeros.
     return Pipeline(
         stages=[
             SQLTransformer(
@@ -165,8 +160,7 @@ def fit_structured(df: DataFrame, out: str = "structured") -> PipelineModel:
                     "CAST(parent_tag = 'None' AS DOUBLE) AS __parent_tag FROM __THIS__"
                 )
             ),
-            StringIndexer(inputCol="tag", outputCol="__tag_index", handleInvalid="keep"),
-            OneHotEncoder(inputCol="__tag_index", outputCol="__tag", dropLast=True),
+            FeatureHasher(inputCols=["tag"], outputCol="__tag", numFeatures=TAG_FEATURES),
             VectorAssembler(
                 inputCols=["__tag", "__parent_tag", *[f"__{c}" for c in numeric]], outputCol=out
             ),

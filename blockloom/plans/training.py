@@ -108,8 +108,8 @@ def train(
     over its rows, are fitted to a sample of fit_rows of them. Jobs run as this is called.
     """
     rows = stored(train_test_split(blocks, by or key, test, seed))
-    fit_rows = rows.where("part = 'train'").drop("part")
-    balanced = stored(balance_classes(fit_rows, key, label, seed=seed))
+    learned = rows.where("part = 'train'").drop("part")
+    balanced = stored(balance_classes(learned, key, label, seed=seed))
     model = fit_classifier(balanced, label, max_terms, rounds, depth, seed, fit_rows)
     predictions = predict(model, rows.where("part = 'test'").drop("part"))
     return Trained(model, classification_report(predictions, label), predictions)

@@ -80,7 +80,12 @@ def throttle(
     out: str = "accepted",
     delays_per_chunk: int = _DELAYS_PER_CHUNK,
 ) -> DataFrame:
-    """(key, ts, order, accepted): delay in seconds; order breaks ties in time."""
+    """(key, ts, order, accepted): delay in seconds; order breaks ties in time.
+
+    An event without a time is neither accepted nor refused: its accepted is null.
+    """
+    timeless = events.where(F.col(ts).isNull())
+    events = events.where(F.col(ts).isNotNull())
     micros = delay * 1_000_000
     width = micros * delays_per_chunk
     us = _micros(events, ts)
@@ -199,23 +204,35 @@ def throttle(
                 [c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow
             )
 
-    return ordered.mapInArrow(run, out_schema)
+    unknown = timeless.select(key, ts, order, F.lit(None).cast("boolean").alias(out))
+    return ordered.mapInArrow(run, out_schema).unionByName(unknown)
 
 
-def throttle_stream(events: DataFrame, key: str, ts: str, delay: int, order: str) -> DataFrame:
+def throttle_stream(
+    events: DataFrame, key: str, ts: str, delay: int, order: str, watermark: str | None = None
+) -> DataFrame:
     """Passed events of a stream, as (key, ts, order); the last passed time is kept per key.
 
     Within a micro-batch a key's events are taken in time order, so that batches
     that arrive in order give the batch form's result. Bound the batch at the
-    source (maxFilesPerTrigger, maxBytesPerTrigger).
+    source (maxFilesPerTrigger, maxBytesPerTrigger). Events without a time never pass.
+    With a watermark (e.g. "1 hour"), a key's state goes once nothing can be refused for it any more.
     """
+    events = events.where(F.col(ts).isNotNull())
+    if watermark:
+        events = events.withWatermark(ts, watermark)
     micros = delay * 1_000_000
     schema = T.StructType([events.schema[c] for c in (key, ts, order)])
     narrow = events.select(key, ts, order, _micros(events, ts).alias("__us"))
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else _NEVER
-        pdf = pd.concat(list(frames)).sort_values(["__us", order])
+        opens = last + micros
+        kept = [f[f["__us"] >= opens] for f in frames]  # what the last passed event refuses is not held
+        pdf = pd.concat(kept).sort_values(["__us", order])
         times = pdf["__us"].to_numpy()
         picked = []
         at = int(np.searchsorted(times, last + micros, side="left"))
@@ -223,10 +240,20 @@ def throttle_stream(events: DataFrame, key: str, ts: str, delay: int, order: str
             picked.append(at)
             last = int(times[at])
             at = int(np.searchsorted(times, last + micros, side="left"))
-        state.update((last,))
+        if watermark and (last + micros) // 1000 < state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+        elif last != _NEVER:
+            state.update((last,))
+            if watermark:
+                state.setTimeoutTimestamp((last + micros) // 1000 + 1)
         if picked:
             yield pdf.iloc[picked][[key, ts, order]]
 
     return narrow.groupBy(key).applyInPandasWithState(
-        step, schema, "last bigint", "append", GroupStateTimeout.NoTimeout
+        step,
+        schema,
+        "last bigint",
+        "append",
+        GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout,
     )

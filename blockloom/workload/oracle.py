@@ -439,6 +439,13 @@ SELECT doc_id, label, CAST(0 AS BIGINT) AS copy FROM ranked WHERE rank < target
 UNION ALL
 SELECT r.doc_id, r.label, d.copy FROM draws d JOIN ranked r ON r.label = d.label AND r.rank = d.rank"""
 
+_DEFAULTS = PLAN.replace("* 0.5", "* 0.33").replace("least(n, minors)", "least(n, 3 * minors)")
+ORACLE["class_plan_defaults"] = f"WITH {_DEFAULTS} SELECT label, n, mean_minor, floor_target, target FROM plan"
+ORACLE["balance_classes_defaults"] = ORACLE["balance_classes"].replace(PLAN, _DEFAULTS)
+ORACLE["shuffle_rows"] = f"""WITH {CLASSES}
+SELECT doc_id, label, row_number() OVER (ORDER BY md5(concat_ws(':', '42', doc_id)), doc_id) - 1 AS place FROM classes"""
+ORACLE["page_files"] = "SELECT page_id, md5(html) AS md5, CAST(length(html) AS INTEGER) AS n_chars FROM pages"
+
 ORACLE["classification_report"] = f"""WITH {CLASSES},
 rows AS (
   SELECT c.label AS y, CASE WHEN d.n_chars < 600 THEN 'none' WHEN d.lang = 'en' THEN 'ingredient'
@@ -545,6 +552,11 @@ ORACLE["records_json"] = _RECORDS + (
     "SELECT page_id, CAST(to_json({'title': title, 'ingredients': ingredients, 'directions': directions}) AS VARCHAR) AS json FROM records"
 )
 
+ORACLE["rule_extract_stream"] = ORACLE["extract_records"].replace(blocks_cte(WITH_NAV), blocks_cte())
+ORACLE["rule_predictions"] = blocks_cte() + """
+SELECT page_id, idx, text, CASE tag WHEN 'h1' THEN 'title' WHEN 'li' THEN 'ingredient' WHEN 'p' THEN 'direction' ELSE 'none' END AS prediction
+FROM blocks"""
+
 # -- throttle -----------------------------------------------------------------
 
 _THROTTLE = f"""WITH RECURSIVE chain AS (

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from blockloom.functions.text import (
     is_boilerplate_item,
     nonblank_items as nonblank,
 )
+from blockloom.operators.numbering import number_within
 from blockloom.operators import crawl, features, flatten, pairing, quality, records, reports, sampling, sections, vectors
 from blockloom.plans import curation, extraction, training
 from blockloom.session import scratch_path, stored
@@ -128,6 +131,18 @@ def _label_rows(rows: DataFrame) -> DataFrame:
     return good.unionByName(bad)
 
 
+@query
+def page_files(spark, sf):
+    """Pages written as a file each and read back by their names."""
+    root = scratch_path(spark, "page-files")
+    pages = texts(spark, sf, "pages", "page_id", "html")
+    pages.select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").option("lineSep", "\x00").text(root)
+    files = spark.read.option("pathGlobFilter", "part-*").text(f"{root}/*", wholetext=True)
+    key = F.regexp_extract(F.col("_metadata.file_path"), r"page_id=(\d+)", 1).cast("bigint")
+    html = F.replace(F.col("value"), F.lit("\x00"), F.lit(""))
+    return files.select(key.alias("page_id"), F.md5(html).alias("md5"), F.char_length(html).alias("n_chars"))
+
+
 @query
 def write_corpus(spark, sf):
     valid = _outcomes(spark, sf).where("status = 'valid'").select("page_id", "title")
@@ -348,6 +363,24 @@ def balance_classes(spark, sf):
     return sampling.balance_classes(inputs.classes(spark, sf), ["doc_id"], ratio=1, floor=0.5)
 
 
+@query
+def class_plan_defaults(spark, sf):
+    return sampling.class_plan(inputs.classes(spark, sf))
+
+
+@query
+def balance_classes_defaults(spark, sf):
+    return sampling.balance_classes(inputs.classes(spark, sf), ["doc_id"])
+
+
+@query
+def shuffle_rows(spark, sf):
+    """Every class row with its place in the seeded order."""
+    order = sampling.seeded_hash(sampling.SEED, "doc_id")
+    rows = inputs.classes(spark, sf).withColumn("__h", order)
+    return number_within(rows, [], ["__h", "doc_id"], "place").select("doc_id", "label", "place")
+
+
 @query
 def classification_report(spark, sf):
     n, lang = F.col("n_chars"), F.col("lang")
@@ -417,27 +450,28 @@ def _blocks_to_learn(spark, sf):
     )
 
 
-def _trained(spark, sf):
-    """The training job with its defaults; fitting is bounded by its fit_rows."""
-    return training.train(_blocks_to_learn(spark, sf), ["page_id", "idx"])
+_FITTED: dict[tuple[str, str], str] = {}
 
 
-_SAVED: dict[tuple[str, str], str] = {}
+def _fitted(spark, sf):
+    """Folder with model and report of the training job, run with its defaults by the first query that needs it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        root = scratch_path(spark, "fitted")
+        trained = training.train(_blocks_to_learn(spark, sf), ["page_id", "idx"])
+        training.save_model(trained.model, f"{root}/model")
+        trained.report.write.parquet(f"{root}/report")
+        _FITTED[key] = root
+    return _FITTED[key]
 
 
 def _model(spark, sf):
-    """The trained model, saved by the first query of an application that needs it and loaded by others."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SAVED:
-        path = scratch_path(spark, "model")
-        training.save_model(_trained(spark, sf).model, path)
-        _SAVED[key] = path
-    return training.load_model(_SAVED[key])
+    return training.load_model(f"{_fitted(spark, sf)}/model")
 
 
 @query
 def train_eval(spark, sf):
-    return _trained(spark, sf).report
+    return spark.read.parquet(f"{_fitted(spark, sf)}/report")
 
 
 @query
@@ -522,6 +556,31 @@ def _ingest_labels(spark, sf, named):
     return paged.unionByName(rest)
 
 
+class _TagRules(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """A model of fixed rules: the label follows from the tag."""
+
+    def _transform(self, dataset):
+        return inputs.rule_labels(dataset)
+
+
+@query
+def rule_predictions(spark, sf):
+    """The scoring job with a model whose answers are known."""
+    rows = training.predict(PipelineModel([_TagRules()]), _features(spark, sf))
+    return rows.select("page_id", "idx", "text", "prediction")
+
+
+@query
+def rule_extract_stream(spark, sf):
+    """The streaming extraction job with that model."""
+    root = scratch_path(spark, "extract-rules")
+    stream_extract.extract_stream(
+        _stream(spark, sf, "pages"), PipelineModel([_TagRules()]), f"{root}/out", f"{root}/checkpoint"
+    ).awaitTermination()
+    rows = spark.read.parquet(f"{root}/out")
+    return rows.select("page_id", "title", _joined("ingredients"), _joined("directions"))
+
+
 @query
 def extract_stream(spark, sf):
     root = scratch_path(spark, "extract")

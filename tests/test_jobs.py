@@ -43,6 +43,35 @@ def test_label_files(spark, folder):
     assert [r.file for r in read_labels(spark, folder[0], limit_files=2).collect()] == ["recipe_00001", "recipe_00002"]
 
 
+def test_odd_values_in_other_fields_do_not_spoil_a_record(spark, tmp_path):
+    odd = ['"rating": 4.5', '"hidden": "yes"', '"rating": "5"', '"__v": 3000000000', '"users": "me"', '"ratings": [1]', '"keywords": {}']
+    lines = [f'{{"file": "recipe_{i}", "title": "t", "ingredients": ["x", 2], {o}}}' for i, o in enumerate(odd)]
+    (tmp_path / "labels.jsonl").write_text("\n".join(lines))
+    rows = good_records(read_packed_labels(spark, str(tmp_path / "labels.jsonl"))).collect()
+    assert len(rows) == len(odd) and all(r.title == "t" and r.ingredients == ["x", "2"] for r in rows)
+
+
+def test_whole_reasons(spark, tmp_path):
+    (tmp_path / "labels.jsonl").write_text("x" * 999)
+    bad = bad_records(read_packed_labels(spark, str(tmp_path / "labels.jsonl"))).first()
+    assert bad.reason == "Invalid JSON: " + "x" * 999 and bad.file.startswith("labels.jsonl#")
+
+
+def test_no_machine_local_scratch_off_one_machine(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from blockloom import session
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)), master="spark://x:7077")
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
+    some = SimpleNamespace(isDefined=lambda: True, get=lambda: "hdfs://shared/cp")
+    context._jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: some))
+    assert session.shared_dir(SimpleNamespace(sparkContext=context, conf=conf)) == "hdfs://shared/cp"
+
+
 def test_packed_labels(spark, tmp_path):
     lines = ['{"file": "recipe_1", "title": "a", "ingredients": ["x"]}', '{"file": "recipe_2", "tit', '{"file": "recipe_3"}']
     (tmp_path / "labels.jsonl").write_text("\n".join(lines))

@@ -3,28 +3,12 @@ from difflib import SequenceMatcher
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from blockloom.functions.similarity import first_match
+from blockloom.functions.similarity import any_above
 from blockloom.operators import pairing
-from blockloom.operators.flatten import html_blocks
-from blockloom.workload import inputs
 
 FOX = "the quick brown fox jumps over the lazy dog and then sleeps " * 5
 
 
-def ratio(a, b):
-    return SequenceMatcher(None, a, b).ratio()
-
-
-def expected(text, title, ingredients, directions, threshold=0.8):
-    t = text.strip().lower()
-    if not t or t.isdigit():
-        return "none"
-    for kind, items in (("ingredient", ingredients), ("direction", directions)):
-        if any(ratio(t, i.lower()) > threshold for i in items):
-            return kind
-    return "title" if ratio((title or "").strip().lower(), t) > threshold else "none"
-
-
 def labelled(spark, texts, title, ingredients, directions, **options):
     blocks = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "file string, idx int, text string")
     labels = spark.createDataFrame(
@@ -35,40 +19,51 @@ def labelled(spark, texts, title, ingredients, directions, **options):
     return [r.label for r in rows]
 
 
-def test_labels_match_the_definition(spark):
-    title, ings = "Tide", ["1 Cup Sugar", "abcde", FOX]
-    dirs = ["Mix all of it well.", "diet", "x" + FOX, ""]
-    texts = ["1 cup sugar ", "1 cup of sugar", "abcd", "abcdx", "mix all of it", "tide", "TIDE", "12", " ", FOX, "x" + FOX, "y" + FOX]
-    want = [expected(t, title, ings, dirs) for t in texts]
-    assert labelled(spark, texts, title, ings, dirs) == want
-    assert {"ingredient", "direction", "title", "none"} == set(want)
+# (block text, label) for title "Tide", ingredients and directions below; worked out by hand.
+GOLDEN = [
+    ("1 cup sugar ", "ingredient"),  # equal after strip and lower case
+    ("1 cup of sugar", "ingredient"),  # 11 matched of 11 + 14
+    ("abcd", "ingredient"),  # 4 matched of 4 + 5
+    ("abcdx", "none"),  # 4 matched of 5 + 5 is 0.8, not above
+    ("mix all of it", "direction"),  # 13 matched of 13 + 19
+    ("mix all of", "none"),  # 10 matched of 10 + 19
+    ("Mix all of it well", "direction"),
+    ("tide", "title"),
+    ("diet", "direction"),
+    ("12", "none"),  # digits only
+    (" ", "none"),
+]
+
+
+def test_golden_labels(spark):
+    ings, dirs = ["1 Cup Sugar", "abcde"], ["Mix all of it well.", "diet", ""]
+    assert labelled(spark, [t for t, _ in GOLDEN], "Tide", ings, dirs) == [label for _, label in GOLDEN]
+
+
+def test_priority_of_kinds(spark):
+    assert labelled(spark, ["stir it"], "Stir it", ["stir it"], ["stir it"]) == ["ingredient"]
+    assert labelled(spark, ["stir it"], "Stir it", [], ["stir it"]) == ["direction"]
+    assert labelled(spark, ["stir it"], "Stir it", [], []) == ["title"]
+    assert labelled(spark, ["stir it"], None, None, None) == ["none"]
+
+
+def test_comparison_is_not_symmetric(spark):
+    """ratio(tide, diet) is 0.25 and ratio(diet, tide) 0.5; items come second, the title first."""
+    assert labelled(spark, ["tide"], None, ["diet"], None, threshold=0.3) == ["none"]
+    assert labelled(spark, ["diet"], None, ["tide"], None, threshold=0.3) == ["ingredient"]
+    assert labelled(spark, ["tide"], "diet", None, None, threshold=0.3) == ["title"]
+    assert labelled(spark, ["diet"], "tide", None, None, threshold=0.3) == ["none"]
 
 
 def test_exactly_at_the_threshold_is_no_match(spark):
-    assert ratio("abcd", "abcdxx") == 0.8
     assert labelled(spark, ["abcd"], None, ["abcdxx"], None) == ["none"]
 
 
 def test_autojunk(spark):
-    assert ratio(FOX, "x" + FOX) == 0.0
     assert labelled(spark, [FOX], "", ["x" + FOX], []) == ["none"]
     assert labelled(spark, [FOX], "", ["x" + FOX], [], autojunk=False) == ["ingredient"]
 
 
-def test_blocks_of_pages_match_the_definition(spark):
-    """All blocks of the smallest tables against brute force."""
-    sf = "/root/testdata/sf0.001"
-    blocks = html_blocks(spark.read.parquet(f"{sf}/pages.parquet"))
-    labels = inputs.page_labels(spark, sf)
-    records = {r.page_id: r for r in labels.collect()}
-    rows = pairing.fuzzy_label(blocks, labels, "page_id").collect()
-    assert len(rows) == sum(1 for b in blocks.collect() if b.page_id in records)
-    for r in rows:
-        rec = records[r.page_id]
-        assert r.label == expected(r.text, rec.title, rec.ingredients, rec.directions), (r.page_id, r.idx)
-    assert len({r.label for r in rows}) == 4
-
-
 words = st.text(alphabet="abcde ", max_size=30)
 near = st.tuples(words, words, st.integers(0, 30)).map(lambda p: (p[0], p[0][: p[2]] + p[1][:3] + p[0][p[2]:]))
 long_near = st.tuples(st.text(alphabet="abcdefgh ", min_size=190, max_size=260), st.integers(0, 200)).map(
@@ -79,14 +74,13 @@ long_near = st.tuples(st.text(alphabet="abcdefgh ", min_size=190, max_size=260),
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.tuples(words, words), near, long_near), st.sampled_from([0.5, 0.8, 0.95]))
 def test_bounds_never_drop_a_match(pair, threshold):
-    """The comparison inside the UDF, with its bounds, against the plain ratio."""
+    """The comparison inside the UDF, with its bounds, against the library's plain ratio."""
     import pandas as pd
 
     a, b = pair
-    run = first_match(threshold).func
-    got = run(pd.Series([a]), pd.Series([[b]]), pd.Series([[]]), pd.Series([None])).iloc[0]
-    assert (got == "ingredient") == (ratio(a, b) > threshold)
-    if a and ratio(a, b) > threshold:  # a blank text is never compared
+    plain = SequenceMatcher(None, a, b).ratio() > threshold
+    assert any_above(threshold).func(pd.Series([[a]]), pd.Series([["", b][1:]])).iloc[0] == plain
+    if a and plain:
         assert 2.0 * min(len(a), len(b)) > threshold * (len(a) + len(b))
 
 

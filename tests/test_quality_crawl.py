@@ -94,7 +94,7 @@ def test_crawl_outcome(spark):
     mismatch = "title missing, no ingredients matched, no directions matched"
     assert got == {
         "no_href": ("failed", "Missing href"), "blank_href": ("failed", "Missing href"),
-        "no_body": ("failed", "Empty or invalid HTML from both methods"),
+        "no_body": ("pending", None),
         "blank": ("failed", "Empty or invalid HTML from both methods"),
         "refused": ("needs_browser", None), "refused_twice": ("failed", mismatch),
         "http": ("failed", mismatch), "ok": ("valid", None),

@@ -110,9 +110,10 @@ def test_structured_vectors(spark):
     model = vectors.fit_structured(feature_rows(spark, ["p", "p", "h1"]))
     out = model.transform(feature_rows(spark, ["h1", "section"])).orderBy("idx").collect()
     known, unseen = out[0].structured.toArray(), out[1].structured.toArray()
-    assert len(known) == 2 + 16  # two tags, the parent tag, 15 numbers
-    assert known[:2].sum() == 1 and unseen[:2].sum() == 0
-    assert known[2] == unseen[2] == 1
+    tags = vectors.TAG_FEATURES
+    assert len(known) == tags + 16  # hashed tags, the parent tag, 15 numbers
+    assert known[:tags].sum() == unseen[:tags].sum() == 1 and (known[:tags] != unseen[:tags]).any()
+    assert known[tags] == unseen[tags] == 1
 
 
 def test_feature_union(spark):

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from blockloom.sources.labels import read_packed_labels
 from blockloom.sources.state import browser_domains, load_state, next_index
 from blockloom.streaming.extract import extract_stream
 from blockloom.streaming.ingest import ingest_batch, ingest_stream
@@ -145,7 +146,51 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path, crawl):
     ingest_batch(spark.createDataFrame(labels(0, 12), LABELS), 2, fetched, suffixes, state, corpus)
     assert spark.read.parquet(f"{state}/batch=2").count() == 0
     ingest_batch(spark.createDataFrame(labels(0, 12), LABELS), 3, fetched, suffixes, state, corpus, retry_failed=True)
-    assert spark.read.parquet(f"{state}/batch=3").count() == 5
+    # Two had blank bodies, so their domains are the browser's now; the other three fail as before.
+    changed = spark.read.parquet(f"{state}/batch=3").collect()
+    assert sorted((r.file, r.status) for r in changed) == [("recipe_4", "needs_browser"), ("recipe_8", "needs_browser")]
+    assert load_state(spark, state).count() == 12
+
+
+def test_open_files_are_tried_again(spark, tmp_path):
+    """A refused body, a body not fetched yet and corrupt lines: every label has a row in state."""
+    suffixes = spark.createDataFrame([("com",)], "suffix string")
+    state, corpus = str(tmp_path / "state"), str(tmp_path / "corpus")
+    lines = [f'{{"file": "recipe_{i}", "title": "Title {i}", "href": "http://a{i}.com/x", "rating": 4.5}}' for i in range(4)]
+    lines += ['{"file": "recipe_9"', "no json", "no json", "[1]"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join(lines))
+    labels = read_packed_labels(spark, str(tmp_path / "in"))
+    body = "file string, html string, fetched_by string"
+    first = spark.createDataFrame([("recipe_0", "<p>title 0</p>", "plain"), ("recipe_1", "Error 405", "plain")], body)
+    ingest_batch(labels, 0, first, suffixes, state, corpus)
+    found = {r.file: r.status for r in load_state(spark, state).collect()}
+    assert [found[f"recipe_{i}"] for i in range(4)] == ["processed", "needs_browser", "pending", "pending"]
+    assert len(found) == 4 + 3 and sum(s == "failed" for s in found.values()) == 3  # equal lines are one
+    more = first.union(spark.createDataFrame([("recipe_1", "<p>title 1</p>", "browser"), ("recipe_2", "<p>title 2</p>", "plain")], body))
+    ingest_batch(labels.limit(0), 1, more, suffixes, state, corpus)
+    rows = {r.file: (r.status, r.out_index) for r in load_state(spark, state).collect()}
+    assert rows["recipe_1"] == ("processed", 1) and rows["recipe_2"] == ("processed", 2) and rows["recipe_3"] == ("pending", None)
+    ingest_batch(labels.limit(0), 2, more, suffixes, state, corpus)
+    assert spark.read.parquet(f"{state}/batch=2").count() == 0 and load_state(spark, state).count() == 7
+
+
+def test_events_without_a_time(spark, tmp_path):
+    rows = [("a", at(0), 0), ("a", None, 1), ("a", at(60), 2), (None, None, 3)]
+    got = throttle(spark.createDataFrame(rows, EVENTS), "k", "ts", 60, "n")
+    assert {r.n: r.accepted for r in got.collect()} == {0: True, 1: None, 2: True, 3: None}
+
+
+def test_state_of_a_stream_expires(spark, tmp_path):
+    rows = [("a", at(0), 0), ("a", at(30), 1), ("b", at(500), 2), ("a", at(1000), 3), ("a", at(1030), 4), ("b", None, 5)]
+    for r in rows:
+        write(spark, [r], tmp_path / "in", EVENTS)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    passed = throttle_stream(stream, "k", "ts", 45, "n", watermark="10 seconds")
+    q = passed.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    assert {r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0, 2, 3}
+    assert q.recentProgress[-1].stateOperators[0].numRowsTotal <= 1
 
 
 def test_extract_stream_equals_batch(spark, tmp_path, model, recipes):
