@@ -64,11 +64,18 @@ class PageWalker(HTMLParser):
         self._special = 0  # open elements whose text is not ordinary text
         self._has_root = False
 
-    def walk(self, html: str | None) -> list[Node]:
+    def readable(self, html: str | None) -> bool:
+        """False if the parser gives up, as it does on some malformed declarations."""
         try:
             self.feed(html or "")
             self.close()
-        except AssertionError:  # the parser gives up on some malformed declarations
+        except AssertionError:
+            return False
+        return True
+
+    def walk(self, html: str | None) -> list[Node]:
+        """The page's text nodes; none of an unreadable page (flatten.unreadable_pages() reports those)."""
+        if not self.readable(html):
             return []
         self._flush()
         self._pop_to(0)

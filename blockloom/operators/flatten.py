@@ -133,6 +133,16 @@ def html_blocks(
     return source.mapInArrow(flatten, schema)
 
 
+def unreadable_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, reason) of the pages whose markup can not be parsed; they have no blocks and no text."""
+
+    def readable(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: PageWalker().readable(t)).astype(bool)
+
+    rows = pages.withColumn("__ok", F.pandas_udf(readable, "boolean")(F.col(html)))
+    return rows.where(~F.col("__ok")).select(key, F.lit("Unreadable HTML").alias("reason"))
+
+
 def page_text_column(html: Column, scope: str = "body", stripped: bool = True) -> Column:
     """Lowercased text of a page as a Column; see page_text."""
     if scope not in ("body", "document"):

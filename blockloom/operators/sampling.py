@@ -95,6 +95,7 @@ def balance_classes(
     floor: float = FLOOR_OF_MEAN,
     seed: int = SEED,
     out: str = "copy",
+    shuffled: bool = False,
 ) -> DataFrame:
     """Down-sample 'none' without, and lift small classes with, replacement.
 
@@ -113,7 +114,7 @@ def balance_classes(
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    return result
+    return shuffle(result, [*key, out], seed) if shuffled else result
 
 
 def _keep_first(df: DataFrame, key: list[str], label: str, target: int, seed: int) -> DataFrame:

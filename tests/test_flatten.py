@@ -133,3 +133,11 @@ def test_context_of_block_tables_equals_the_fold(spark):
     assert folded.select(*columns).exceptAll(tabled.select(*columns)).count() == 0
     assert folded.select(*columns).count() == tabled.count()
     assert folded.where("section is not null").count() > 0
+
+
+def test_unreadable_pages(spark, page):
+    from blockloom.operators.flatten import html_blocks, unreadable_pages
+
+    df = page("<body><p>a</p></body>", "<p>x</p><![ x [", None, "<p>b")
+    assert [tuple(r) for r in unreadable_pages(df).collect()] == [(1, "Unreadable HTML")]
+    assert {r.page_id for r in html_blocks(df).collect()} == {0, 3}

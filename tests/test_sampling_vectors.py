@@ -129,3 +129,14 @@ def test_pruned_vocabulary_equals_full_counts(spark, max_terms):
     assert vectors.tfidf_vocab(df, "text", max_terms).collect() == full
     if max_terms == 300:
         assert any(" " in r.term for r in full)
+
+
+def test_balanced_rows_can_be_shuffled(spark):
+    from blockloom.operators import sampling
+
+    rows = [(i, "none" if i % 4 else "a") for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, label string")
+    plain = sampling.balance_classes(df, ["id"])
+    mixed = sampling.balance_classes(df, ["id"], shuffled=True).collect()
+    assert sorted(map(tuple, mixed)) == sorted(map(tuple, plain.collect()))
+    assert mixed != sorted(mixed) and mixed == sampling.balance_classes(df, ["id"], shuffled=True).collect()
