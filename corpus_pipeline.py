@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blockloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules, tokens
-from blockloom.llm.common import table
+from blockloom.llm.common import BLANKS, table
 from blockloom.session import scratch_path
 
 
@@ -24,8 +24,10 @@ def clean_lines(spark, docs, sf_dir):
 
 
 def drop_repeated_lines(spark, docs, sf_dir):
-    """Documents without windows of lines that came before, in them or elsewhere."""
-    return _lengths(line_dedup.dedup_lines(docs))
+    """Documents without windows of lines that came before, in them or elsewhere; one that has no text left goes."""
+    found = line_dedup.dedup_lines(docs, report=True)
+    emptied = (F.col("n_removed") > 0) & (F.btrim("text", F.lit(BLANKS)) == "")
+    return _lengths(found.where(~F.coalesce(emptied, F.lit(False))).select(*[f"`{c}`" for c in docs.columns]))
 
 
 def drop_near_copies(spark, docs, sf_dir):
