@@ -357,10 +357,14 @@ def keep_one(docs: DataFrame, rule: Similar = Similar()) -> DataFrame:
     found = stored(join_similar(docs, rule))
     extra = found.where("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct()
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    left = docs.join(extra, F.col("doc_id") == F.col("__id"), "left_anti")
-    once = left.join(again, F.col("doc_id") == F.col("__id"), "left_anti")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    rest = left.join(again, F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", F.struct(*own).alias("__row"))
+    same = F.col("doc_id") == F.col("__id")
+    # What goes grows with the documents, so it is never broadcast; texts are shuffled once.
+    left = docs.join(extra.hint("merge"), same, "left_anti").select(*own)
+    if again.isEmpty():
+        return left
+    once = left.join(again, same, "left_anti")
+    rest = left.join(again, same, "left_semi").select("doc_id", F.struct(*own).alias("__row"))
     rest = rest.groupBy("doc_id").agg(F.min("__row").alias("__row"))
     return once.select(*own).unionAll(rest.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
 
