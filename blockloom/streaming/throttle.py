@@ -83,6 +83,8 @@ def throttle(
     """(key, ts, order, accepted): delay in seconds; order breaks ties in time.
 
     An event without a time is neither accepted nor refused: its accepted is null.
+    delays_per_chunk should be small against the delays that the events span: a key is dealt over span /
+    (delay * delays_per_chunk) tasks, and a task that folds its chunks gets one in delays_per_chunk of its times.
     """
     timeless = events.where(F.col(ts).isNull())
     events = events.where(F.col(ts).isNotNull())
