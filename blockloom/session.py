@@ -78,7 +78,9 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal out rows that are costly to process where the reader can not split the input.
 
     A file of one row group is one task, whatever the split size. Input of as many pieces as a shuffle
-    has (spark.sql.shuffle.partitions), which any large table is, stays as it is.
+    has (spark.sql.shuffle.partitions), which any large table is, stays as it is; small input is not
+    dealt out further than there are cores to work on it.
     """
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(wanted, df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
