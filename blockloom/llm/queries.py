@@ -11,6 +11,7 @@ from blockloom.llm.chat_windows import op3_budgeted_chat_windows
 from blockloom.llm.decontaminate import op4_spaced_seed_decontamination
 from blockloom.llm.line_dedup import op5_window_line_dedup
 from blockloom.llm.ngram_join import op9_prefix_tree_jaccard_join
+from blockloom.llm.oracle import ORACLE
 from blockloom.llm.packing import op2_vector_packing
 from blockloom.llm.quality_rules import op7_line_first_cleaning
 from blockloom.llm.resharding import op6_min_cost_resharding
@@ -33,4 +34,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {"op8_temporal_url_lists": url_lists.ORACLE_SQL}
+__all__ = ["ORACLE", "QUERIES"]
