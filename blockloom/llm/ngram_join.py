@@ -92,7 +92,7 @@ def _ordered(frequency, grams: np.ndarray) -> np.ndarray:
 
 
 def shared_elements(docs: DataFrame, frequent: np.ndarray, words: int, parts: int) -> DataFrame:
-    """(node, element): the elements of every node that two or more nodes have."""
+    """(node, element): the elements of every node that two or more nodes have, and frequent ones, which may come repeatedly."""
     frequent = np.sort(frequent.view(np.uint64))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,10 @@ def _pairs(nodes: np.ndarray, elements: np.ndarray) -> pa.RecordBatch:
 
 
 def sequences(shared: DataFrame) -> DataFrame:
-    """(node, elements): ascending, from rows sorted by node; a node's rows may span Arrow batches."""
+    """(node, elements): ascending, each once, from rows sorted by node; a node's rows may span Arrow batches.
+
+    A set of which several portions or tasks have copies brings its frequent n-grams once from each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, held = None, []
@@ -195,7 +198,8 @@ def sequences(shared: DataFrame) -> DataFrame:
             yield _sets([(node, np.concatenate(held))])
 
     def _sets(done: list) -> pa.RecordBatch:
-        columns = [pa.array([n for n, _ in done], pa.int64()), pa.array([e for _, e in done], pa.list_(pa.int64()))]
+        once = [e[np.append(True, e[1:] != e[:-1])] for _, e in done]
+        columns = [pa.array([n for n, _ in done], pa.int64()), pa.array(once, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, ["node", "elements"])
 
     dealt = shared.repartition("node").sortWithinPartitions("node", "element")

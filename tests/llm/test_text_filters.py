@@ -189,6 +189,19 @@ def test_frequent_grams_are_the_last(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in rows} == similar_components(docs, 4, 85)[0]
 
 
+def test_frequent_grams_of_scattered_copies_count_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT_LEAST", 3)
+    monkeypatch.setattr(ngram_join, "FREQUENT_SHARE", 0.05)
+    monkeypatch.setattr(ngram_join, "PORTION", 1000)
+    common = invented(77, 30)
+    texts = [common + "\n" + invented(600 + i, 25) for i in range(12)]
+    texts += [common + "\n" + changed(invented(700 + i // 3, 60), i, 0.01) for i in range(9)]
+    docs = [(i, texts[i % len(texts)]) for i in range(6 * len(texts))]
+    dealt = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = ngram_join.join_similar(dealt, ngram_join.Similar(4, 85)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == similar_components(docs, 4, 85)[0]
+
+
 def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     kept = ngram_join.keep_one(odd_docs).collect()
     ids = [r.doc_id for r in kept]
