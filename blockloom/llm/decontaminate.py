@@ -10,7 +10,8 @@ The test items are the query set. Their seeds and words are broadcast, never mor
 at a time: a larger set of items is worked off in blocks (by hash of the item) that each pass over all
 documents. So documents are not shuffled at all; only verified hits are, after partial aggregation.
 
-Items of fewer than `least_words` words can't be told from chance and are left out, as are null items.
+Items of fewer than `least_words` words have one mask, all their words, and count where every word agrees.
+Items without words and null items are left out.
 Null and empty documents are never contaminated. Equal rows are judged alike; a null doc_id is kept
 as it is. An empty benchmark or no documents give no hits.
 """
@@ -42,19 +43,23 @@ def plain_words(text: Column) -> Column:
     return words(F.lower(F.translate(F.coalesce(text, F.lit("")), MARKS, "")))
 
 
-def _hashes(word_list: str, at: Column) -> Column:
+def _hashes(word_list: str, at: Column, masks: list[str]) -> list[Column]:
     """The seeds that begin at a place, one per mask; null where the text ends before the mask does."""
     found = []
-    for number, mask in enumerate(MASKS):
+    for mask in masks:
+        number = MASKS.index(mask) if mask in MASKS else -len(mask)
         picked = [F.get(word_list, at + i) for i, bit in enumerate(mask) if bit == "1"]
         found.append(F.when(picked[-1].isNotNull(), F.xxhash64(F.lit(number), *picked)))
-    return F.array(*found)
+    return found
 
 
-def seeds(items: DataFrame) -> DataFrame:
-    """(seed, item_id, item_at, n) of items (item_id, w, n)."""
+def seeds(items: DataFrame, lengths: list[int], rule: Rule = Rule()) -> DataFrame:
+    """(seed, item_id, item_at, n) of items (item_id, w, n); lengths: those of the short items."""
     places = items.select("item_id", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("item_at"))
-    rows = places.select("item_id", "n", "item_at", F.explode(_hashes("w", F.col("item_at"))).alias("seed"))
+    own = [F.when(F.col("n") >= rule.least_words, x) for x in _hashes("w", F.col("item_at"), list(MASKS))]
+    whole = _hashes("w", F.col("item_at"), ["1" * k for k in lengths])
+    own += [F.when((F.col("n") == k) & (F.col("item_at") == 0), x) for k, x in zip(lengths, whole)]
+    rows = places.select("item_id", "n", "item_at", F.explode(F.array(*own)).alias("seed"))
     return rows.where("seed is not null").select("seed", "item_id", "item_at", "n")
 
 
@@ -76,23 +81,26 @@ def contaminations(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> Da
     key stands for the text, so that rows without or with the same doc_id stay apart.
     """
     tests = items.select("item_id", plain_words(F.col("text")).alias("w"))
-    tests = tests.withColumn("n", F.size("w")).where(F.col("n") >= rule.least_words)
-    total = tests.agg(F.sum("n")).first()[0] or 0
+    tests = tests.withColumn("n", F.size("w")).where("n > 0")
+    is_short = F.col("n") < rule.least_words
+    total, lengths = tests.agg(F.sum("n"), F.sort_array(F.collect_set(F.when(is_short, F.col("n"))))).first()
+    total = total or 0
+    masks = [*MASKS, *("1" * k for k in lengths)]
     blocks = -(-total * len(MASKS) * 5 // (4 * SEEDS)) or 1
 
     rows = docs.select("doc_id", "text", plain_words(F.col("text")).alias("w"))
-    last = F.size("w") - min(map(len, MASKS))
+    last = F.size("w") - min(map(len, masks))
     rows = rows.select("doc_id", "text", "w", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
-    rows = rows.select("doc_id", "text", "w", "at", F.explode(_hashes("w", F.col("at"))).alias("seed"))
+    rows = rows.select("doc_id", "text", "w", "at", F.explode(F.array(*_hashes("w", F.col("at"), masks))).alias("seed"))
 
     found = []
     for block in range(blocks):
         own = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else tests
-        hits = rows.join(F.broadcast(seeds(own)), "seed")
+        hits = rows.join(F.broadcast(seeds(own, lengths, rule)), "seed")
         hits = hits.join(F.broadcast(own.select("item_id", F.col("w").alias("item_w"))), "item_id")
         agree, length = _agreeing(rule)
-        hits = hits.select("doc_id", "text", "item_id", agree.alias("agree"), length.alias("length"))
-        hits = hits.where(F.col("agree") >= F.ceil(rule.share * F.col("length")))
+        hits = hits.select("doc_id", "text", "item_id", agree.alias("agree"), length.alias("length"), is_short.alias("short"))
+        hits = hits.where(F.col("agree") >= F.when(F.col("short"), F.col("length")).otherwise(F.ceil(rule.share * F.col("length"))))
         hits = hits.select("doc_id", content_key(F.col("text"), "key"), "item_id", (F.col("agree") / F.col("length")).alias("share"))
         found.append(
             hits.groupBy("doc_id", "key", "item_id").agg(F.count("*").alias("hits"), F.max("share").alias("overlap"))

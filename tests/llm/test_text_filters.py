@@ -119,6 +119,25 @@ def test_contaminations(spark, items, clashing):
     assert {r.doc_id for r in kept.collect()} == {2, 3, 6, 7, 8} and kept.columns == clashing(docs).columns
 
 
+def test_short_items_are_found_where_all_words_agree(spark):
+    rows = [(0, "Who wrote the old song?"), (1, "one two three four five six seven eight nine ten"), (2, "word"), (3, ITEM), (4, " ")]
+    short = spark.createDataFrame(rows, "item_id long, text string")
+    texts = [
+        "they ask who wrote the old song, often",
+        "they ask who wrote the new song",
+        "who wrote the old",
+        "zero one two three four five six seven eight nine ten",
+        "zero one two three four five six seven eight nine",
+        "word",
+        "x " + ITEM,
+        "",
+        None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.contaminations(docs, short).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 0), (3, 1), (5, 2), (6, 3)} and all(r.overlap == 1 for r in found)
+
+
 def test_items_in_blocks_give_the_same(spark, items, monkeypatch):
     docs = spark.createDataFrame([(i, invented(i, 60) + (" " + ITEM if i % 4 == 0 else "")) for i in range(40)], "doc_id long, text string")
     whole = sorted(decontaminate.contaminations(docs, items).collect())
