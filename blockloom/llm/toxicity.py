@@ -21,6 +21,7 @@ can be learned, and every score is 0.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -52,7 +53,6 @@ class Fit:
     least_docs: int = 3  # toxic texts that an entry must cover anew
     clean_rate: float = 0.05  # of an entry's rate in toxic texts, at most, in clean ones
     common_rate: float = 0.1  # entries in so many toxic texts are taken anyway
-    entries: int = 4_000  # candidates that come to the driver
     most: int = 3  # clauses of a kind that count
 
 
@@ -174,7 +174,11 @@ def learn_insults(rows: DataFrame, fit: Fit) -> list[str]:
     counted = rows.mapInArrow(count, "entry string, bad bigint, good bigint").groupBy("entry")
     counted = counted.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(f"bad >= {fit.least_docs}")
     rare = F.col("good") / totals[False] <= fit.clean_rate * F.col("bad") / totals[True]
-    kept = counted.where(rare).orderBy(F.desc("bad"), "good", "entry").limit(fit.entries).collect()
+    # Entries that neither the greedy choice nor the common ones can ever take stay in Spark.
+    common = max(fit.least_docs, fit.common_rate * totals[True])
+    coverer = F.col("bad") - 10 * F.col("good") >= fit.least_docs
+    frequent = (F.col("bad") >= common) & (50 * F.col("good") <= F.col("bad"))
+    kept = counted.where(rare & (coverer | frequent)).collect()  # what at most fit_rows texts have in common
     good = {r["entry"]: r["good"] for r in kept}
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,15 +192,23 @@ def learn_insults(rows: DataFrame, fit: Fit) -> list[str]:
         for e in r["entries"]:
             where.setdefault(e, set()).add(i)
     chosen, open_ = [], set(range(len(toxic)))
-    while where:
-        # The most texts less what it would catch of clean ones; a short stem before a long one.
-        best = max(where, key=lambda e: (len(where[e] & open_) - 10 * good[e], len(where[e]), -len(e), e))
-        if len(where[best] & open_) - 10 * good[best] < fit.least_docs:
+    # The most texts less what it would catch of clean ones; a short stem before a long one. Gains only
+    # fall, so an entry whose gain has not changed since it was put back is the best.
+    ranked = sorted(where, key=lambda e: (len(where[e]), -len(e), e), reverse=True)
+    heap = [(10 * good[e] - len(where[e]), i) for i, e in enumerate(ranked)]
+    heapq.heapify(heap)
+    while heap:
+        loss, i = heapq.heappop(heap)
+        now = 10 * good[ranked[i]] - len(where[ranked[i]] & open_)
+        if now > loss:
+            if -now >= fit.least_docs:
+                heapq.heappush(heap, (now, i))
+            continue
+        if -now < fit.least_docs:
             break
-        open_ -= where.pop(best)
-        chosen.append(best)
+        open_ -= where.pop(ranked[i])
+        chosen.append(ranked[i])
     # Few labels are covered before all common entries are seen.
-    common = max(fit.least_docs, fit.common_rate * len(toxic))
     return chosen + sorted(e for e, own in where.items() if len(own) >= common and 50 * good[e] <= len(own))
 
 

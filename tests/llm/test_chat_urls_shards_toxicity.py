@@ -205,6 +205,14 @@ def test_toxicity_without_labels(posts):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_rare_insults_are_learned_beside_many_frequent_words(spark):
+    letters = "abcdefghijklmnopqrst"
+    names = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:1]][:4500]
+    rows = [(" ".join(names), 1)] * 8 + [("zzz", 1)] * 3 + [("the sun shines", 0)] * 50
+    found = toxicity.learn_insults(spark.createDataFrame(rows, "text string, toxic int"), toxicity.Fit(common_rate=0.9))
+    assert "zzz" in found and len(set(found) & set(names)) == 1
+
+
 def test_clauses():
     lexicon = toxicity.Lexicon(["dolt", "twerp*"])
     kinds = lambda text: dict(+toxicity.clauses(text.lower(), lexicon))
