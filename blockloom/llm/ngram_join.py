@@ -19,7 +19,8 @@ Rows with the same set are one node from the start. The steps, each a Spark job
 A document without words has an empty set and is linked with nothing; nor is a row without doc_id, which
 has a null component. A text of fewer words than an n-gram has is one n-gram. Rows with one doc_id are
 one document for components: what any of them is linked with, all are. Other columns are ignored. No rows
-give no rows. Sets are told apart by 63, n-grams by 64 bits of hashes.
+give no rows. Sets are told apart by 63 bits of hashes. Within a set n-grams are told apart by 64 bits, but
+between sets by 48 and their frequency up to 16,383, so a pair at the threshold may be linked wrongly by chance.
 """
 
 from __future__ import annotations
