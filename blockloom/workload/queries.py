@@ -477,11 +477,7 @@ def train_eval(spark, sf):
 @query
 def train_counts(spark, sf):
     """Blocks of pages with label records by where training puts them: what is split, before fitting."""
-    rows = training.labeled_blocks(
-        inputs.page_labels(spark, sf), texts(spark, sf, "pages", "page_id", "html"), "page_id",
-        sections=inputs.SECTIONS, features=inputs.FEATURES, threshold=0.999_999,
-    )
-    split = sampling.train_test_split(rows, ["page_id", "idx"])
+    split = sampling.train_test_split(_blocks_to_learn(spark, sf), ["page_id", "idx"])
     return split.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 
 

@@ -187,3 +187,16 @@ def test_whole_run(spark, tmp_path, recipes):
     blocks = labeled_blocks(kept, written)
     assert blocks.select("file").distinct().count() == 10
     assert blocks.where("label = 'ingredient'").count() == 40
+
+
+def test_train_counts_labels_as_training_does(monkeypatch):
+    from blockloom.workload import queries
+
+    asked = []
+    monkeypatch.setattr(queries.inputs, "page_labels", lambda *_: None)
+    monkeypatch.setattr(queries, "texts", lambda *_: None)
+    monkeypatch.setattr(queries.training, "labeled_blocks", lambda *_, **options: asked.append(options.get("threshold", 0.8)))
+    monkeypatch.setattr(queries.sampling, "train_test_split", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        queries.train_counts(None, "")
+    assert asked == [0.8]
