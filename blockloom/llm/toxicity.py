@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Two transducers are composed. The lexical one reads the characters of a word and gives its class:
+The state of a clause is a set of unordered flags: a negation, a reporting word or a target counts alike
+before and after the insult, and an insult alone is a match. Two machines work in turn. The lexical one reads the characters of a word and gives its class:
 insult, threat, target, negation or reported speech; it is a trie of words and of stems (a stem takes
 any ending). The clause one reads these classes: its state is what the clause has shown so far, a mark
 of punctuation or a line's end takes it back to its start, and a clause with an insult or a threat gives
-off that it matched, with the state it was in. A document's score is a logistic function of its matched
-clauses by kind, so a word counts only as part of a clause.
+off that it matched, with the state it was in. A document's score is a logistic function of the
+logarithms of its matched clauses by kind, so a word counts only as part of a clause.
 
 Insults are learned from labelled rows: of all words and stems that (almost) no clean text has, those
 that cover toxic texts are picked greedily, and those that are common in them are added. Target, threat, negation and reporting words are fixed lists;
@@ -22,6 +23,7 @@ can be learned, and every score is 0.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -53,7 +55,6 @@ class Fit:
     least_docs: int = 3  # toxic texts that an entry must cover anew
     clean_rate: float = 0.05  # of an entry's rate in toxic texts, at most, in clean ones
     common_rate: float = 0.1  # entries in so many toxic texts are taken anyway
-    most: int = 3  # clauses of a kind that count
 
 
 def _features(text: str, lengths: tuple[int, ...]) -> set[str]:
@@ -124,19 +125,19 @@ def clauses(text: str, lexicon: Lexicon) -> Counter:
 
 
 class Scorer:
-    def __init__(self, insults: list[str], most: int):
-        self.lexicon, self.most = Lexicon(insults), most
+    def __init__(self, insults: list[str]):
+        self.lexicon = Lexicon(insults)
         self.finder = self.lexicon.finder()
 
-    def counts(self, text: str | None) -> list[int]:
-        """The document's matched clauses by kind, each up to a few."""
+    def counts(self, text: str | None) -> list[float]:
+        """Logarithms of the document's matched clauses by kind, and one more."""
         lower = (text or "").lower()
         for end, length in self.finder.iter(lower):
             begin = end - length
             if begin < 0 or not lower[begin].isalpha():  # a word begins here
                 found = clauses(lower, self.lexicon)
-                return [min(found[k], self.most) for k in KINDS]
-        return [0] * len(KINDS)
+                return [math.log1p(found[k]) for k in KINDS]
+        return [0.0] * len(KINDS)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -216,7 +217,7 @@ def count_clauses(docs: DataFrame, keep: list[str], insults: list[str], fit: Fit
     """The kept columns with one column of clause counts per kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(insults, fit.most)
+        scorer = Scorer(insults)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             found = np.array([scorer.counts(t.as_py()) for t in texts], np.float64).reshape(-1, len(KINDS))

@@ -213,6 +213,12 @@ def test_rare_insults_are_learned_beside_many_frequent_words(spark):
     assert "zzz" in found and len(set(found) & set(names)) == 1
 
 
+def test_more_clauses_count_more():
+    scorer = toxicity.Scorer(["dolt"])
+    few, many = (scorer.counts("you dolt. " * n) for n in (3, 300))
+    assert many[0] > few[0] > 0 and many[1] > few[1] and scorer.counts(None) == [0] * len(toxicity.KINDS)
+
+
 def test_clauses():
     lexicon = toxicity.Lexicon(["dolt", "twerp*"])
     kinds = lambda text: dict(+toxicity.clauses(text.lower(), lexicon))
