@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm import url_lists
+from blockloom.llm.alignment import op12_identity_alignment
 from blockloom.llm.chat_windows import op3_budgeted_chat_windows
 from blockloom.llm.decontaminate import op4_spaced_seed_decontamination
 from blockloom.llm.line_dedup import op5_window_line_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         url_lists.op8_temporal_url_lists,
         op9_prefix_tree_jaccard_join,
         op10_toxicity_grammar,
+        op12_identity_alignment,
     )
 }
 
