@@ -15,7 +15,9 @@ from blockloom.llm.ngram_join import op9_prefix_tree_jaccard_join
 from blockloom.llm.oracle import ORACLE
 from blockloom.llm.packing import op2_vector_packing
 from blockloom.llm.quality_rules import op7_line_first_cleaning
+from blockloom.llm.ranked_search import op13_block_max_search
 from blockloom.llm.resharding import op6_min_cost_resharding
+from blockloom.llm.secret_scan import op11_zstd_novelty_secrets
 from blockloom.llm.token_files import op1_huffman_token_files
 from blockloom.llm.toxicity import op10_toxicity_grammar
 
@@ -32,7 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         url_lists.op8_temporal_url_lists,
         op9_prefix_tree_jaccard_join,
         op10_toxicity_grammar,
+        op11_zstd_novelty_secrets,
         op12_identity_alignment,
+        op13_block_max_search,
     )
 }
 
