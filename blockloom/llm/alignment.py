@@ -34,6 +34,7 @@ from blockloom.session import stored
 
 PORTION = 1 << 20  # characters that are worked off at a time
 PIECES, PIECE_CHARS = 200_000, 1 << 22  # pieces a worker keeps, and their characters; the table starts anew beyond that
+RUN, LONG_PIECE = 256, 1 << 12  # pieces that are encoded as one text; characters of one that stands alone
 HEAVY = 1 << 16  # a pair with one in so many of all irregular links is looked up where its document is
 SPACE_MARK = "▁"  # fixed value: a space in the pieces of B
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -93,24 +94,6 @@ def same_bytes(a: Sequence[bytes], b: Sequence[bytes], last: set[int]) -> np.nda
     return np.array([at.get(x, -1) if x else -1 for x in a], np.int64)
 
 
-def group(a: list[int], b: list[int], a_bytes: Sequence[bytes], b_bytes: Sequence[bytes]) -> list[tuple[list, list]]:
-    """The groups of two rows of tokens of the same bytes."""
-    found = []
-    i = j = first_a = first_b = 0
-    end_a = end_b = 0
-    while i < len(a) or j < len(b):
-        if end_a <= end_b and i < len(a):
-            end_a += len(a_bytes[a[i]])
-            i += 1
-        else:
-            end_b += len(b_bytes[b[j]])
-            j += 1
-        if end_a == end_b and i > first_a and j > first_b:
-            found.append((a[first_a:i], b[first_b:j]))
-            first_a, first_b = i, j
-    return found
-
-
 class Aligner:
     """What texts come to; pieces that recur are looked up."""
 
@@ -118,6 +101,10 @@ class Aligner:
         self.a, self.b = ByteLevel(a_path), Pieced(b_path)
         self.same = same_bytes(self.a.bytes, self.b.bytes, self.b.twice)
         self.cuts = self.a.cuts and self.b.cuts
+        self.a_size, self.b_size = (np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b))
+        # Every id as text, inside a group and at its end.
+        self.marked = [f"{i}{mark}" for i in range(len(self.a_size)) for mark in ",|"]
+        self.marked += [f"{i}{mark}" for i in range(len(self.b_size)) for mark in ",;"]
         self.clear()
 
     def clear(self) -> None:
@@ -127,6 +114,7 @@ class Aligner:
         self.sizes = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, 1 if the tokens spell the piece
         self.one_end, self.pair_end = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.ones, self.pairs = np.zeros(0, np.int64), np.zeros(0, np.int64)  # links, by piece
+        self.fresh: list[tuple[np.ndarray, ...]] = []
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a space and the text; the space before a piece is left out where no blank follows."""
@@ -138,34 +126,66 @@ class Aligner:
         return [p[1:] if p[0] == " " and p[1:2].strip() else p for p in _CUT.split(" " + text)]
 
     def learn(self, keys: list[str]) -> None:
-        """Encode and align pieces that are not in the table."""
+        """Encode and align pieces that are not in the table, many that follow one another as one text."""
         spaced = [k if k[0] in " \n" else " " + k for k in keys]
-        a_bytes, b_bytes, width = self.a.bytes, self.b.bytes, len(self.b.bytes)
-        same = self.same.tolist()
-        sizes, ones, pairs, one_end, pair_end = [], [], [], [], []
-        for key, piece, a, b in zip(keys, spaced, self.a.encode(spaced), self.b.encode(spaced)):
+        # Where a piece does not begin with one blank and end without, what stands beside it matters.
+        alone = [
+            not self.cuts or SPACE_MARK in p or p[1:2].isspace() or p[-1].isspace() or len(p) > LONG_PIECE for p in spaced
+        ]
+        close = [i for i, x in enumerate(alone) if not x]
+        runs = [close[i : i + RUN] for i in range(0, len(close), RUN)] + [[i] for i, x in enumerate(alone) if x]
+        while runs:
+            texts = ["".join([spaced[i] for i in run]) for run in runs]
+            again = []
+            for run, a, b in zip(runs, self.a.encode(texts), self.b.encode(texts)):
+                if not self._add([keys[i] for i in run], [spaced[i].encode() for i in run], a, b):
+                    again += [[i] for i in run]
+            runs = again
+
+    def _add(self, keys: list[str], raw: list[bytes], a: list[int], b: list[int]) -> bool:
+        """Note what the pieces of a run come to. False if its tokens do not spell them; a single piece is noted as such."""
+        whole, n = b"".join(raw), len(keys)
+        spelled = all(b"".join([own[i] for i in ids]) == whole for ids, own in ((a, self.a.bytes), (b, self.b.bytes)))
+        if not spelled and n > 1:
+            return False
+        a, b = (np.array(x if spelled else [], np.int64) for x in (a, b))
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        both = np.intersect1d(end_a, end_b)
+        piece_end = np.cumsum([len(x) for x in raw])
+        if spelled and not np.isin(piece_end, both, assume_unique=True).all():
+            return False
+        in_a, in_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)  # the group of every token
+        of = np.searchsorted(piece_end, both)  # the piece of every group
+        last_a, last_b = a[np.searchsorted(end_a, both)], b[np.searchsorted(end_b, both)]
+        single = (np.bincount(in_a, minlength=len(both)) == 1) & (np.bincount(in_b, minlength=len(both)) == 1)
+        one = single & (self.same[last_a] == last_b)
+        codes = np.concatenate([2 * a + (both[in_a] == end_a), 2 * (len(self.a_size) + b) + (both[in_b] == end_b)])
+        order = np.argsort(np.concatenate([2 * in_a, 2 * in_b + 1]), kind="stable")
+        written = [self.marked[c] for c in codes[order].tolist()]
+        sizes = np.stack([*(np.bincount(of[x], minlength=n) for x in (in_a, in_b)), np.bincount(of, minlength=n)], 1)
+        stops = np.cumsum(sizes[:, 0] + sizes[:, 1]).tolist()
+        for key, start, stop in zip(keys, [0, *stops], stops):
             self.at[key] = len(self.written)
-            self.chars += len(key)
-            raw = piece.encode()
-            if b"".join([a_bytes[i] for i in a]) != raw or b"".join([b_bytes[i] for i in b]) != raw:
-                self.written.append("")
-                sizes.append((0, 0, 0, 0))
-            else:
-                groups = group(a, b, a_bytes, b_bytes)
-                self.written.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]))
-                sizes.append((len(a), len(b), len(groups), 1))
-                for x, y in groups:
-                    if len(x) == len(y) == 1 and same[x[0]] == y[0]:
-                        ones.append(x[0])
-                    else:
-                        pairs.append(x[-1] * width + y[-1])
-            one_end.append(len(ones))
-            pair_end.append(len(pairs))
-        ints = lambda x: np.array(x, np.int64)
-        self.sizes = np.concatenate([self.sizes, ints(sizes)])
-        self.one_end = np.concatenate([self.one_end, len(self.ones) + ints(one_end)])
-        self.pair_end = np.concatenate([self.pair_end, len(self.pairs) + ints(pair_end)])
-        self.ones, self.pairs = np.concatenate([self.ones, ints(ones)]), np.concatenate([self.pairs, ints(pairs)])
+            self.written.append("".join(written[start:stop])[:-1])
+        self.chars += sum(map(len, keys))
+        self.fresh.append(
+            (
+                np.column_stack([sizes, np.full(n, int(spelled))]),
+                np.bincount(of[one], minlength=n), last_a[one],
+                np.bincount(of[~one], minlength=n), (last_a * len(self.b_size) + last_b)[~one],
+            )
+        )
+        return True
+
+    def _settle(self) -> None:
+        """Add what is new to the table."""
+        if self.fresh:
+            sizes, n_one, ones, n_pair, pairs = (np.concatenate(x) for x in zip(*self.fresh))
+            self.one_end = np.concatenate([self.one_end, len(self.ones) + np.cumsum(n_one)])
+            self.pair_end = np.concatenate([self.pair_end, len(self.pairs) + np.cumsum(n_pair)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ones, self.pairs = np.concatenate([self.ones, ones]), np.concatenate([self.pairs, pairs])
+            self.fresh = []
 
     @staticmethod
     def _counted(at: np.ndarray, doc: np.ndarray, flat: np.ndarray, ends: np.ndarray, docs: int) -> tuple:
@@ -186,6 +206,7 @@ class Aligner:
         new = [k for k in seen if k not in self.at]
         if new:
             self.learn(new)
+            self._settle()
         at = np.fromiter((self.at[k] for c in cut for k in c), np.int64, sum(map(len, cut)))
         ends = np.cumsum([0, *map(len, cut)])
         doc = np.repeat(np.arange(len(cut)), np.diff(ends))
