@@ -45,6 +45,7 @@ SHARD_DOCS, SHARD_WORDS = 1 << 16, 1 << 20  # a shard is closed when it has so m
 BLOCK = 128  # documents
 STEP = 4096  # documents of a shard that are scored at a time
 FIRST_SHARDS = 8  # that are searched first
+TASK_SHARDS = 4  # that a task searches
 ITEM_TERMS = 1 << 18  # (item, term) pairs that are searched at a time
 NULL_ID = np.iinfo(np.int64).max  # orders a document without id last
 # Everything but 0-9, a-z, A-Z and bytes beyond ASCII ends a term.
@@ -412,9 +413,12 @@ def _search_block(spark: SparkSession, path: str, corpus: Corpus, terms: DataFra
             columns = list(zip(*out)) if out else [[]] * 4
             return pa.table([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in FOUND.split(", ")])
 
-        return rows.groupBy("shard").applyInArrow(run, FOUND)
+        # So many shards to a task however small their lists are, as the work is in the items.
+        tasks = max(1, shards.count() // TASK_SHARDS)
+        return rows.repartition(tasks, "shard").groupBy("shard").applyInArrow(run, FOUND)
 
-    few = index.where(F.col("term").isNull()).select("shard").orderBy(F.xxhash64("shard")).limit(FIRST_SHARDS).collect()
+    shards = index.where(F.col("term").isNull()).select("shard")
+    few = shards.orderBy(F.xxhash64("shard")).limit(FIRST_SHARDS).collect()
     scores: dict[int, list[int]] = {}
     for r in best(named.where(F.col("shard").isin([r["shard"] for r in few])), {}).collect():
         scores.setdefault(r["item"], []).append(r["score"])

@@ -95,6 +95,14 @@ def test_dictionary_counts_all_texts(spark):
     assert secret_scan.identifier_dictionary(docs, 8) == b"gamma"
 
 
+def test_dictionary_of_a_step_with_too_many(spark):
+    names = ["".join(chr(97 + (i // 26**k) % 26) for k in range(6)) for i in range(3000)]
+    docs = spark.createDataFrame([(" ".join(names),), (" ".join(names) + " first first",)], "text string")
+    found = secret_scan.identifier_dictionary(docs, 5000).split()
+    assert found[-1] == b"first" or found[-1] in map(str.encode, names)
+    assert len(found) <= 5000 // 7 + 1 and set(found) <= set(map(str.encode, names)) | {b"first"} and len(found) > 500
+
+
 def test_odd_rows(spark, odd_docs, no_docs, clashing):
     extra = clashing(odd_docs).selectExpr("*", "1 AS found", "2 AS kind", "3 AS identifier", "4 AS spans")
     rows = secret_scan.digest(secret_scan.scan(extra, b"")).collect()
