@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import tokens
@@ -123,11 +123,14 @@ SCHEMA = (
 _PIECE = pa.struct([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "offset")])
 
 
-def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = END_ID) -> DataFrame:
-    """Sequences (sequence_id, ids, pieces) of docs (doc_id, text[, loss_from]).
+def pack(
+    docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = END_ID, loss_from: Column | None = None
+) -> DataFrame:
+    """Sequences (sequence_id, ids, pieces) of docs (doc_id, text); other columns are not read.
 
-    ids: little-endian 32-bit integers, not padded. pieces: in order, with the place in the document
-    and in the sequence. Without loss_from every id bears loss; with it, ids before it do not.
+    ids: little-endian 32-bit integers, not padded. pieces: in order, with the place in the document and in
+    the sequence. Without loss_from every id bears loss; with it, the row's ids before that place do not
+    (none or a negative one: all bear loss).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
             for doc_id, x, loss_from in zip(doc_ids, encoder.encode(texts), froms):
                 ids = np.frombuffer(x + end, encoder.dtype)
                 mask = np.ones(len(ids), np.uint8)
-                mask[: loss_from or 0] = 0
+                mask[: max(loss_from or 0, 0)] = 0
                 done += packer.add(Piece(doc_id, 0, ids, mask, len(ids)))
             if done:
                 yield batch_of(done)
@@ -164,8 +167,8 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
         if done:
             yield batch_of(done)
 
-    loss_from = F.col("loss_from").cast("bigint") if "loss_from" in docs.columns else F.lit(None).cast("bigint")
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), loss_from.alias("loss_from"))
+    first = F.lit(None) if loss_from is None else loss_from
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), first.cast("bigint").alias("loss_from"))
     return rows.mapInArrow(run, SCHEMA)
 
 

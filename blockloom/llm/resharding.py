@@ -14,7 +14,7 @@ manifest. Rows are written where they are read, without a shuffle: a task's rows
 the few shards its flow leads to.
 
 A null text has the size 1 (no bytes, plus 1). Equal rows go together. Rows with a null key are one key.
-Other columns pass through. No rows make a layout without files.
+Other columns pass through; names that begin with __reshard_ are this module's. No rows make a layout without files.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from blockloom.llm.common import table
 from blockloom.session import scratch_path
 
 BLOCKS = 256  # per old shard
+BLOCK, TO, FILE, ROW = "__reshard_block", "__reshard_to", "__reshard_file", "__reshard_row"  # columns of its own
 
 
 def row_size(text: Column) -> Column:
@@ -37,7 +38,7 @@ def row_size(text: Column) -> Column:
 
 
 def with_block(docs: DataFrame, key: str = "doc_id", blocks: int = BLOCKS) -> DataFrame:
-    return docs.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(blocks)).cast("int"))
+    return docs.withColumn(BLOCK, F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(blocks)).cast("int"))
 
 
 @dataclass
@@ -156,9 +157,9 @@ def _even_out(where: dict, blocks: dict, filled: list[int], capacities: Sequence
 
 
 def plan(docs: DataFrame, old_shards: int, shards: int) -> dict[tuple[int, int], int]:
-    """Where every block of docs (shard, block, text) goes, for new shards of even size."""
-    found = docs.groupBy("shard", "block").agg(F.sum(row_size(F.col("text"))).alias("n")).collect()
-    blocks = {(r["shard"], r["block"]): r["n"] for r in found}
+    """Where every block of docs (shard, the block, text) goes, for new shards of even size."""
+    found = docs.groupBy("shard", BLOCK).agg(F.sum(row_size(F.col("text"))).alias("n")).collect()
+    blocks = {(r["shard"], r[BLOCK]): r["n"] for r in found}
     sizes = [0] * old_shards
     for (i, _), n in blocks.items():
         sizes[i] += n
@@ -167,23 +168,24 @@ def plan(docs: DataFrame, old_shards: int, shards: int) -> dict[tuple[int, int],
 
 
 def write_layout(docs: DataFrame, path: str) -> None:
-    """docs (shard, block, ...) as shard=K folders, written where the rows are."""
+    """docs (shard, ...) as shard=K folders, written where the rows are."""
     docs.write.partitionBy("shard").parquet(path)
 
 
 def reshard(spark: SparkSession, old: str, new: str, old_shards: int, shards: int) -> DataFrame:
     """Rewrite the affected shards of a layout below `new`; returns the new layout's rows.
 
-    Columns of the layout, shard, and __file and __row: where in the shard's files a row stands. The
+    Columns of the layout, shard, and FILE and ROW: where in the shard's files a row stands. The
     manifest below `new` has a row per shard: its number and the folder of its files.
     """
     rows = spark.read.parquet(old)
     where = plan(rows, old_shards, shards)
     moved = {i for (i, _), j in where.items() if i != j} | {j for (i, _), j in where.items() if i != j}
-    names = ["shard", "block", "to"]
-    moves = spark.createDataFrame([(i, b, j) for (i, b), j in sorted(where.items())], "shard int, block int, to int")
+    moves = spark.createDataFrame(
+        [(i, b, j) for (i, b), j in sorted(where.items())], f"shard int, {BLOCK} int, {TO} int"
+    )
     goes = rows.where(F.col("shard").isin(sorted(moved))) if moved else rows.where(F.lit(False))
-    goes = goes.join(F.broadcast(moves), names[:2]).drop("shard").withColumnRenamed("to", "shard")
+    goes = goes.join(F.broadcast(moves), ["shard", BLOCK]).drop("shard").withColumnRenamed(TO, "shard")
     goes.write.partitionBy("shard").parquet(f"{new}/shards")
     folders = [(j, f"{new}/shards" if j in moved else old) for j in sorted(set(where.values()))]
     spark.createDataFrame(folders, "shard int, folder string").coalesce(1).write.parquet(f"{new}/manifest")
@@ -191,26 +193,26 @@ def reshard(spark: SparkSession, old: str, new: str, old_shards: int, shards: in
 
 
 def read_layout(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The rows of a layout by its manifest, with __file and __row."""
+    """The rows of a layout by its manifest, with FILE and ROW."""
     found = None
     folders: dict[str, list[int]] = {}
     for r in spark.read.parquet(f"{path}/manifest").collect():
         folders.setdefault(r["folder"], []).append(r["shard"])
     for folder, own in folders.items():
         part = spark.read.schema(like.schema).parquet(folder).where(F.col("shard").isin(own))
-        part = part.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        part = part.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
         found = part if found is None else found.unionByName(part)
-    return like.where(F.lit(False)).selectExpr("*", "'' AS __file", "0L AS __row") if found is None else found
+    return like.where(F.lit(False)).selectExpr("*", f"'' AS {FILE}", f"0L AS {ROW}") if found is None else found
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
     """Rows with slot: their place in the shard, over its files in order of name. Files are counted, not sorted."""
     from pyspark.sql import Window
 
-    files = rows.groupBy("shard", "__file").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("shard", "__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return rows.join(files, ["shard", "__file"]).withColumn("slot", F.col("__before") + F.col("__row"))
+    files = rows.groupBy("shard", FILE).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("shard").orderBy(FILE).rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("shard", FILE, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__reshard_before"))
+    return rows.join(files, ["shard", FILE]).withColumn("slot", F.col("__reshard_before") + F.col(ROW))
 
 
 OLD_SHARDS, NEW_SHARDS = 12, 16
@@ -225,7 +227,7 @@ def op6_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reshard(spark, old, new, OLD_SHARDS, NEW_SHARDS)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     digest = rows.select(
-        "doc_id", row_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), "shard", "__file", "__row"
+        "doc_id", row_size(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), "shard", FILE, ROW
     )
     return with_slots(digest).select(
         "doc_id",

@@ -153,7 +153,7 @@ def test_reshard(spark, odd_docs, old, new):
 def test_unaffected_shards_stay_where_they_are(spark):
     docs = spark.createDataFrame([(i, "x" * 9, i % 2) for i in range(64)], "doc_id long, text string, shard int")
     a, b = scratch_path(spark, "test-old"), scratch_path(spark, "test-new")
-    blocks = docs.withColumn("block", (F.col("doc_id") / 2).cast("int"))
+    blocks = docs.withColumn(resharding.BLOCK, (F.col("doc_id") / 2).cast("int"))
     resharding.write_layout(blocks, a)
     found = resharding.reshard(spark, a, b, 2, 2)
     assert {r.folder for r in spark.read.parquet(f"{b}/manifest").collect()} == {a}
@@ -244,3 +244,16 @@ def test_digest_of_conversations(spark):
         loss = "".join(t for r, t in turns if r == "assistant")
         assert rows[c].turns_sha256 == sha("".join(f"{r}\n{t}\n" for r, t in turns))
         assert (rows[c].n_turns, rows[c].loss_chars, rows[c].loss_sha256) == (len(turns), len(loss), sha(loss))
+
+
+def test_reshard_keeps_other_columns(spark, odd_docs, clashing):
+    names = ("to", "block", "slot", "__file", "__row", "__n", "__before")
+    docs = clashing(odd_docs).withColumns({c: F.lit(f"own {c}") for c in names})
+    a, b = scratch_path(spark, "test-old"), scratch_path(spark, "test-new")
+    shard = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)).cast("int")
+    resharding.write_layout(resharding.with_block(docs.withColumn("shard", shard), blocks=8), a)
+    rows = resharding.with_slots(resharding.reshard(spark, a, b, 3, 2).drop("slot")).collect()
+    assert len(rows) == odd_docs.count()
+    assert all(r[c] == f"own {c}" for r in rows for c in names if c != "slot")
+    for j in (0, 1):
+        assert sorted(r.slot for r in rows if r.shard == j) == list(range(sum(r.shard == j for r in rows)))
