@@ -44,8 +44,8 @@ class ByteLevel:
     """A: byte-level BPE of the tokenizers library. Special tokens' strings are plain text."""
 
     def __init__(self, path: str):
-        self.tokenizer = tokens.Encoder(path).tokenizer
-        self.cuts = tokens.Encoder(path).cut
+        encoder = tokens.Encoder(path)
+        self.tokenizer, self.cuts = encoder.tokenizer, encoder.cut
         self.tokenizer.encode_special_tokens = True
         # Bytes that print stand for themselves, the others for the characters from 256 on.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -76,7 +76,6 @@ class Pieced:
             if model.is_byte(i):
                 self.bytes[i] = bytes([int(model.id_to_piece(i)[3:-1], 16)])
         self.twice = {i for i in ids if model.is_byte(i)}
-        self.mark = model.piece_to_id(SPACE_MARK)
         # No piece goes on after a space mark that other characters come before, and none holds a line's end.
         inside = re.compile(f"[^{SPACE_MARK}]{SPACE_MARK}|\n")
         self.cuts = not any(inside.search(model.id_to_piece(i)) for i in plain)
