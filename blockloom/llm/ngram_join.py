@@ -19,12 +19,13 @@ Rows with the same set are one node from the start. The steps, each a Spark job
 A document without words has an empty set and is linked with nothing; nor is a row without doc_id, which
 has a null component. A text of fewer words than an n-gram has is one n-gram. Rows with one doc_id are
 one document for components: what any of them is linked with, all are. Other columns are ignored. No rows
-give no rows. Sets are told apart by 63 bits of hashes. Within a set n-grams are told apart by 64 bits, but
+give no rows. Words are hashed with a seed of the run's own. Sets are told apart by 63 bits of hashes. Within a set n-grams are told apart by 64 bits, but
 between sets by 48 and their frequency up to 16,383, so a pair at the threshold may be linked wrongly by chance.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,11 +60,11 @@ def _portions(batches: Iterator[pa.RecordBatch], shingler: Shingler):
         yield doc_ids, hashes, np.append(0, ends[:-1]), ends
 
 
-def document_sets(docs: DataFrame, words: int) -> DataFrame:
+def document_sets(docs: DataFrame, words: int, seed: int = 0) -> DataFrame:
     """(doc_id, n, node) of all rows; rows with negative n carry an n-gram as node, and how often a task saw it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, rows = Shingler(words), 0
+        shingler, rows = Shingler(words, seed), 0
         often, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for doc_ids, hashes, begins, ends in _portions(batches, shingler):
             keys = [set_key(hashes[a:b]) for a, b in zip(begins, ends)]
@@ -92,12 +93,12 @@ def _ordered(frequency, grams: np.ndarray) -> np.ndarray:
     return (np.minimum(frequency, RARE_MOST).astype(np.uint64) << np.uint64(48) | low).astype(np.int64)
 
 
-def shared_elements(docs: DataFrame, frequent: np.ndarray, words: int, parts: int) -> DataFrame:
+def shared_elements(docs: DataFrame, frequent: np.ndarray, words: int, parts: int, seed: int = 0) -> DataFrame:
     """(node, element): the elements of every node that two or more nodes have, and frequent ones, which may come repeatedly."""
     frequent = np.sort(frequent.view(np.uint64))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = Shingler(words, seed)
         for doc_ids, hashes, begins, ends in _portions(batches, shingler):
             keys = [set_key(hashes[a:b]) for a, b in zip(begins, ends)]
             taken: set[int] = set()
@@ -317,8 +318,8 @@ def tree_links(trees: DataFrame, percent: int) -> DataFrame:
 
 def join_similar(docs: DataFrame, rule: Similar = Similar()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all rows."""
-    spark = docs.sparkSession
-    found = stored(document_sets(docs, rule.words))
+    spark, seed = docs.sparkSession, int.from_bytes(os.urandom(8), "little")
+    found = stored(document_sets(docs, rule.words, seed))
     sets = found.where("n >= 0")
     rows = sets.count()
     often = found.where("n < 0").groupBy("node").agg(F.sum(-F.col("n")).alias("n"))
@@ -326,7 +327,7 @@ def join_similar(docs: DataFrame, rule: Similar = Similar()) -> DataFrame:
     frequent = np.array([r["node"] for r in often], np.int64)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = shared_elements(docs, frequent, rule.words, parts)
+    shared = shared_elements(docs, frequent, rule.words, parts, seed)
     full = sets.where("n > 0 and doc_id is not null")
     size = full.groupBy("node").agg(F.min("n").alias("n"))
     near = sequences(shared).join(size, "node").where(F.size("elements") >= _need(F.col("n"), rule.percent))

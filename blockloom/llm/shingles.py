@@ -6,31 +6,16 @@ import hashlib
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
+from blockloom.llm.hashing import keys_of, mix
+
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
 class Shingler:
-    """Words end at ASCII blanks and are compared without the case of A to Z."""
-
-    def __init__(self, words: int):
-        self.words = words
-        self.powers = self.back = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            factors = np.full(n, _BASE, np.uint64)
-            factors[0] = 1
-            self.powers = np.multiply.accumulate(factors)
-            factors[1:] = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            self.back = np.multiply.accumulate(factors)
+    """Words end at ASCII blanks and are compared without the case of A to Z. One seed for all sets that are compared."""
 
-    @staticmethod
-    def _mix(x: np.ndarray) -> np.ndarray:
-        for shift in (32, 29, 32):
-            x = (x ^ (x >> np.uint64(shift))) * _MIX
-        return x
+    def __init__(self, words: int, seed: int = 0):
+        self.words, self.seed = words, seed
 
     def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All hashes, ascending within a text, and the end of every text's."""
@@ -42,10 +27,7 @@ class Shingler:
         blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
         step = np.diff(blank.astype(np.int8), prepend=1)
         start, end = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
-        self._grow(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=sums[1:])
-        word = self._mix((sums[end] - sums[start]) * self.back[start] + (end - start).astype(np.uint64) * _STEP)
+        word = keys_of(data, start, end, self.seed)
         of = np.searchsorted(ends_of_text, start, "right")  # the text of a word
         last_word = np.searchsorted(of, np.arange(len(texts)), "right")
         first_word = np.append(0, last_word[:-1])
@@ -53,7 +35,7 @@ class Shingler:
         m = max(n - k + 1, 0)
         shingle = np.zeros(m, np.uint64)
         for i in range(k):
-            shingle = self._mix(shingle * _STEP + word[i : i + m])
+            shingle = mix(shingle * _STEP + word[i : i + m])
         whole = of[:m] == of[k - 1 :][:m] if m else np.zeros(0, bool)
         shingle, of_shingle = shingle[whole], of[:m][whole]
         short = np.flatnonzero((last_word > first_word) & (last_word - first_word < k))
@@ -62,7 +44,7 @@ class Shingler:
             for i in range(k - 1):
                 here = first_word[short] + i < last_word[short]
                 at = np.minimum(first_word[short] + i, n - 1)
-                one = np.where(here, self._mix(one * _STEP + word[at] + np.uint64(i + 1)), one)
+                one = np.where(here, mix(one * _STEP + word[at] + np.uint64(i + 1)), one)
             shingle, of_shingle = np.concatenate([shingle, one]), np.concatenate([of_shingle, short])
         order = np.lexsort((shingle, of_shingle))
         shingle, of_shingle = shingle[order], of_shingle[order]

@@ -10,27 +10,24 @@ in one go.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
 
 import numpy as np
 
+from blockloom.llm.hashing import keys_of, mix
+
 PIECES = 2_000_000  # pieces a worker keeps; the table starts anew beyond that
 PORTION = 1 << 22  # bytes that are cut and hashed at a time
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _SPACE, _LINE = 32, 10
 _MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 _LETTERS = np.isin(np.arange(256), np.frombuffer(bytes(range(65, 91)) + bytes(range(97, 123)), np.uint8))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
 _KIND = np.uint64(0xA0761D6478BD642F)
 
 
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
-
-
 class Pieces:
     """Ids by hash of the piece."""
 
@@ -68,7 +65,6 @@ class Encoder:
 
     def __init__(self, path: str):
         import json
-        import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -87,7 +83,7 @@ class Encoder:
             and post.get("type") in (None, "ByteLevel")  # which only trims offsets
         )
         self.kept = Pieces(self.dtype)
-        self.powers = self.back = np.ones(1, np.uint64)
+        self.seed = int.from_bytes(os.urandom(8), "little")  # a worker's own, so no text can be made to collide with another
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [f.ids for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -140,7 +136,7 @@ class Encoder:
         start, end = np.insert(start, order_after, mark_at), np.insert(end, order_after, mark_at + 1)
         kind = np.insert(kind, order_after, 1)
 
-        keys = self._hash(data, start, end, kind)
+        keys = mix(keys_of(data, start, end, self.seed) + kind.astype(np.uint64) * _KIND)
         unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
         rows = self.kept.find(unique)
         new = np.flatnonzero(rows < 0)
@@ -165,24 +161,6 @@ class Encoder:
         for i, a, b in zip(chosen, bounds[:-1].tolist(), bounds[1:].tolist()):
             out[i] = packed[a:b]
 
-    def _hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """A polynomial in the bytes of every piece, from prefix sums, mixed with its length and kind."""
-        if len(self.powers) <= len(data):
-            n = max(len(data) + 1, PORTION)
-            ones = np.full(n, _BASE, np.uint64)
-            ones[0] = 1
-            self.powers = np.multiply.accumulate(ones)
-            ones[1:] = np.uint64(_inverse(int(_BASE)))
-            self.back = np.multiply.accumulate(ones)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=sums[1:])
-        found = (sums[end] - sums[start]) * self.back[start]
-        found += (end - start).astype(np.uint64) * _MIX + kind.astype(np.uint64) * _KIND
-        for shift in (32, 29, 32):
-            found ^= found >> np.uint64(shift)
-            found *= _MIX
-        return found
-
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder, which stays for its later tasks."""

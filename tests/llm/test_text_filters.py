@@ -226,3 +226,14 @@ def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     ids = [r.doc_id for r in kept]
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 6, 7, 8, 9] and ids.count(None) == 2
     assert ngram_join.keep_one(no_docs).count() == 0
+
+
+def test_sets_of_words_that_collide_as_polynomials(spark):
+    from blockloom.llm.shingles import Shingler
+
+    words = ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(2048)) for k in (0, 1)]
+    hashes, ends = Shingler(4, 3).sets([f"{w} x y z" for w in words])
+    assert ends.tolist() == [1, 2] and hashes[0] != hashes[1]
+    docs = spark.createDataFrame([(i, f"{w} x y z {w}") for i, w in enumerate(words)], "doc_id long, text string")
+    found = ngram_join.join_similar(docs, ngram_join.Similar(4, 85)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(0, 0), (1, 1)]

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from blockloom.llm import huffman, packing, token_files, tokens
 from blockloom.session import scratch_path
@@ -109,7 +110,8 @@ def test_packing_covers_every_id_once(spark, odd_docs, encoder):
 def test_loss_bearing_ids_are_limited(spark):
     docs = spark.createDataFrame([(i, "alpha beta gamma delta " * 5, i % 15) for i in range(60)], "doc_id long, text string, loss_from int")
     limits = packing.Limits(tokens=64, segments=64, loss=24)
-    rows = packing.pieces(packing.pack(docs.coalesce(1), tokens.default_path(), limits)).collect()
+    sequences = packing.pack(docs.coalesce(1), tokens.default_path(), limits, loss_from=F.col("loss_from"))
+    rows = packing.pieces(sequences).collect()
     loss = {}
     for r in rows:
         bearing = max(0, r.start + r.length - max(r.start, r.doc_id % 15))
@@ -126,3 +128,77 @@ def test_dot_product_prefers_the_best_aligned_piece():
 
 def test_nothing_to_pack(no_docs):
     assert packing.pack(no_docs, tokens.default_path()).count() == 0
+
+
+def thue_morse(letters, bits):
+    """A word and its complement, which polynomials in their bytes modulo 2^64 can not tell apart."""
+    word = "".join(letters[bin(i).count("1") % 2] for i in range(1 << bits))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+@pytest.mark.parametrize("bits", [5, 8, 11, 12])
+def test_words_that_collide_as_polynomials(encoder, bits):
+    a, b = thue_morse("ab", bits)
+    texts = [f"one {a} two", f"one {b} two", f"{b}.", f"{a}."]
+    fresh = tokens.Encoder(tokens.default_path())
+    assert fresh.encode(texts) == [library_ids(encoder, t) for t in texts]
+
+
+def test_keys_of_short_and_long_strings():
+    from blockloom.llm.hashing import keys_of
+
+    rng = np.random.default_rng(2)
+    strings = sorted({rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in [*range(1, 60)] * 40} | {b"a\0", b"a", b"a\0\0"})
+    raw = np.frombuffer(b"".join(strings), np.uint8)
+    end = np.cumsum([len(s) for s in strings])
+    start = end - [len(s) for s in strings]
+    keys = keys_of(raw, start, end, 7)
+    assert len(set(keys.tolist())) == len(strings)
+    at = [0, 5, 100]
+    moved = np.frombuffer(b"xy" + b"".join(strings) + b"z", np.uint8)
+    assert (keys_of(moved, start[at] + 2, end[at] + 2, 7) == keys[at]).all()
+    assert (keys_of(raw, start, end, 8) != keys).all()
+
+
+def test_packing_reads_no_other_columns(odd_docs, clashing, encoder):
+    docs = clashing(odd_docs).withColumns({c: F.lit(f"own {c}") for c in ("loss_from", "ids", "pieces", "sequence_id", "mask")})
+    rows = packing.pieces(packing.pack(docs.coalesce(1), tokens.default_path())).collect()
+    want = sum(len(library_ids(encoder, r.text)) // 2 + 1 for r in odd_docs.collect())
+    assert sum(r.length for r in rows) == want
+
+
+def test_token_files_read_no_other_columns(spark, odd_docs, clashing):
+    path = scratch_path(spark, "test-files")
+    docs = clashing(odd_docs).withColumns({c: F.lit("x") for c in ("ids", "ids_crc32", "n_tokens", "part", "data", "points")})
+    token_files.write_token_files(docs, path, tokens.default_path())
+    assert token_files.read_token_files(spark, path).count() == odd_docs.count()
+
+
+@pytest.mark.parametrize("name", ["op1_huffman_token_files", "op2_vector_packing"])
+def test_queries_hold_the_library_ids(spark, encoder, name):
+    from blockloom.llm.common import table
+    from blockloom.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    end = {"op1_huffman_token_files": 2, "op2_vector_packing": 0}[name]
+    whole = {
+        r.doc_id: np.append(np.frombuffer(library_ids(encoder, r.text), encoder.dtype), end).astype("<u4")
+        for r in table(spark, sf, "documents").collect()
+    }
+    rows = QUERIES[name](spark, sf).collect()
+    if end == 2:
+        starts = dict(zip(sorted(whole), np.cumsum([0] + [len(whole[i]) for i in sorted(whole)])))
+        want = {(i, int(starts[i]), len(x), zlib.crc32(x.tobytes())) for i, x in whole.items()}
+        assert {tuple(r)[:4] for r in rows} == want and len(rows) == len(whole)
+        return
+    left = dict.fromkeys(whole, 0)
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(whole[r.doc_id][r.start : r.start + r.length].tobytes())
+        assert r.doc_tokens == len(whole[r.doc_id])
+        left[r.doc_id] += r.length
+    assert left == {i: len(x) for i, x in whole.items()}
+    fill = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 1024
