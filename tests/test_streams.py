@@ -1,16 +1,35 @@
 import datetime as dt
 import random
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
+from blockloom.session import stored
 from blockloom.sources.labels import read_packed_labels
 from blockloom.sources.state import browser_domains, load_state, next_index
 from blockloom.streaming.extract import extract_stream
 from blockloom.streaming.ingest import ingest_batch, ingest_stream
-from blockloom.streaming.throttle import throttle, throttle_stream
+from blockloom.streaming import throttle as throttling
+from blockloom.streaming.throttle import rocksdb_state, throttle, throttle_stream
 
 T0 = dt.datetime(2024, 1, 1)
+CONF: dict[str, str] = {}
+
+
+@contextmanager
+def settings_of(spark, conf):
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 EVENTS = "k string, ts timestamp, n bigint"
 
 
@@ -38,18 +57,52 @@ def test_throttle_boundary(spark):
     assert got.count() == 6
 
 
-@pytest.mark.parametrize("per_chunk", [1, 2, 7, 64])
-def test_throttle_against_brute_force(spark, per_chunk):
-    """A hot key with most of the events, ties in time, gaps, and a null key."""
-    rng = random.Random(per_chunk)
+@pytest.mark.parametrize("steps,delay", [(64, 37), (0, 37), (2, 400), (64, 5000), (0, 5000)])
+def test_throttle_against_brute_force(spark, monkeypatch, steps, delay):
+    """A hot key with most of the events, ties in time, gaps, equal events and a null key, over many partitions."""
+    monkeypatch.setattr(throttling, "STEPS", steps)
+    monkeypatch.setitem(CONF, "spark.sql.shuffle.partitions", "23")
+    rng = random.Random(steps + delay)
     rows = []
     for n in range(6000):
         k = "hot" if n % 3 else rng.choice(["b", "c", "d", None])
         rows.append((k, at(rng.choice([rng.randrange(3000), rng.uniform(5000, 9000)])), n))
-    df = spark.createDataFrame(rows, EVENTS).repartition(7)
-    got = throttle(df, "k", "ts", 37, "n", delays_per_chunk=per_chunk)
-    assert accepted(got) == brute(rows, 37)
-    assert got.count() == len(rows)
+    with settings_of(spark, CONF | {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        got = throttle(spark.createDataFrame(rows, EVENTS).repartition(7), "k", "ts", delay, "n")
+        assert accepted(got) == brute(rows, delay)
+        assert got.count() == len(rows)
+
+
+def test_throttle_spreads_one_delay_of_one_key(spark):
+    """A third of all events of one key inside one delay, many at the same time: no task above its share."""
+    rows = [("hot", at((n % 50) / 10), n) for n in range(4000)] + [(f"k{n % 900}", at(n), n) for n in range(4000, 12000)]
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    with settings_of(spark, conf):
+        df = spark.createDataFrame(rows, EVENTS).repartition(5)
+        assert accepted(throttle(df, "k", "ts", 60, "n")) == brute(rows, 60)
+        same = spark.createDataFrame([("hot", at(0), 7)] * 3000, EVENTS).repartition(5)
+        seen = []
+
+        def kept(df):
+            seen.append(stored(df))
+            return seen[-1]
+
+        throttling.stored, before = kept, throttling.stored
+        try:
+            throttle(df, "k", "ts", 60, "n").count()
+            assert throttle(same, "k", "ts", 60, "n").where("accepted").count() == 1
+        finally:
+            throttling.stored = before
+        for held, n in zip(seen, (12000, 3000)):
+            shares = [r["count"] for r in held.where("whole is null").groupBy("part").count().collect()]
+            assert sum(shares) == n and max(shares) <= 3 * n / 12
+
+
+def test_throttle_without_delay_and_without_events(spark):
+    rows = [("a", at(0), 0), ("a", at(0), 1), (None, None, 2)]
+    df = spark.createDataFrame(rows, EVENTS)
+    assert {r.n: r.accepted for r in throttle(df, "k", "ts", 0, "n").collect()} == {0: True, 1: True, 2: None}
+    assert throttle(df.limit(0), "k", "ts", 5, "n").collect() == []
 
 
 def test_throttle_does_not_depend_on_the_time_zone(spark):
@@ -68,21 +121,41 @@ def write(spark, rows, path, schema, mode="append"):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode(mode).parquet(str(path))
 
 
-def test_throttle_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(3)
-    rows = [(rng.choice("aab"), at(10 * n + rng.random()), n) for n in range(300)]
-    for i in range(0, 300, 75):
-        write(spark, rows[i : i + 75], tmp_path / "in", EVENTS)
+def passed_of(spark, tmp_path, batches, delay, **options):
+    """Batches through the stream, each as micro-batch; the numbers that pass, and the last progress."""
+    rocksdb_state(spark)
+    for rows in batches:
+        write(spark, rows, tmp_path / "in", EVENTS)
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    passed = throttle_stream(stream, "k", "ts", 45, "n")
+    passed = throttle_stream(stream, "k", "ts", delay, "n", **options)
     q = passed.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
     q.awaitTermination()
-    assert len(q.recentProgress) >= 4
-    got = {r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(q.recentProgress) >= len(batches)
+    return {r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}, q.recentProgress[-1]
+
+
+def test_throttle_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "b", None]), at(10 * n + rng.random()), n) for n in range(300)]
+    with settings_of(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}):  # keys come in pieces
+        batches = [rng.sample(rows[i : i + 75], 75) for i in range(0, 300, 75)]
+        got, _ = passed_of(spark, tmp_path, batches, 45)
     batch = accepted(throttle(spark.createDataFrame(rows, EVENTS), "k", "ts", 45, "n"))
     assert got == batch == brute(rows, 45)
 
 
+def test_late_events_of_a_stream(spark, tmp_path):
+    """Before the watermark nothing passes; within it, what the passed events leave open does."""
+    batches = [
+        [("a", at(0), 0), ("b", at(0), 1)],
+        [("a", at(200), 2)],
+        [("c", at(20), 3), ("c", at(190), 4), ("a", at(180), 5), ("a", at(250), 6)],  # 3 is too late, 5 before 2
+        [("a", at(260), 7), ("b", at(30), 8)],
+    ]
+    got, _ = passed_of(spark, tmp_path, batches, 60)
+    assert got == {0, 1, 2, 4, 7}
+
+
 LABELS = "file string, title string, href string, ingredients array<string>, directions array<string>"
 
 
@@ -183,14 +256,9 @@ def test_events_without_a_time(spark, tmp_path):
 
 def test_state_of_a_stream_expires(spark, tmp_path):
     rows = [("a", at(0), 0), ("a", at(30), 1), ("b", at(500), 2), ("a", at(1000), 3), ("a", at(1030), 4), ("b", None, 5)]
-    for r in rows:
-        write(spark, [r], tmp_path / "in", EVENTS)
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    passed = throttle_stream(stream, "k", "ts", 45, "n", watermark="10 seconds")
-    q = passed.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
-    q.awaitTermination()
-    assert {r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0, 2, 3}
-    assert q.recentProgress[-1].stateOperators[0].numRowsTotal <= 1
+    got, last = passed_of(spark, tmp_path, [[r] for r in rows], 45)
+    assert got == {0, 2, 3}
+    assert last.stateOperators[0].numRowsTotal <= 3  # one key: its time, and its timer in both directions
 
 
 def test_extract_stream_equals_batch(spark, tmp_path, model, recipes):
