@@ -11,7 +11,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from blockloom.operators.crawl import assign_ids
 from blockloom.plans.curation import validate
 from blockloom.session import stored
-from blockloom.sources.state import append_state, browser_domains, load_state, next_index, read_if_there
+from blockloom.sources.bodies import bodies_of
+from blockloom.sources.state import (
+    append_state, browser_domains, buckets_of, close_batch, last_marker, load_state, next_index, read_if_there,
+)
 
 OPEN = ("pending", "needs_browser")
 
@@ -23,15 +26,6 @@ def _one_per_file(labels: DataFrame) -> DataFrame:
     return labels.groupBy("file").agg(F.max_by(record, F.struct(text)).alias("m")).select("m.r.*")
 
 
-def _bodies(fetched: DataFrame, files: DataFrame) -> DataFrame:
-    """The bodies of these files, the browser's where there are two."""
-    own = fetched.join(files, "file", "left_semi")
-    if "fetched_by" not in own.columns:
-        return own
-    body = F.struct(*own.columns)
-    return own.groupBy("file").agg(F.max_by(body, F.col("fetched_by") == "browser").alias("b")).select("b.*")
-
-
 def ingest_batch(
     labels: DataFrame,
     batch: int,
@@ -43,25 +37,29 @@ def ingest_batch(
 ) -> None:
     """Validate one batch of labels, add the valid pairs to the corpus and note every outcome.
 
+    fetched: the bodies, best as the table of sources.bodies, of which only the batch's buckets are read.
     Label records whose body is not there yet, or has to come by browser, are kept beside the state and
     tried again with every batch. Running a batch again writes the same folders with the same ids.
     """
     spark = labels.sparkSession
-    state = stored(load_state(spark, state_path, before=batch))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in labels.schema)
+    marker = last_marker(spark, state_path, batch)
     kept = read_if_there(spark, f"{state_path.rstrip('/')}-open", f"{schema}, batch bigint")
-    last = kept.where(F.col("batch") < batch).agg(F.max("batch")).first()[0]
-    waiting = kept.where(F.col("batch") == (-1 if last is None else last)).drop("batch")
+    waiting = kept.where(F.col("batch") == (-1 if marker is None else marker["batch"])).drop("batch")
     todo = stored(_one_per_file(labels.unionByName(waiting)))
+    buckets = buckets_of(todo)
+    files = todo.select("file")
+    state = stored(load_state(spark, state_path, batch, buckets).join(files, "file", "left_semi"))
     domains = browser_domains(spark, state_path, before=batch)
     outcome = stored(
-        validate(todo, _bodies(fetched, todo.select("file")), suffixes, state, retry_failed, domains)
+        validate(todo, bodies_of(fetched, files, buckets), suffixes, state, retry_failed, domains)
     )
     still_open = todo.join(outcome.where(F.col("status").isin(*OPEN)).select("file"), "file", "left_semi")
     still_open.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}-open/batch={batch}")
 
     valid = outcome.where("status = 'valid'")
-    named = stored(assign_ids(valid, next_index(spark, state_path, before=batch)))
+    start = next_index(spark, state_path, before=batch)
+    named = stored(assign_ids(valid, start))
     named.drop("status", "reason").write.mode("overwrite").parquet(
         f"{corpus_path.rstrip('/')}/batch={batch}"
     )
@@ -75,6 +73,8 @@ def ingest_batch(
     before = state.select(*[F.col(c).alias(f"__{c}") for c in columns])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])
     append_state(entries.join(before, same, "left_anti"), state_path, batch)
+    top = named.agg(F.max("out_index")).first()[0]
+    close_batch(spark, state_path, batch, start if top is None else top + 1)
 
 
 def ingest_stream(

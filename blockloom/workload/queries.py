@@ -19,7 +19,7 @@ from blockloom.operators.numbering import number_within
 from blockloom.operators import crawl, features, flatten, pairing, quality, records, reports, sampling, sections, vectors
 from blockloom.plans import curation, extraction, training
 from blockloom.session import scratch_path, stored
-from blockloom.sources import corpus, labels as label_files, state as crawl_state
+from blockloom.sources import bodies, corpus, labels as label_files, state as crawl_state
 from blockloom.streaming import extract as stream_extract, ingest, throttle as throttling
 from blockloom.workload import inputs
 from blockloom.workload.inputs import table, texts
@@ -527,7 +527,8 @@ def ingest_stream(spark, sf):
     named = F.when(F.col("page_id") < 0, F.concat(F.lit("recipe_x"), -1 - F.col("page_id"))).otherwise(
         F.format_string(crawl.FILE_PATTERN, F.col("page_id").cast("int"))
     )
-    fetched = _fetched(spark, sf).select(named.alias("file"), "html")
+    bodies.write_bodies(_fetched(spark, sf).select(named.alias("file"), "html"), f"{root}/bodies")
+    fetched = bodies.read_bodies(spark, f"{root}/bodies")
     labels = stored(_ingest_labels(spark, sf, named))
     for batch in range(4):
         lines = _label_lines(labels.where(F.col("batch") == batch))

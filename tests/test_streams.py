@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from blockloom.session import stored
 from blockloom.sources.labels import read_packed_labels
-from blockloom.sources.state import browser_domains, load_state, next_index
+from blockloom.sources import state as crawl_state
+from blockloom.sources.bodies import bodies_of, read_bodies, write_bodies
+from blockloom.sources.state import browser_domains, buckets_of, in_buckets, last_marker, load_state, next_index
 from blockloom.streaming.extract import extract_stream
 from blockloom.streaming.ingest import ingest_batch, ingest_stream
 from blockloom.streaming import throttle as throttling
@@ -225,6 +227,47 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path, crawl):
     assert load_state(spark, state).count() == 12
 
 
+def test_state_with_snapshots(spark, tmp_path, crawl, monkeypatch):
+    """Many batches over few snapshots give what one batch gives; batch n reads its buckets and the last deltas."""
+    monkeypatch.setattr(crawl_state, "SNAPSHOT_EVERY", 2)
+    monkeypatch.setattr(crawl_state, "BUCKETS", 7)
+    fetched, suffixes, labels = crawl
+    write_bodies(fetched, str(tmp_path / "bodies"))
+    bodies = read_bodies(spark, str(tmp_path / "bodies"))
+    state, corpus = str(tmp_path / "state"), str(tmp_path / "corpus")
+    for n in range(6):
+        ingest_batch(spark.createDataFrame(labels(2 * n, 2 * n + 2), LABELS), n, bodies, suffixes, state, corpus)
+    once = str(tmp_path / "once")
+    ingest_batch(spark.createDataFrame(labels(0, 12), LABELS), 0, fetched, suffixes, once, str(tmp_path / "other"))
+    columns = ["file", "status", "url", "reason", "domain"]
+    rows = lambda p: sorted(map(repr, load_state(spark, p).select(*columns).collect()))
+    assert rows(state) == rows(once)
+    assert last_marker(spark, state)["snapshot"] == 5 and last_marker(spark, state, 5)["snapshot"] == 3
+    before = sorted(map(repr, load_state(spark, state).collect()))
+    ingest_batch(spark.createDataFrame(labels(8, 10), LABELS), 4, bodies, suffixes, state, corpus)  # again
+    ingest_batch(spark.createDataFrame(labels(10, 12), LABELS), 5, bodies, suffixes, state, corpus)
+    assert sorted(map(repr, load_state(spark, state).collect())) == before
+    assert next_index(spark, state) == spark.read.parquet(corpus).count()
+    assert {r.domain for r in browser_domains(spark, state).collect()} == {"allrecipes.com", "a4.com", "a8.com"}
+    one = spark.createDataFrame([("recipe_3",)], "file string")
+    buckets = buckets_of(one)
+    read = lambda df: {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    snapshot = spark.read.parquet(f"{state}-snapshot/upto=5")
+    assert read(in_buckets(snapshot, buckets)) and len(buckets) == 1
+    plan = load_state(spark, state, 5, buckets)._jdf.queryExecution().executedPlan().toString()
+    filters = [p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:]]
+    assert any("file_bucket" in f for f in filters) and any("(batch#" in f and "> 3)" in f for f in filters)
+    found = bodies_of(bodies, one, buckets)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(file_bucket" in found
+
+
+def test_the_browsers_body_counts(spark):
+    rows = [("a", "plain", "plain"), ("a", "own", "browser"), ("b", "only", None), ("c", "one", "plain"), ("c", "one", "plain")]
+    fetched = spark.createDataFrame(rows, "file string, html string, fetched_by string")
+    files = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "file string")
+    assert sorted((r.file, r.html) for r in bodies_of(fetched, files, []).collect()) == [("a", "own"), ("b", "only"), ("c", "one")]
+
+
 def test_open_files_are_tried_again(spark, tmp_path):
     """A refused body, a body not fetched yet and corrupt lines: every label has a row in state."""
     suffixes = spark.createDataFrame([("com",)], "suffix string")
