@@ -13,12 +13,12 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
-    FeatureHasher,
     Normalizer,
+    OneHotEncoder,
     SQLTransformer,
+    StringIndexerModel,
     VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -30,7 +30,7 @@ from blockloom.session import stored
 
 # Text vectoriser defaults.
 MAX_TERMS = 500
-TAG_FEATURES = 256  # hashed tag names
+MAX_TAGS = 1000  # tags with a place of their own
 TOKEN_PATTERN = WORD + "{2,}+"
 
 _GRAMS_SQL = (
@@ -142,16 +142,22 @@ def tfidf_weights(
     counting = fit_counts(df, text, max_terms)
     counted = stored(PipelineModel(counting).transform(df.select(*keys, text)).select(*keys, "__counts"))
     vectors = PipelineModel(fit_idf(counted)).transform(counted)
-    terms = F.lit(counting[1].vocabulary)
-    pairs = F.zip_with(terms, vector_to_array("tfidf"), lambda t, w: F.struct(t.alias("term"), w.alias("weight")))
-    hits = F.filter(pairs, lambda p: p["weight"] != 0)  # within the row: most weights are zero
-    return vectors.select(*keys, F.explode(hits).alias("__p")).select(*keys, "__p.term", "__p.weight")
+    rows = vector_entries(vectors, keys, "tfidf", counting[1].vocabulary)
+    return rows.withColumnsRenamed({"key": "term", "value": "weight"})
 
 
-def fit_structured(df: DataFrame, out: str = "structured") -> PipelineModel:
-    """Stages for tag, parent tag and numbers. Tag names of wild pages have no bound, so they are hashed."""
-    numeric = [c for c in STRUCTURED if c not in ("tag", "parent_tag")]
+def fit_structured(df: DataFrame, out: str = "structured", max_tags: int = MAX_TAGS) -> PipelineModel:
+    """Stages for tag, parent tag and numbers.
+
+    Every tag of df has a place of its own; a tag that df does not hold has none, and is all zeros. Tag names
+    of wild pages have no bound, so only the max_tags most frequent have places, and come to the driver.
+    """
+    numeric = _numbers()
+    top = df.where(F.col("tag").isNotNull()).groupBy("tag").agg(F.count("*").alias("n"))
+    tags = sorted(r["tag"] for r in top.orderBy(F.desc("n"), "tag").limit(max_tags).collect())
     doubles = ", ".join(f"CAST({c} AS DOUBLE) AS __{c}" for c in numeric)
+    # The indexer puts what it does not know behind the last tag; that place is the one the encoder leaves out.
+    index = StringIndexerModel.from_labels(tags or [""], "tag", "__tag_index", "keep")
     return Pipeline(
         stages=[
             SQLTransformer(
@@ -160,7 +166,8 @@ def fit_structured(df: DataFrame, out: str = "structured") -> PipelineModel:
                     "CAST(parent_tag = 'None' AS DOUBLE) AS __parent_tag FROM __THIS__"
                 )
             ),
-            FeatureHasher(inputCols=["tag"], outputCol="__tag", numFeatures=TAG_FEATURES),
+            index,
+            OneHotEncoder(inputCols=["__tag_index"], outputCols=["__tag"], dropLast=True),
             VectorAssembler(
                 inputCols=["__tag", "__parent_tag", *[f"__{c}" for c in numeric]], outputCol=out
             ),
@@ -168,6 +175,31 @@ def fit_structured(df: DataFrame, out: str = "structured") -> PipelineModel:
     ).fit(df)
 
 
+def _numbers() -> list[str]:
+    return [c for c in STRUCTURED if c not in ("tag", "parent_tag")]
+
+
+def structured_names(model: PipelineModel) -> list[str]:
+    """What the places of fit_structured's vectors stand for."""
+    tags = model.stages[1].labels
+    return [*[f"tag={t}" for t in tags], "parent_tag=None", *_numbers()]
+
+
+def entries(vector: Column, names: list[str]) -> Column:
+    """The entries of a vector that are not zero, as structs (key, value); a sparse vector is not filled up."""
+    plain = F.unwrap_udt(vector)
+    places = F.coalesce(plain["indices"], F.sequence(F.lit(0), F.size(plain["values"]) - 1))
+    every = F.zip_with(
+        places, plain["values"], lambda i, v: F.struct(F.element_at(F.lit(names), i + 1).alias("key"), v.alias("value"))
+    )
+    return F.filter(every, lambda e: e["value"] != 0)
+
+
+def vector_entries(df: DataFrame, keys: list[str], vector: str, names: list[str]) -> DataFrame:
+    """Long form (keys..., key, value) of the entries of a vector that are not zero."""
+    return df.select(*keys, F.inline(entries(F.col(vector), names)))
+
+
 def fit_vectors(df: DataFrame, text: str = "raw", max_terms: int = MAX_TERMS, out: str = "features") -> list[Transformer]:
     """Fitted stages from feature rows to one vector: structured and text side by side."""
     union = VectorAssembler(inputCols=["structured", "tfidf"], outputCol=out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CORRUPT = "_corrupt"
@@ -53,13 +53,14 @@ def _parsed(rows: DataFrame, key: str = "file") -> DataFrame:
 
 
 def read_labels(
-    spark: SparkSession, path: str, limit_files: int | None = None, pattern: str = PATTERN
+    spark: SparkSession, path: str, limit_files: int | None = None, pattern: str = PATTERN, name: Column | None = None
 ) -> DataFrame:
-    """Label records with their file stem (file), one JSON file each."""
+    """Label records with their file stem (file), one JSON file each. name: another key, from the file's _metadata."""
+    own = stem(F.col("_metadata.file_name")) if name is None else name
     files = (
         spark.read.option("pathGlobFilter", pattern)
         .text(path, wholetext=True)
-        .select(stem(F.col("_metadata.file_name")).alias("__file"), F.col("_metadata.file_name").alias("__source"), "value")
+        .select(own.alias("__file"), F.col("_metadata.file_name").alias("__source"), "value")
     )
     if limit_files is not None:
         files = files.orderBy("__file").limit(limit_files)

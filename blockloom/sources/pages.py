@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.sources.labels import stem
@@ -10,12 +10,13 @@ from blockloom.sources.labels import stem
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
-def read_pages(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
-    """(file, html) for every HTML file, keyed by its stem."""
+def read_pages(spark: SparkSession, path: str, pattern: str = "*.html", name: Column | None = None) -> DataFrame:
+    """(file, html) for every HTML file, keyed by its stem, or by another name from the file's _metadata."""
+    own = stem(F.col("_metadata.file_name")) if name is None else name
     return (
         spark.read.option("pathGlobFilter", pattern)
         .text(path, wholetext=True)
-        .select(stem(F.col("_metadata.file_name")).alias("file"), F.col("value").alias("html"))
+        .select(own.alias("file"), F.col("value").alias("html"))
     )
 
 

@@ -311,6 +311,11 @@ SELECT file, title, {joined('ingredients')} AS ingredients, {joined('directions'
 UNION ALL
 SELECT md5(line), 'Invalid JSON: ' || line, NULL, NULL
 FROM (SELECT {broken('file')} AS line FROM candidates WHERE doc_id % 50 = 7)"""
+ORACLE["read_label_files"] = f"""WITH {LABELS}
+SELECT file, title, {joined('ingredients')} AS ingredients, {joined('directions')} AS directions FROM candidates
+WHERE doc_id % 50 <> 7
+UNION ALL
+SELECT file, 'Invalid JSON: ' || {broken('file')}, NULL, NULL FROM candidates WHERE doc_id % 50 = 7"""
 ORACLE["write_corpus"] = _OUTCOME_CTE + """,
 numbered AS (
   SELECT page_id, title, row_number() OVER (ORDER BY page_id) - 1 AS out_index FROM outcomes WHERE status = 'valid')
@@ -516,6 +521,11 @@ ORACLE["dict_vectorize"] = _FEATURES + "\nUNION ALL ".join(
     + [f"SELECT page_id, idx, '{c}', CAST({c} AS DOUBLE) FROM features" for c in _NUMBERS]
 )
 
+# Tags that no page has among its first three blocks have no entry.
+ORACLE["dict_vectors"] = f"""{_FEATURES}
+SELECT page_id, idx, key, value FROM ({ORACLE["dict_vectorize"].removeprefix(_FEATURES)})
+WHERE value <> 0 AND (key NOT LIKE 'tag=%' OR key IN (SELECT 'tag=' || tag FROM features WHERE idx < 3))"""
+
 _TERMS = r"""words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents),
 terms AS (

@@ -19,7 +19,7 @@ from blockloom.operators.numbering import number_within
 from blockloom.operators import crawl, features, flatten, pairing, quality, records, reports, sampling, sections, vectors
 from blockloom.plans import curation, extraction, training
 from blockloom.session import scratch_path, stored
-from blockloom.sources import bodies, corpus, labels as label_files, state as crawl_state
+from blockloom.sources import bodies, corpus, labels as label_files, pages as page_sources, state as crawl_state
 from blockloom.streaming import extract as stream_extract, ingest, throttle as throttling
 from blockloom.workload import inputs
 from blockloom.workload.inputs import table, texts
@@ -107,8 +107,11 @@ def read_labels(spark, sf):
     return _label_rows(label_files.read_packed_labels(spark, root))
 
 
-def _label_lines(labels: DataFrame) -> DataFrame:
-    """JSON lines of label records; a broken one more for every 50th n, odd unread values in others."""
+def _label_lines(labels: DataFrame, whole: bool = False) -> DataFrame:
+    """JSON lines of label records; a broken one more for every 50th n, odd unread values in others.
+
+    whole: a text for each file instead, (stem, value), and a broken one in place of every 50th.
+    """
     n = F.col("n")
     odd = F.struct(
         *[F.col(c) for c in labels.columns if c not in ("n", "doc_id", "batch")],
@@ -117,6 +120,8 @@ def _label_lines(labels: DataFrame) -> DataFrame:
         (n + 3_000_000_000).alias("__v"),
     )
     broken = F.concat(F.lit('{"file": "'), F.col("file"), F.lit('", "title": '))
+    if whole:
+        return labels.select(F.col("file").alias("stem"), F.when(n % 50 == 7, broken).otherwise(F.to_json(odd)).alias("value"))
     lines = F.when(n % 50 == 7, F.array(F.to_json(odd), broken)).otherwise(F.array(F.to_json(odd)))
     return labels.select(F.explode(lines).alias("value"))
 
@@ -137,10 +142,25 @@ def page_files(spark, sf):
     root = scratch_path(spark, "page-files")
     pages = texts(spark, sf, "pages", "page_id", "html")
     pages.select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").option("lineSep", "\x00").text(root)
-    files = spark.read.option("pathGlobFilter", "part-*").text(f"{root}/*", wholetext=True)
-    key = F.regexp_extract(F.col("_metadata.file_path"), r"page_id=(\d+)", 1).cast("bigint")
-    html = F.replace(F.col("value"), F.lit("\x00"), F.lit(""))
-    return files.select(key.alias("page_id"), F.md5(html).alias("md5"), F.char_length(html).alias("n_chars"))
+    files = page_sources.read_pages(spark, f"{root}/*", "part-*", _folder("page_id"))
+    html = F.replace(F.col("html"), F.lit("\x00"), F.lit(""))
+    return files.select(F.col("file").cast("bigint").alias("page_id"), F.md5(html).alias("md5"), F.char_length(html).alias("n_chars"))
+
+
+def _folder(column: str):
+    """The value in the name of the folder that a file stands in."""
+    return F.regexp_extract(F.col("_metadata.file_path"), f"{column}=([^/]*)/", 1)
+
+
+@query
+def read_label_files(spark, sf):
+    """Label records written as a JSON file each, some broken, and read back by their names."""
+    root = scratch_path(spark, "label-files")
+    lines = _label_lines(_labels(spark, sf).withColumn("n", F.col("doc_id")), whole=True)
+    lines.write.partitionBy("stem").option("lineSep", "\x00").text(root)
+    rows = label_files.read_labels(spark, f"{root}/*", pattern="part-*", name=_folder("stem"))
+    plain = lambda c: F.replace(F.col(c), F.lit("\x00"), F.lit("")).alias(c)
+    return _label_rows(rows).select("file", plain("title"), "ingredients", "directions")
 
 
 @query
@@ -376,9 +396,9 @@ def balance_classes_defaults(spark, sf):
 @query
 def shuffle_rows(spark, sf):
     """Every class row with its place in the seeded order."""
-    order = sampling.seeded_hash(sampling.SEED, "doc_id")
-    rows = inputs.classes(spark, sf).withColumn("__h", order)
-    return number_within(rows, [], ["__h", "doc_id"], "place").select("doc_id", "label", "place")
+    rows = sampling.shuffle(inputs.classes(spark, sf), ["doc_id"])
+    ordered = stored(rows.withColumn("__at", F.monotonically_increasing_id()))
+    return number_within(ordered, [], ["__at"], "place").select("doc_id", "label", "place")
 
 
 @query
@@ -414,6 +434,15 @@ def dict_vectorize(spark, sf):
     return rows.select("page_id", "idx", "key", F.round("value", 9).alias("value"))
 
 
+@query
+def dict_vectors(spark, sf):
+    """Vectors of all blocks by stages that were fitted to the first three blocks of every page."""
+    rows = stored(_features(spark, sf))
+    model = vectors.fit_structured(rows.where("idx < 3"))
+    found = vectors.vector_entries(model.transform(rows), ["page_id", "idx"], "structured", vectors.structured_names(model))
+    return found.select("page_id", "idx", "key", F.round("value", 9).alias("value"))
+
+
 @query
 def tfidf_vocab(spark, sf):
     return vectors.tfidf_vocab(texts(spark, sf, "documents", "text"))

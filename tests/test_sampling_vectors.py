@@ -108,12 +108,28 @@ def feature_rows(spark, tags):
 
 def test_structured_vectors(spark):
     model = vectors.fit_structured(feature_rows(spark, ["p", "p", "h1"]))
-    out = model.transform(feature_rows(spark, ["h1", "section"])).orderBy("idx").collect()
-    known, unseen = out[0].structured.toArray(), out[1].structured.toArray()
-    tags = vectors.TAG_FEATURES
-    assert len(known) == tags + 16  # hashed tags, the parent tag, 15 numbers
-    assert known[:tags].sum() == unseen[:tags].sum() == 1 and (known[:tags] != unseen[:tags]).any()
-    assert known[tags] == unseen[tags] == 1
+    names = vectors.structured_names(model)
+    assert names[:3] == ["tag=h1", "tag=p", "parent_tag=None"] and len(names) == 2 + 16  # tags, parent tag, 15 numbers
+    rows = model.transform(feature_rows(spark, ["h1", "section", None])).orderBy("idx")
+    known, unseen, none = (r.structured.toArray() for r in rows.collect())
+    assert known[:2].tolist() == [1, 0] and unseen[:2].tolist() == none[:2].tolist() == [0, 0]
+    assert len(known) == len(names) and known[2] == unseen[2] == 1
+    found = {(r.idx, r.key): r.value for r in vectors.vector_entries(rows, ["idx"], "structured", names).collect()}
+    assert found[0, "tag=h1"] == 1 and not any(k.startswith("tag=") for i, k in found if i)
+    assert found == {(i, n): v[j] for i, v in enumerate([known, unseen, none]) for j, n in enumerate(names) if v[j]}
+
+
+def test_only_the_most_frequent_tags_have_places(spark):
+    model = vectors.fit_structured(feature_rows(spark, ["a", "b", "b", "c", "c", "c"]), max_tags=2)
+    assert vectors.structured_names(model)[:3] == ["tag=b", "tag=c", "parent_tag=None"]
+
+
+def test_entries_of_dense_and_sparse_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(1, Vectors.dense([0.0, 2.0, 3.0])), (2, Vectors.sparse(3, [0, 2], [1.5, 0.0])), (3, Vectors.sparse(3, [], []))]
+    found = vectors.vector_entries(spark.createDataFrame(rows, ["k", "v"]), ["k"], "v", ["x", "y", "z"]).collect()
+    assert sorted(map(tuple, found)) == [(1, "y", 2.0), (1, "z", 3.0), (2, "x", 1.5)]
 
 
 def test_feature_union(spark):
