@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from blockloom.operators.numbering import number_within
 
 _RANGE = 2**32
-_BUCKET_BITS = 16
+_RADIX_BITS = 16
+_DIGEST_DIGITS = 32
+RESIDUE = 10_000  # rows that are ranked in one task
 NONE = "none"
 # Balancing and split defaults.
 RATIO_NONE_TO_MINOR = 3
@@ -104,11 +106,11 @@ def balance_classes(
     """
     plan = {r[label]: (r["n"], r["target"]) for r in class_plan(df, label, ratio, floor).collect()}
     key = list(key)
-    lifted = [c for c, (n, target) in plan.items() if c != NONE and target > n]
-    kept = df.where(~F.col(label).isin(lifted)) if lifted else df
+    lifted = [c for c, (n, target) in plan.items() if c not in (NONE, None) and target > n]
+    kept = df.where(~F.coalesce(F.col(label).isin(lifted), F.lit(False))) if lifted else df
     n_none, target_none = plan.get(NONE, (0, 0))
     if target_none < n_none:
-        kept = _keep_first(kept, key, label, target_none, seed)
+        kept = _keep_first(kept, key, label, n_none, target_none, seed)
     parts = [kept.withColumn(out, F.lit(0).cast("bigint"))]
     parts += [_draw(df, key, label, c, *plan[c], seed, out) for c in lifted]
     result = parts[0]
@@ -117,34 +119,31 @@ def balance_classes(
     return shuffle(result, [*key, out], seed) if shuffled else result
 
 
-def _keep_first(df: DataFrame, key: list[str], label: str, target: int, seed: int) -> DataFrame:
-    """All rows but those 'none' rows that come after the first target ones in hash order.
+def _keep_first(df: DataFrame, key: list[str], label: str, n: int, target: int, seed: int) -> DataFrame:
+    """All rows but those of the n 'none' rows that come after the first target ones in hash order.
 
-    A histogram of the hash's upper bits finds the bucket in which the target
-    falls. Rows below it stay without being sorted; only that bucket, one
-    65,536th of the class, is ranked.
+    Radix selection: a histogram of the hash's next 16 bits, over the rows that agree with the edge so far,
+    finds the value in which the target falls, until no more than RESIDUE rows are left. Rows below the edge
+    stay without being sorted; only the residue, whose size does not grow with the class, is ranked.
     """
-    digest = seeded_hash(seed, *key)
-    is_none = F.col(label) == NONE
-    hashed = df.withColumn("__digest", F.when(is_none, digest)).withColumn(
-        "__bucket", F.shiftright(hash_number(F.col("__digest")), 32 - _BUCKET_BITS)
-    )
-    histogram = hashed.where(is_none).groupBy("__bucket").agg(F.count("*").alias("n"))
-    running = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__bucket"))  # <= 65,536 rows
-    edge = (
-        histogram.select("__bucket", (running - F.col("n")).alias("below"), running.alias("upto"))
-        .where((F.col("below") < target) & (F.col("upto") >= target))
-        .collect()
-    )
-    # One row at most: with a target of 0 no bucket is needed.
-    cut, below = (edge[0]["__bucket"], edge[0]["below"]) if edge else (-1, 0)
-    sure = hashed.where(~is_none | (F.col("__bucket") < cut))
-    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy("__digest", *key))
-    residue = (
-        hashed.where(F.col("__bucket") == cut).withColumn("__rank", rank)
-        .where(F.col("__rank") <= target - below).drop("__rank")
-    )
-    return sure.unionByName(residue).drop("__digest", "__bucket")
+    is_none = F.col(label).eqNullSafe(NONE)
+    hashed = df.withColumn("__digest", F.when(is_none, seeded_hash(seed, *key)))
+    if target <= 0:
+        return hashed.where(~is_none).drop("__digest")
+    edge, left, width = "", n, _RADIX_BITS // 4  # hexadecimal digits
+    while left > RESIDUE and len(edge) < _DIGEST_DIGITS:
+        digits = F.substring("__digest", len(edge) + 1, width)
+        counted = hashed.where(is_none & F.col("__digest").startswith(edge)).groupBy(digits.alias("d")).count()
+        for r in sorted(counted.collect()):  # at most 2 ** _RADIX_BITS rows
+            left = r["count"]
+            if left >= target:
+                edge += r["d"]
+                break
+            target -= left
+    sure = hashed.where(~is_none | (F.col("__digest") < edge))
+    rank = F.row_number().over(Window.partitionBy(F.substring("__digest", 1, len(edge))).orderBy("__digest", *key))
+    residue = hashed.where(is_none & F.col("__digest").startswith(edge)).withColumn("__rank", rank)
+    return sure.unionByName(residue.where(F.col("__rank") <= target).drop("__rank")).drop("__digest")
 
 
 def _draw(

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -49,6 +50,19 @@ def test_balance_edges(spark, sizes, want):
     assert counts(sampling.balance_classes(population(spark, **sizes), ["k"])) == want
 
 
+@pytest.mark.parametrize("residue,bits", [(10_000, 16), (1, 16), (3, 4), (40, 4), (0, 8)])
+def test_down_sampling_by_radix(spark, monkeypatch, residue, bits):
+    """Whatever is ranked in the end, the rows with the least hashes stay."""
+    monkeypatch.setattr(sampling, "RESIDUE", residue)
+    monkeypatch.setattr(sampling, "_RADIX_BITS", bits)
+    df = population(spark, none=400, ingredient=30, title=25).unionByName(spark.createDataFrame([("x", None)], "k string, label string").select(*population(spark, none=1).columns))
+    got = sampling.balance_classes(df, ["k"], ratio=2, floor=0.5).collect()
+    names = sorted((f"none{i}" for i in range(400)), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+    plan = {r["label"]: r["target"] for r in sampling.class_plan(df, ratio=2, floor=0.5).collect()}
+    assert sorted(r.k for r in got if r.label == "none") == sorted(names[: plan["none"]])
+    assert [r.k for r in got if r.label is None] == ["x"]
+
+
 def test_split(spark):
     df = spark.range(20_000).select(F.col("id"), (F.col("id") % 50).alias("page"))
     split = sampling.train_test_split(df, ["id"])
