@@ -220,19 +220,95 @@ def _near(items: str) -> str:
     )
 
 
-ORACLE["fuzzy_candidates"] = blocks_cte() + f""", {LABELS},
+NEAR = f"""{LABELS},
 texts AS (
   SELECT *, CASE WHEN regexp_matches(t, {_q(DIGITS)}) THEN 0 ELSE length(t) END AS n
-  FROM (SELECT page_id, idx, lower({strip('text')}) AS t FROM blocks)),
-near AS (
-  SELECT x.page_id, x.idx, x.t, x.n, {_near('l.ingredients')} AS ing, {_near('l.directions')} AS dir,
+  FROM (SELECT page_id, idx, text, lower({strip('text')}) AS t FROM blocks)),
+near AS MATERIALIZED (
+  SELECT x.page_id, x.idx, x.text, x.t, x.n, {_near('l.ingredients')} AS ing, {_near('l.directions')} AS dir,
     lower({strip('l.title')}) AS ttl
-  FROM texts x JOIN page_labels l ON l.page_id = x.page_id)
+  FROM texts x JOIN page_labels l ON l.page_id = x.page_id)"""
+TITLE_NEAR = "2.0 * least(n, length(ttl)) > 0.8 * (n + length(ttl))"
+
+ORACLE["fuzzy_candidates"] = blocks_cte() + f""", {NEAR}
 SELECT page_id, idx, t, {joined('ing')} AS ing_candidates, {joined('dir')} AS dir_candidates,
   CAST(len(ing) AS INTEGER) AS n_ing, CAST(len(dir) AS INTEGER) AS n_dir,
-  CASE WHEN 2.0 * least(n, length(ttl)) > 0.8 * (n + length(ttl)) THEN ttl END AS title_candidate
+  CASE WHEN {TITLE_NEAR} THEN ttl END AS title_candidate
 FROM near"""
 
+
+def _chars(e: str, char: str, place: str) -> str:
+    return f"unnest(string_split({e}, '')) AS {char}, generate_subscripts(string_split({e}, ''), 1) AS {place}"
+
+
+def _same_run(first: str, step: str, limit: str) -> str:
+    """How many characters from a place on are equal, in the direction of step, at most limit."""
+    equal = f"lambda q: substr(a, {first.format('i')} {step} q, 1) = substr(b, {first.format('j')} {step} q, 1)"
+    return f"coalesce(list_position(list_transform(range(0, {limit}), {equal}), false) - 1, {limit})"
+
+
+# Matched characters of two texts: the longest common block (first in a, then in b) of characters that are
+# not frequent in a long b, grown over frequent ones, then the same left and right of it. A rectangle is the
+# part of a and b that is still to be matched; rows with a size are blocks, runs are equal pieces on a diagonal.
+SIMILAR = f"""compared AS MATERIALIZED (
+  SELECT page_id, idx, kind, a, b FROM (
+    SELECT page_id, idx, 1 AS kind, t AS a, unnest(ing) AS b FROM near
+    UNION ALL SELECT page_id, idx, 2, t, unnest(dir) FROM near
+    UNION ALL SELECT page_id, idx, 3, ttl, t FROM near WHERE {TITLE_NEAR})),
+letters AS MATERIALIZED (
+  SELECT s, c, count(*) AS n
+  FROM (SELECT s, unnest(string_split(s, '')) AS c FROM (SELECT a AS s FROM compared UNION SELECT b FROM compared))
+  GROUP BY s, c),
+spelled AS MATERIALIZED (
+  SELECT p.a, p.b, x.c, x.n FROM (SELECT DISTINCT a, b FROM compared WHERE a <> b) p JOIN letters x ON x.s = p.a),
+unequal AS MATERIALIZED (
+  SELECT p.a, p.b, row_number() OVER () AS pid FROM spelled p JOIN letters y ON y.s = p.b AND y.c = p.c
+  GROUP BY p.a, p.b HAVING 2.0 * sum(least(p.n, y.n)) > 0.8 * (length(p.a) + length(p.b))),
+rare AS (
+  SELECT pid, c, list(j) AS places
+  FROM (SELECT pid, length(b) AS m, {_chars('b', 'c', 'j')} FROM unequal)
+  GROUP BY pid, c, m HAVING m < 200 OR count(*) <= m // 100 + 1),
+hits AS (
+  SELECT x.pid, x.i, unnest(r.places) AS j
+  FROM (SELECT pid, {_chars('a', 'c', 'i')} FROM unequal) x JOIN rare r ON r.pid = x.pid AND r.c = x.c),
+runs AS MATERIALIZED (
+  SELECT pid, d, min(i) AS i, count(*) AS n
+  FROM (SELECT pid, i - j AS d, i, i - row_number() OVER (PARTITION BY pid, i - j ORDER BY i) AS g FROM hits)
+  GROUP BY pid, d, g),
+rects AS (
+  SELECT pid, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi, 0 AS size FROM unequal
+  UNION ALL (
+  WITH best AS (
+    SELECT r.pid, r.alo, r.ahi, r.blo, r.bhi, min(CASE WHEN x.pid IS NULL THEN {{'n': 0, 'i': r.alo, 'j': r.blo}} ELSE {{
+      'n': greatest(x.i, r.alo, r.blo + x.d) - least(x.i + x.n, r.ahi, r.bhi + x.d),
+      'i': greatest(x.i, r.alo, r.blo + x.d), 'j': greatest(x.i, r.alo, r.blo + x.d) - x.d}} END) AS k
+    FROM rects r LEFT JOIN runs x
+      ON x.pid = r.pid AND x.i < least(r.ahi, r.bhi + x.d) AND x.i + x.n > greatest(r.alo, r.blo + x.d)
+    WHERE r.alo < r.ahi AND r.blo < r.bhi
+    GROUP BY r.pid, r.alo, r.ahi, r.blo, r.bhi),
+  longest AS (
+    SELECT s.pid, s.alo, s.ahi, s.blo, s.bhi, s.k.i AS i, s.k.j AS j, -s.k.n AS n, u.a, u.b
+    FROM best s JOIN unequal u ON u.pid = s.pid),
+  grown AS (
+    SELECT *, {_same_run('{} - 1', '-', 'least(i - alo, j - blo)')} AS l,
+      {_same_run('{} + n', '+', 'least(ahi - i - n, bhi - j - n)')} AS r FROM longest)
+  SELECT pid, unnest([alo, i + n + r, 0]), unnest([i - l, ahi, 0]), unnest([blo, j + n + r, 0]),
+    unnest([j - l, bhi, 0]), unnest([0, 0, l + n + r])
+  FROM grown WHERE l + n + r > 0)),
+matched AS (SELECT pid, sum(size) AS m FROM rects GROUP BY pid),
+similar_texts AS MATERIALIZED (
+  SELECT u.a, u.b FROM unequal u JOIN matched m ON m.pid = u.pid
+  WHERE CAST(2 * m.m AS DOUBLE) / (length(u.a) + length(u.b)) > CAST(0.8 AS DOUBLE)),
+labelled AS (
+  SELECT n.page_id, n.idx, n.text, coalesce(k.label, 'none') AS label
+  FROM near n LEFT JOIN (
+    SELECT page_id, idx, ['ingredient', 'direction', 'title'][min(kind)] AS label
+    FROM compared c WHERE a = b OR EXISTS (SELECT 1 FROM similar_texts s WHERE s.a = c.a AND s.b = c.b)
+    GROUP BY page_id, idx) k ON k.page_id = n.page_id AND k.idx = n.idx)"""
+
+ORACLE["fuzzy_label"] = blocks_cte() + f""", {NEAR}, {SIMILAR}
+SELECT page_id, idx, text, label FROM labelled"""
+
 HOST = "lower(regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)', 1), ':\\d*$', ''))"
 DOMAINS = f"""suffixes AS (SELECT unnest({_list(SUFFIXES)}) AS s),
 hosts AS (SELECT page_id, url, string_split({HOST}, '.') AS parts FROM pages),

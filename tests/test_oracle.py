@@ -16,7 +16,7 @@ def duck():
 
 def test_oracles_belong_to_queries():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"fuzzy_label", "train_eval", "predict_blocks", "extract_stream"}
+    assert set(QUERIES) - set(ORACLE) == {"train_eval", "predict_blocks", "extract_stream"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
