@@ -63,6 +63,7 @@ class PageWalker(HTMLParser):
         self._gone = self._merge_at = self._root = 0
         self._special = 0  # open elements whose text is not ordinary text
         self._has_root = False
+        self.failed = False
 
     def readable(self, html: str | None) -> bool:
         """False if the parser gives up, as it does on some malformed declarations."""
@@ -74,8 +75,9 @@ class PageWalker(HTMLParser):
         return True
 
     def walk(self, html: str | None) -> list[Node]:
-        """The page's text nodes; none of an unreadable page (flatten.unreadable_pages() reports those)."""
-        if not self.readable(html):
+        """The page's text nodes; none of an unreadable page, after which failed is set."""
+        self.failed = not self.readable(html)
+        if self.failed:
             return []
         self._flush()
         self._pop_to(0)

@@ -42,6 +42,9 @@ _CONTEXT_FIELDS = [
     T.StructField("n_blocks", T.IntegerType()),
     T.StructField("section", T.StringType()),
 ]
+_REPORT_FIELDS = [T.StructField("reason", T.StringType())]
+# Fixed value: reason of a page that is skipped.
+UNREADABLE = "Unreadable HTML"
 _ROWS_PER_BATCH = 4096
 
 
@@ -76,15 +79,18 @@ def html_blocks(
     collapse: Sequence[str] = MERGED_TAGS,
     rules: SectionRules | None = None,
     keep_empty_pages: bool = False,
+    report: bool = False,
 ) -> DataFrame:
     """Blocks of every page: (key, idx, text, tag, depth, itemprop, class, id).
 
     With rules, also n_blocks and section, found in the same pass over the page
     and so without a window. With keep_empty_pages, a page without blocks keeps
-    one row whose other columns are null.
+    one row whose other columns are null. With report, also reason, null for
+    blocks; a page whose markup can not be parsed, which has no blocks, gives one
+    row with a reason and nulls (see split_unreadable).
     """
     source = pages.select(key, F.col(html).alias("__html"))
-    fields = [source.schema[key], *_BLOCK_FIELDS, *(_CONTEXT_FIELDS if rules else [])]
+    fields = [source.schema[key], *_BLOCK_FIELDS, *(_CONTEXT_FIELDS if rules else []), *(_REPORT_FIELDS if report else [])]
     schema = T.StructType(fields)
     names = [f.name for f in fields[1:]]
     exclude, collapse = tuple(exclude), tuple(collapse)
@@ -105,7 +111,8 @@ def html_blocks(
             pick: list[int] = []
             columns: list[list] = [[] for _ in names]
             for row, page in enumerate(records.column(1)):
-                nodes = PageWalker(exclude, collapse).walk(page.as_py())
+                walker = PageWalker(exclude, collapse)
+                nodes = walker.walk(page.as_py())
                 section = None
                 for idx, node in enumerate(nodes):
                     a = node.attrs
@@ -117,30 +124,38 @@ def html_blocks(
                         if node.tag in rules.headings:
                             section = rules.of_string(node.text)
                         values += [len(nodes), section]
+                    if report:
+                        values.append(None)
                     pick.append(row)
                     for column, value in zip(columns, values):
                         column.append(value)
                     if len(pick) >= _ROWS_PER_BATCH:
                         yield batch(keys, pick, columns)
                         pick, columns = [], [[] for _ in names]
-                if keep_empty_pages and not nodes:
+                if (keep_empty_pages and not nodes) or (report and walker.failed):
                     pick.append(row)
                     for column in columns:
                         column.append(None)
+                    if report and walker.failed:
+                        columns[-1][-1] = UNREADABLE
             if pick:
                 yield batch(keys, pick, columns)
 
     return source.mapInArrow(flatten, schema)
 
 
-def unreadable_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, reason) of the pages whose markup can not be parsed; they have no blocks and no text."""
+def split_unreadable(rows: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame]:
+    """Rows of html_blocks(report=True) as blocks without reason, and (key, reason) of the pages skipped.
+
+    Both read rows: store them first, and one walk over the pages serves both.
+    """
+    skipped = F.col("reason").isNotNull()
+    return rows.where(~skipped).drop("reason"), rows.where(skipped).select(key, "reason")
 
-    def readable(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: PageWalker().readable(t)).astype(bool)
 
-    rows = pages.withColumn("__ok", F.pandas_udf(readable, "boolean")(F.col(html)))
-    return rows.where(~F.col("__ok")).select(key, F.lit("Unreadable HTML").alias("reason"))
+def unreadable_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, reason) of the pages whose markup can not be parsed; they have no blocks and no text."""
+    return split_unreadable(html_blocks(pages, key, html, report=True), key)[1]
 
 
 def page_text_column(html: Column, scope: str = "body", stripped: bool = True) -> Column:

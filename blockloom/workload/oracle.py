@@ -172,6 +172,8 @@ def joined(items: str) -> str:
 ORACLE["html_blocks"] = blocks_cte() + "SELECT page_id, idx, text, tag, depth FROM blocks"
 ORACLE["li_blocks"] = blocks_cte(WITH_NAV) + "SELECT page_id, idx, text, depth FROM blocks WHERE tag = 'li'"
 ORACLE["block_attrs"] = blocks_cte() + "SELECT page_id, idx, itemprop, class, id FROM blocks"
+ORACLE["unreadable_pages"] = blocks_cte() + """SELECT page_id, idx, text, NULL AS reason FROM blocks
+UNION ALL SELECT -1 - page_id, NULL, NULL, 'Unreadable HTML' FROM pages WHERE page_id % 5 = 3"""
 for _scope in ("body", "document"):
     ORACLE[f"page_text_{_scope}"] = page_text_cte(_scope) + "SELECT page_id, page_text FROM page_texts"
 

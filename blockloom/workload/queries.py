@@ -66,6 +66,16 @@ def block_attrs(spark, sf):
     return _blocks(spark, sf).select("page_id", "idx", "itemprop", _joined("class", " "), "id")
 
 
+@query
+def unreadable_pages(spark, sf):
+    """Blocks and skipped pages of one walk; every fifth page comes once more, with a declaration that breaks off."""
+    pages = texts(spark, sf, "pages", "page_id", "html")
+    broken = pages.where("page_id % 5 = 3").select((-1 - F.col("page_id")).alias("page_id"), F.concat("html", F.lit("<p>z<![x [y")).alias("html"))
+    rows = stored(flatten.html_blocks(pages.unionByName(broken), report=True))
+    blocks, skipped = flatten.split_unreadable(rows)
+    return blocks.select("page_id", "idx", "text", F.lit(None).cast("string").alias("reason")).unionByName(skipped, True)
+
+
 @query
 def page_text_body(spark, sf):
     return flatten.page_text(texts(spark, sf, "pages", "page_id", "html"), "body").select("page_id", "page_text")

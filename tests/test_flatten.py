@@ -136,8 +136,14 @@ def test_context_of_block_tables_equals_the_fold(spark):
 
 
 def test_unreadable_pages(spark, page):
-    from blockloom.operators.flatten import html_blocks, unreadable_pages
+    from blockloom.operators.flatten import split_unreadable, unreadable_pages
 
     df = page("<body><p>a</p></body>", "<p>x</p><![ x [", None, "<p>b")
     assert [tuple(r) for r in unreadable_pages(df).collect()] == [(1, "Unreadable HTML")]
     assert {r.page_id for r in html_blocks(df).collect()} == {0, 3}
+    # One walk: blocks as without the report, the skipped page beside them, an empty page as before.
+    for options in ({}, {"rules": SectionRules()}, {"keep_empty_pages": True}):
+        blocks, skipped = split_unreadable(html_blocks(df, report=True, **options))
+        plain = html_blocks(df, **options).where("page_id <> 1")
+        assert blocks.columns == plain.columns and blocks.exceptAll(plain).count() == plain.exceptAll(blocks).count() == 0
+        assert [tuple(r) for r in skipped.collect()] == [(1, "Unreadable HTML")]
