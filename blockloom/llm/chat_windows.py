@@ -5,8 +5,9 @@ that begin in the same step of tokens (slot) are a span, and a turn longer than
 own. A window has the leading system turn, then of the turns before its span those that fit into the
 history's budget, then its span. Assistant texts of the span are targets; system, history and user
 texts and all markup are masked. Every turn is in the span of exactly one window, so every target
-counts once. A step is half of what the budget leaves, so a window fits the budget, unless a single
-turn is longer than that; then it has no history and is as long as the turn.
+counts once. A step is half of what the conversation's system turn (or what is set aside for one, if that
+is more) and the history leave of the budget. So a window fits the budget, unless its span is a single turn
+that does not fit beside the system turn; then it has no history, is kept whole and is marked as over.
 
 Format of a turn: BEGIN role newline text END. Control strings (of this format and of others) get a
 backslash after their first character where they occur inside texts and roles, and backslashes are
@@ -19,7 +20,8 @@ conversation in one place; a span ends where a run ends. A formatted window is p
 
 Turns are in order of turn, then role, then text, nulls first. A null text is empty, a null role is the
 empty role, rows with a null conv_id are one conversation. Repeated rows are turns of their own; a turn
-number that recurs more than RUN times makes its run longer. Tokens are words plus one for the role.
+number that recurs more than RUN times makes its run longer. Tokens are estimated without a tokenizer: words,
+or a quarter of the UTF-8 bytes if that is more (as in texts without blanks), and one for the role.
 Other columns are ignored. No rows give no windows.
 """
 
@@ -47,9 +49,10 @@ class Budget:
     system: int = 128  # set aside for the system turn
     history: int = 256  # for repeated turns, at most
 
-    @property
-    def step(self) -> int:
-        return (self.tokens - self.system - self.history) // 2
+    def step(self, system: Column) -> Column:
+        """Tokens of a step beside a system turn of so many."""
+        left = F.lit(self.tokens - self.history) - F.greatest(system, F.lit(self.system))
+        return F.greatest(F.floor(left / 2), F.lit(1))
 
 
 def _guarded(control: str) -> str:
@@ -82,22 +85,30 @@ def spans(conversations: DataFrame, budget: Budget) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.floor(turn / RUN), F.lit(-(1 << 40))).alias("run"),
     )
-    rows = rows.withColumn("tokens", (F.size(words(F.col("text"))) + 1).cast("bigint"))
-    runs = rows.groupBy("c", "run").agg(F.sum("tokens").alias("run_tokens"), F.count("*").alias("run_turns"))
+    counted = F.greatest(F.size(words(F.col("text"))), F.ceil(F.octet_length("text") / 4))
+    rows = rows.withColumn("tokens", (counted + 1).cast("bigint"))
+    runs = rows.groupBy("c", "run").agg(
+        F.sum("tokens").alias("run_tokens"),
+        F.count("*").alias("run_turns"),
+        F.min(F.struct("turn", "role", "text", "tokens")).alias("head"),
+    )
+    system = F.when(F.col("head.role") == "system", F.col("head.tokens")).otherwise(0)
+    runs = runs.select("c", "run", "run_tokens", "run_turns", system.alias("system"))
     earlier = Window.partitionBy("c").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(
         "c",
         "run",
         F.coalesce(F.sum("run_tokens").over(earlier), F.lit(0)).alias("tokens_before"),
         F.coalesce(F.sum("run_turns").over(earlier), F.lit(0)).alias("turns_before"),
+        budget.step(F.first("system").over(Window.partitionBy("c").orderBy("run"))).alias("step"),
     )
     order = Window.partitionBy("c", "run").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(runs, ["c", "run"])
     rows = rows.withColumn("local", F.row_number().over(order) - 1)
     rows = rows.withColumn("before", F.col("tokens_before") + F.sum("tokens").over(so_far) - F.col("tokens"))
-    rows = rows.withColumn("slot", F.floor(F.col("before") / budget.step))
-    rows = rows.withColumn("large", F.col("tokens") > budget.step)
+    rows = rows.withColumn("slot", F.floor(F.col("before") / F.col("step")))
+    rows = rows.withColumn("large", F.col("tokens") > F.col("step"))
     begins = (
         (F.col("local") == 0)
         | (F.col("slot") != F.lag("slot").over(order))
@@ -114,10 +125,10 @@ def spans(conversations: DataFrame, budget: Budget) -> DataFrame:
 
 
 def format_windows(conversations: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """(conv_id, window, text, n_repeated, n_turns, loss).
+    """(conv_id, window, text, n_repeated, n_turns, loss, n_tokens, over).
 
     window: number of the span's first turn; n_repeated: turns before the span; loss: array of
-    (start, length) in characters of the text.
+    (start, length) in characters of the text; n_tokens: of all turns; over: more than the budget.
     """
     turns = stored(spans(conversations, budget))  # read four times
     system = turns.where("no = 0 and role = 'system'").select(
@@ -131,22 +142,22 @@ def format_windows(conversations: DataFrame, budget: Budget = Budget()) -> DataF
     windows = windows.withColumn("room", F.greatest(F.least(room, F.lit(budget.history)), F.lit(0)))
 
     repeated = windows.where("sc is not null and window > 0").select(
-        "c", "window", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("no"), F.col("srole").alias("role"), F.col("stext").alias("text")
+        "c", "window", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("no"), F.col("srole").alias("role"), F.col("stext").alias("text"), F.col("st").alias("tokens")
     )
     at = F.floor(F.col("begin") / budget.history)
     wanted = windows.where("window > 0 and room > 0").select(
         "c", "window", "begin", "room", F.col("sc").isNotNull().alias("has_system"), F.explode(F.array(at - 1, at)).alias("step")
     )
-    past = turns.select("c", "no", "role", "text", "before", F.floor(F.col("before") / budget.history).alias("step"))
+    past = turns.select("c", "no", "role", "text", "tokens", "before", F.floor(F.col("before") / budget.history).alias("step"))
     history = past.join(wanted, ["c", "step"]).where(
         "no < window and before >= begin - room and not (no = 0 and has_system)"
     )
-    history = history.select("c", "window", F.lit(1).alias("part"), "no", "role", "text")
-    own = turns.select("c", "window", F.lit(2).alias("part"), "no", "role", "text")
+    history = history.select("c", "window", F.lit(1).alias("part"), "no", "role", "text", "tokens")
+    own = turns.select("c", "window", F.lit(2).alias("part"), "no", "role", "text", "tokens")
 
     every = own.unionByName(history).unionByName(repeated)
     grouped = every.groupBy("c", "window").agg(
-        F.sort_array(F.collect_list(F.struct("part", "no", "role", "text"))).alias("t")
+        F.sort_array(F.collect_list(F.struct("part", "no", "role", "text", "tokens"))).alias("t")
     )
     pieces = grouped.select("c", "window", "t", F.transform("t", _piece).alias("pieces"))
     ends = F.transform(  # where the text of every turn ends
@@ -173,8 +184,9 @@ def format_windows(conversations: DataFrame, budget: Budget = Budget()) -> DataF
         F.size(F.filter("t", lambda t: t["part"] < 2)).alias("n_repeated"),
         F.size("t").alias("n_turns"),
         F.transform(marked, lambda z: F.struct(z["start"].alias("start"), z["length"].alias("length"))).alias("loss"),
+        F.aggregate("t", F.lit(0).cast("bigint"), lambda n, t: n + t["tokens"]).alias("n_tokens"),
     )
-    return out
+    return out.withColumn("over", F.col("n_tokens") > budget.tokens)
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:
@@ -196,6 +208,7 @@ def read_turns(formatted: DataFrame) -> DataFrame:
         F.transform(F.transform(own, rest), turn).alias("turns"),
         targets.alias("targets"),
         F.length("text").cast("bigint").alias("chars"),
+        "over",
     )
 
 
@@ -218,12 +231,14 @@ def op3_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("window", said.alias("said"), F.array_join("targets", "").alias("loss")).alias("w"),
         F.size("turns").alias("n"),
         "chars",
+        "over",
     )
     whole = back.groupBy("conv_id").agg(
         F.sum("n").cast("bigint").alias("n_turns"),
         F.sort_array(F.collect_list("w")).alias("w"),
         F.sum("chars").alias("formatted_chars"),
         F.count("*").alias("n_windows"),
+        F.count_if("over").alias("n_over"),
     )
     said = F.array_join(F.col("w.said"), "")
     loss = F.array_join(F.col("w.loss"), "")
@@ -235,4 +250,5 @@ def op3_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",
         "n_windows",
+        "n_over",
     )

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -54,17 +55,28 @@ def test_windows_hold_every_turn_once(spark, conversations, budget):
     assert {c: x for c, x in loss.items()} == {c: [t for r, t in own if r == "assistant"] for c, own in want.items()}
 
 
-def test_windows_keep_to_the_budget_and_repeat_history(spark, conversations):
-    budget = chat_windows.Budget(240, 16, 60)
-    turns = spark.createDataFrame(conversations, TURNS)
-    sizes = {(r.conv_id, r.no): r.tokens for r in chat_windows.spans(turns, budget).collect()}
+def tokens_of(text):
+    return max(len(re.findall(r"[^\x20\x09-\x0D]+", text)), -(-len(text.encode()) // 4)) + 1
+
+
+@pytest.mark.parametrize("budget", [chat_windows.Budget(), chat_windows.Budget(240, 16, 60), chat_windows.Budget(100, 60, 60)])
+def test_windows_keep_to_the_budget_and_repeat_history(spark, conversations, budget):
+    long = [(30, t, "assistant" if t % 2 else "user", "字" * 5000 if t % 20 == 9 else "文" * 90) for t in range(60)]
+    word = lambda n: " ".join(["w"] * (n - 1))
+    long += [(31, i, r, word(n)) for i, (r, n) in enumerate(zip(["system", "user", "assistant", "user", "user"], (500, 140, 319, 320, 30)))]
+    long += [(32, i, r, word(n)) for i, (r, n) in enumerate(zip(["system", "user", "assistant", "user", "user"], (1300, 1, 2, 320, 1)))]
+    turns = spark.createDataFrame(conversations + long, TURNS)
     repeated = 0
     for r in chat_windows.format_windows(turns, budget).collect():
         parts = r.text.split(chat_windows.END)[:-1]
-        tokens = sum(len(p.removeprefix(chat_windows.BEGIN).split("\n", 1)[1].split()) + 1 for p in parts)
-        own = [n for (c, no), n in sizes.items() if c == r.conv_id and r.window <= no < r.window + r.n_turns - r.n_repeated]
-        assert tokens <= budget.tokens or max(own) > budget.step
         assert all(text.startswith(chat_windows.BEGIN) for text in parts)
+        heads = [p.removeprefix(chat_windows.BEGIN).split("\n", 1) for p in parts]
+        if not any("\\" in text for _, text in heads):
+            assert r.n_tokens == sum(tokens_of(text) for _, text in heads)
+        assert r.over == (r.n_tokens > budget.tokens)
+        if r.over:  # a single turn, beside the system turn at most
+            has_system = r.window > 0 and heads[0][0] == "system"
+            assert r.n_turns == 1 + has_system
         repeated += r.n_repeated
         if r.window and r.conv_id and r.conv_id % 3 and r.conv_id < 12:
             assert parts[0].startswith(chat_windows.BEGIN + "system")
