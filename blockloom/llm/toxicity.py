@@ -1,23 +1,25 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-The state of a clause is a set of unordered flags: a negation, a reporting word or a target counts alike
-before and after the insult, and an insult alone is a match. Two machines work in turn. The lexical one reads the characters of a word and gives its class:
-insult, threat, target, negation or reported speech; it is a trie of words and of stems (a stem takes
-any ending). The clause one reads these classes: its state is what the clause has shown so far, a mark
-of punctuation or a line's end takes it back to its start, and a clause with an insult or a threat gives
-off that it matched, with the state it was in. A document's score is a logistic function of the
-logarithms of its matched clauses by kind, so a word counts only as part of a clause.
+Three transducers, the last two of them tables, work in turn. LEXICAL turns words into classes: insult,
+threat, target, negation, report, conjunction, other, and marks into pause and stop; it is a set of
+words and of stems (a stem takes any ending). SCOPE marks insults and threats that stand in reported
+speech (after a reporting word, up to the stop) or are negated (after a negation, up to a conjunction or a
+pause). TARGET pairs them with a target at most REACH words before or behind, and gives off the matched
+clause: a targeted one, or an insult alone among other words; a word that stands for itself and a threat
+without target match nothing. SCOPE and TARGET are composed into one machine of (state, class) -> (state,
+matches) before texts are read. A document's score is a logistic function of the logarithms of its
+matched clauses by kind: in all, and targeted, bare and threat, each plain, negated or reported, with a weight each.
 
 Insults are learned from labelled rows: of all words and stems that (almost) no clean text has, those
-that cover toxic texts are picked greedily, and those that are common in them are added. Target, threat, negation and reporting words are fixed lists;
-what they change is learned: the logistic weights are fitted to the clause counts of the same rows.
+that cover toxic texts are picked greedily, and those that are common in them are added. Target, threat, negation, reporting words and
+conjunctions are fixed lists; what they change is learned: the logistic weights are fitted to the clause counts of the same rows.
 Fitting uses at most about `fit_rows` labelled rows, chosen by hash of doc_id; a parameter, and the
 only bound: every whole text is scored.
 
 Labels that are null, or whose document is missing, are not used; of several labels of a document the
 largest counts. Null and empty texts match nothing and get the score of no match. Equal rows score
 alike; a null doc_id is kept as it is and is never used for fitting. Without labels of both kinds nothing
-can be learned, and every score is 0.
+can be learned, and every score is 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,9 +44,15 @@ TARGETS = "you your yours u ur he she they him her them du dich dir dein ihr euc
 THREATS = "kill hurt destroy beat shoot stab murder töten umbringen tuer frapper matar golpear".split()
 NEGATIONS = "not never no none nobody isn't aren't wasn't don't nicht kein keine nie niemals pas jamais aucun nunca jamás".split()
 REPORTS = "said says saying told called calls quoted wrote alleged according sagte nannte dit disait appelé dijo llamó".split()
+CONJUNCTIONS = "but and or although because while aber und oder weil sondern obwohl mais et ou car pero sino y o porque aunque".split()
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.,;:!?\n]")
 LETTERS = re.compile(r"[^\W\d_]+")
-KINDS = ("any", "targeted", "negated", "reported", "threat")
+CLASSES = ("insult", "threat", "target", "negation", "report", "conjunction", "other", "pause", "stop")
+MARKS = {",": "pause", ";": "pause", ":": "pause", ".": "stop", "!": "stop", "?": "stop", "\n": "stop"}
+WAYS = ("plain", "negated", "reported")
+KINDS = tuple(f"{match}_{way}" for match in ("targeted", "bare", "threat") for way in WAYS)
+FEATURES = ("matched", *KINDS)  # a kind that no labelled text has still counts as matched
+REACH = 4  # words from an insult or a threat to its target, at most
 PORTION = 1 << 21
 
 
@@ -70,14 +78,18 @@ class Lexicon:
         self.words = {w: "insult" for w in insults if not w.endswith("*")}
         self.stems = {w[:-1] for w in insults if w.endswith("*")}
         self.lengths = sorted({len(s) for s in self.stems})
-        for kind, own in (("threat", THREATS), ("negation", NEGATIONS), ("report", REPORTS), ("target", TARGETS)):
+        for kind, own in (
+            ("threat", THREATS), ("negation", NEGATIONS), ("report", REPORTS), ("target", TARGETS), ("conjunction", CONJUNCTIONS),
+        ):
             for w in own:
                 self.words.setdefault(w, kind)
 
-    def __call__(self, word: str) -> str | None:
+    def __call__(self, word: str) -> str:
+        if word in MARKS:
+            return MARKS[word]
         if any(word[:n] in self.stems for n in self.lengths if n < len(word)):
             return "insult"
-        return self.words.get(word)
+        return self.words.get(word, "other")
 
     def finder(self):
         """An automaton over characters that finds texts where anything can match."""
@@ -90,37 +102,87 @@ class Lexicon:
         return found
 
 
-#: The clause transducer: state bits by class.
-STATE = {"target": 1, "negation": 2, "report": 4}
-
-
-def clauses(text: str, lexicon: Lexicon) -> Counter:
+class Scope:
+    """Classes to classes with a way: (head, way) for insults and threats. States: (negated, reported)."""
+
+    start = (False, False)
+
+    def step(self, state: tuple, symbol: str) -> tuple[tuple, list]:
+        negated, reported = state
+        if symbol in ("insult", "threat"):
+            return state, [(symbol, "reported" if reported else "negated" if negated else "plain")]
+        if symbol == "stop":
+            return self.start, [symbol]
+        negated = symbol == "negation" or (negated and symbol not in ("conjunction", "pause"))
+        return (negated, reported or symbol == "report"), [symbol]
+
+
+class Target:
+    """Heads and classes to kinds. States: (words that the last target still reaches, the head that waits for one
+    and for how many words, whether another word has been there)."""
+
+    start = (0, None, 0, False)
+
+    def step(self, state: tuple, symbol) -> tuple[tuple, list]:
+        near, head, left, others = state
+        out = []
+
+        def alone() -> None:
+            if head and head[0] == "insult" and others:
+                out.append(f"bare_{head[1]}")
+
+        def match(own: tuple) -> None:
+            out.append(f"{'threat' if own[0] == 'threat' else 'targeted'}_{own[1]}")
+
+        if symbol == "stop":
+            alone()
+            return self.start, out
+        if isinstance(symbol, tuple):  # a head
+            alone()
+            if near:
+                match(symbol)
+                return (near - 1, None, 0, others), out
+            return (0, symbol, REACH, others), out
+        others = others or symbol != "pause"
+        if symbol == "target":
+            if head:
+                match(head)
+            return (REACH, None, 0, others), out
+        if head and left == 1:
+            alone()
+            head = None
+        return (max(near - 1, 0), head, left - 1 if head else 0, others), out
+
+
+def compose(first, second, symbols=CLASSES) -> list[dict[str, tuple[int, tuple[str, ...]]]]:
+    """The machine that feeds what the first gives off to the second: by state (0 is the start) and symbol."""
+    numbers = {(first.start, second.start): 0}
+    table, open_ = [], [(first.start, second.start)]
+    for a, b in open_:  # grows while it is read
+        row = {}
+        for symbol in symbols:
+            next_a, middle = first.step(a, symbol)
+            next_b, out = b, []
+            for m in middle:
+                next_b, more = second.step(next_b, m)
+                out += more
+            after = (next_a, next_b)
+            if after not in numbers:
+                numbers[after] = len(numbers)
+                open_.append(after)
+            row[symbol] = (numbers[after], tuple(out))
+        table.append(row)
+    return table
+
+
+def clauses(text: str, lexicon: Lexicon, machine: list) -> Counter:
     """Matched clauses of a lower-case text by kind."""
     counts: Counter = Counter()
-    state, insults, threats = 0, 0, 0
-
-    def close() -> None:
-        if insults or (threats and state & STATE["target"]):
-            counts["any"] += 1
-            counts["targeted"] += bool(insults and state & STATE["target"])
-            counts["negated"] += bool(state & STATE["negation"])
-            counts["reported"] += bool(state & STATE["report"])
-            counts["threat"] += bool(threats and state & STATE["target"])
-
+    state = 0
     for m in WORD.finditer(text):
-        word = m.group()
-        if word in ".,;:!?\n":
-            close()
-            state = insults = threats = 0
-            continue
-        kind = lexicon(word)
-        if kind == "insult":
-            insults += 1
-        elif kind == "threat":
-            threats += 1
-        elif kind:
-            state |= STATE[kind]
-    close()
+        state, found = machine[state][lexicon(m.group())]
+        counts.update(found)
+    counts.update(machine[state]["stop"][1])
     return counts
 
 
@@ -128,16 +190,17 @@ class Scorer:
     def __init__(self, insults: list[str]):
         self.lexicon = Lexicon(insults)
         self.finder = self.lexicon.finder()
+        self.machine = compose(Scope(), Target())
 
     def counts(self, text: str | None) -> list[float]:
-        """Logarithms of the document's matched clauses by kind, and one more."""
+        """Logarithms of one more than the document's matched clauses, in all and by kind."""
         lower = (text or "").lower()
         for end, length in self.finder.iter(lower):
             begin = end - length
             if begin < 0 or not lower[begin].isalpha():  # a word begins here
-                found = clauses(lower, self.lexicon)
-                return [math.log1p(found[k]) for k in KINDS]
-        return [0.0] * len(KINDS)
+                found = clauses(lower, self.lexicon, self.machine)
+                return [math.log1p(n) for n in (sum(found.values()), *(found[k] for k in KINDS))]
+        return [0.0] * len(FEATURES)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -220,13 +283,13 @@ def count_clauses(docs: DataFrame, keep: list[str], insults: list[str], fit: Fit
         scorer = Scorer(insults)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            found = np.array([scorer.counts(t.as_py()) for t in texts], np.float64).reshape(-1, len(KINDS))
+            found = np.array([scorer.counts(t.as_py()) for t in texts], np.float64).reshape(-1, len(FEATURES))
             own = [batch.column(batch.schema.get_field_index(k)) for k in keep]
-            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, found.T)], [*keep, *KINDS])
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, found.T)], [*keep, *FEATURES])
 
     rows = docs.select(*keep, F.col("text").cast("string"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep]
-    return rows.mapInArrow(run, ", ".join([*kept, *(f"`{k}` double" for k in KINDS)]))
+    return rows.mapInArrow(run, ", ".join([*kept, *(f"`{k}` double" for k in FEATURES)]))
 
 
 def fit_weights(rows: DataFrame, insults: list[str], fit: Fit) -> tuple[list[float], float]:
@@ -235,7 +298,7 @@ def fit_weights(rows: DataFrame, insults: list[str], fit: Fit) -> tuple[list[flo
     from pyspark.ml.feature import VectorAssembler
 
     counted = stored(count_clauses(rows, ["toxic"], insults, fit))
-    ready = VectorAssembler(inputCols=list(KINDS), outputCol="x").transform(counted)
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(counted)
     ready = ready.withColumn("label", (F.col("toxic") > 0).cast("double"))
     model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-4, maxIter=50).fit(ready)
     return [float(w) for w in model.coefficients], float(model.intercept)
@@ -248,7 +311,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
     if not insults:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
     weights, intercept = fit_weights(rows, insults, fit)
-    total = sum((F.col(k) * w for k, w in zip(KINDS, weights)), F.lit(intercept))
+    total = sum((F.col(k) * w for k, w in zip(FEATURES, weights)), F.lit(intercept))
     found = count_clauses(docs, ["doc_id"], insults, fit)
     return found.select("doc_id", (1 / (1 + F.exp(-total))).alias("score"))
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from conftest_llm import invented
@@ -228,18 +229,51 @@ def test_rare_insults_are_learned_beside_many_frequent_words(spark):
 def test_more_clauses_count_more():
     scorer = toxicity.Scorer(["dolt"])
     few, many = (scorer.counts("you dolt. " * n) for n in (3, 300))
-    assert many[0] > few[0] > 0 and many[1] > few[1] and scorer.counts(None) == [0] * len(toxicity.KINDS)
+    assert many[0] > few[0] > 0 and scorer.counts(None) == [0] * len(toxicity.FEATURES)
+
+
+def machine_kinds(text, lexicon):
+    return dict(+toxicity.clauses(text.lower(), lexicon, toxicity.compose(toxicity.Scope(), toxicity.Target())))
 
 
 def test_clauses():
     lexicon = toxicity.Lexicon(["dolt", "twerp*"])
-    kinds = lambda text: dict(+toxicity.clauses(text.lower(), lexicon))
-    assert kinds("You are a dolt. The sun shines") == {"any": 1, "targeted": 1}
-    assert kinds("He is not a twerpish man") == {"any": 1, "targeted": 1, "negated": 1}
-    assert kinds("a dolt, she said") == {"any": 1}  # the clause ends at the comma
-    assert kinds("she said a dolt came") == {"any": 1, "targeted": 1, "reported": 1}
-    assert kinds("I will kill you") == {"any": 1, "targeted": 1, "threat": 1} or kinds("I will kill you")["threat"] == 1
-    assert kinds("kill the lights") == {} and kinds("doltish twerp") == {}
+    kinds = lambda text: machine_kinds(text, lexicon)
+    assert kinds("dolt") == {} and kinds("dolt, dolt!") == {} and kinds("kill the lights") == {} and kinds("doltish twerp") == {}
+    assert kinds("You are a dolt. The sun shines") == {"targeted_plain": 1}
+    assert kinds("You are not a dolt") == {"targeted_negated": 1} and kinds("a dolt is not you") == {"targeted_plain": 1}
+    assert kinds("He said you are a dolt") == {"targeted_reported": 1} and kinds("a dolt he said") == {"targeted_plain": 1}
+    assert kinds("he is not tall but a twerpish man") == {"bare_plain": 1}
+    assert kinds("not here, what a dolt") == {"bare_plain": 1} and kinds("what a dolt came here today to see you") == {"bare_plain": 1}
+    assert kinds("I will kill you") == {"threat_plain": 1} and kinds("I will never kill you") == {"threat_negated": 1}
+    assert kinds("you dolt dolt! idiots and dolt") == {"targeted_plain": 2, "bare_plain": 1}
+
+
+def plain_kinds(text, lexicon):
+    """Sentence by sentence, by looking around every insult and threat."""
+    found = Counter()
+    for sentence in re.split(r"[.!?\n]", text.lower()):
+        tokens = [lexicon(w) for w in toxicity.WORD.findall(sentence)]
+        heads = [i for i, c in enumerate(tokens) if c in ("insult", "threat")]
+        for i in heads:
+            negations = [j for j in range(i) if tokens[j] == "negation"]
+            held = negations and not {"conjunction", "pause"} & set(tokens[negations[-1] : i])
+            way = "reported" if "report" in tokens[:i] else "negated" if held else "plain"
+            end = min([h for h in heads if h > i] + [i + toxicity.REACH + 1, len(tokens)])
+            if "target" in tokens[max(0, i - toxicity.REACH) : i] or "target" in tokens[i:end]:
+                found[("targeted_" if tokens[i] == "insult" else "threat_") + way] += 1
+            elif tokens[i] == "insult" and set(tokens[:end]) - {"insult", "threat", "pause"}:
+                found["bare_" + way] += 1
+    return dict(found)
+
+
+def test_the_composed_machine_equals_a_plain_matcher():
+    rng, lexicon = random.Random(8), toxicity.Lexicon(["dolt", "twerp*"])
+    words = "dolt twerpish kill you they not said but sun shines . , dolt you the".split()
+    assert len(toxicity.compose(toxicity.Scope(), toxicity.Target())) < 2000
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 25)))
+        assert machine_kinds(text, lexicon) == plain_kinds(text, lexicon), text
 
 
 def test_digest_of_conversations(spark):
