@@ -52,6 +52,7 @@ MARKS = {",": "pause", ";": "pause", ":": "pause", ".": "stop", "!": "stop", "?"
 WAYS = ("plain", "negated", "reported")
 KINDS = tuple(f"{match}_{way}" for match in ("targeted", "bare", "threat") for way in WAYS)
 FEATURES = ("matched", *KINDS)  # a kind that no labelled text has still counts as matched
+DEVIATION = 0.1  # a kind's weight departs from the common one only as far as many labelled texts ask for it
 REACH = 4  # words from an insult or a threat to its target, at most
 PORTION = 1 << 21
 
@@ -298,10 +299,12 @@ def fit_weights(rows: DataFrame, insults: list[str], fit: Fit) -> tuple[list[flo
     from pyspark.ml.feature import VectorAssembler
 
     counted = stored(count_clauses(rows, ["toxic"], insults, fit))
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(counted)
+    scales = [DEVIATION if k in KINDS else 1.0 for k in FEATURES]
+    scaled = counted.select("toxic", *[(F.col(k) * c).alias(k) for k, c in zip(FEATURES, scales)])
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(scaled)
     ready = ready.withColumn("label", (F.col("toxic") > 0).cast("double"))
-    model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-4, maxIter=50).fit(ready)
-    return [float(w) for w in model.coefficients], float(model.intercept)
+    model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-5, maxIter=50, standardization=False).fit(ready)
+    return [float(w) * c for w, c in zip(model.coefficients, scales)], float(model.intercept)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
