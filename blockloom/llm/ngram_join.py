@@ -8,13 +8,17 @@ Rows with the same set are one node from the start. The steps, each a Spark job
 2. Order: (n-gram, node) postings, without the frequent ones, are packed and shuffled by n-gram;
    document frequencies come back for n-grams of two or more nodes. All n-grams are ordered by
    (frequency, n-gram), rare ones first.
-3. Candidates: a node whose shared n-grams are too few for any similar set is done. Of the others,
-   those that have an n-gram of their prefixes in common are connected: similar sets always are.
-4. Trees: a connected group is walked as a prefix tree in one task, if it is small. A large group is
-   first compared with a few of its own sets that have most in common with others, in one pass each;
-   then it is cut into blocks by size and hash, and pairs of blocks that may hold links not yet
-   connected are walked, each pair in a task.
-5. Links of all trees, which suffice to connect whatever is similar, give components.
+3. Postings: an element is posted for a node if it is among its first ones, so many that similar sets
+   always have a posted element in common: the first of all that they share.
+4. Hub trees: every posting has a hub, the set with the largest share of its elements in common with
+   others. All sets that a hub was met by are walked with it as prefix trees, in slices.
+5. Open postings: where a posting's other sets are not all connected yet and of sizes that can be
+   similar, they are walked as a tree, from the posted element on, so that a pair is counted in full at
+   its first common element and nowhere else. Postings of the same sets are one tree; long ones are cut
+   into blocks by size and hash, and pairs of blocks that may hold open links are walked.
+6. Links of all trees, which suffice to connect whatever is similar, give components.
+
+A set thus travels at most twice for each of its posted elements, however many unlike sets are about.
 
 A document without words has an empty set and is linked with nothing; nor is a row without doc_id, which
 has a null component. A text of fewer words than an n-gram has is one n-gram. Rows with one doc_id are
@@ -44,7 +48,6 @@ PORTION = 1 << 22  # characters that are hashed at a time
 FREQUENT_SHARE, FREQUENT_LEAST = 1 / 500, 32  # of a task's rows; rows
 RARE_MOST = (1 << 14) - 1  # frequencies from here on are one
 TREE_SETS, TREE_ELEMENTS = 1000, 1_000_000  # of one tree
-HUBS = 3  # passes over large groups
 
 
 @dataclass(frozen=True)
@@ -217,77 +220,95 @@ def _similar(overlap: Column, a: Column, b: Column, percent: int) -> Column:
     return overlap * (100 + percent) >= (a + b) * percent
 
 
-def connected_candidates(near: DataFrame, percent: int) -> DataFrame:
-    """(node, root): sets that have an element of their prefixes in common, directly or over others."""
-    length = F.size("elements") - _need(F.col("n"), percent) + 1
-    prefix = near.select("node", F.explode(F.slice("elements", F.lit(1), length.cast("int"))).alias("element"))
-    first = prefix.groupBy("element").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    first = first.where("first < last").select("element", "first")
-    pairs = prefix.join(first, "element").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    found = components(pairs)
-    roots = found.select(F.col("root").alias("node"), "root").distinct()
-    return found.select(F.col("v").alias("node"), "root").unionAll(roots)
+def postings(near: DataFrame, percent: int) -> DataFrame:
+    """(element, node, n, m, at, sets, hub, hub_n): elements of prefixes that several sets have in theirs.
 
-
-def compare_with_hubs(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Large groups with `known`, the hub a set is connected to (0 if none), and the links found.
-
-    A hub is the set of a group, not connected yet, that has the largest share of its elements in
-    common with others; every set of the group is compared with it.
+    m counts a set's shared elements, at is the place of this one among them, sets the posting's nodes.
     """
-    state, found = stored(large.withColumn("known", F.lit(0).cast("bigint"))), None
-    for _ in range(HUBS):
-        rank = F.struct(F.size("elements") / F.col("n"), "n", "node")
-        hubs = state.where("known = 0").groupBy("root").agg(F.max_by(F.struct("node", "n", "elements"), rank).alias("hub"))
-        both = state.join(hubs, "root", "left")
-        overlap = F.size(F.array_intersect("elements", "hub.elements"))
-        linked = F.coalesce(_similar(overlap, F.col("n"), F.col("hub.n"), percent), F.lit(False))
-        both = both.withColumn("linked", linked)
-        both = stored(both.select("root", "node", "n", "elements", "known", "linked", F.col("hub.node").alias("hub")))
-        links_here = both.where("linked and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        found = links_here if found is None else found.unionAll(links_here)
-        known = F.when((F.col("known") == 0) & F.col("linked"), F.col("hub")).otherwise(F.col("known"))
-        state = both.select("root", "node", "n", "elements", known.alias("known"))
-    return state, found
-
-
-def block_pairs(state: DataFrame, percent: int) -> DataFrame:
-    """Rows of (tree, node, n, elements, known): every two sets that may be an open link meet in a tree."""
+    m = F.size("elements")
+    prefix = F.slice("elements", F.lit(1), (m - _need(F.col("n"), percent) + 1).cast("int"))
+    rows = stored(near.select("node", "n", m.alias("m"), F.posexplode(prefix).alias("at", "element")))
+    rank = F.struct((F.col("m") / F.col("n")).alias("share"), "node", "n")
+    lists = rows.groupBy("element").agg(F.max(rank).alias("hub"), F.count("*").alias("sets")).where("sets > 1")
+    lists = lists.select("element", "sets", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    return stored(rows.join(lists, "element"))
+
+
+def _cut(sets: str, total: str, times: int = 1) -> Column:
+    """In how many parts so many sets and elements go, of at most a tree's (by `times`)."""
+    return F.ceil(F.greatest(F.col(sets) * times / TREE_SETS, F.col(total) * times / TREE_ELEMENTS)).cast("bigint")
+
+
+def hub_trees(met: DataFrame, percent: int) -> DataFrame:
+    """(tree, node, at, known): every set with the hubs of its postings that are of a similar size."""
+    alike = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    pairs = stored(met.where(alike & (F.col("node") != F.col("hub"))).groupBy("hub", "node").agg(F.max("m").alias("m")))
+    sizes = pairs.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("m").alias("total"))
+    cuts = sizes.select("hub", _cut("sets", "total").alias("cut"))
+    part = F.pmod(F.xxhash64("node"), F.col("cut"))
+    members = pairs.join(cuts, "hub").select(F.concat_ws(":", "hub", part).alias("tree"), "node")
+    parts = cuts.select("hub", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("part"))
+    hubs = parts.select(F.concat_ws(":", "hub", "part").alias("tree"), F.col("hub").alias("node"))
+    return members.unionAll(hubs).select("tree", "node", F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("known"))
+
+
+def open_trees(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(tree, node, at, known): sets of a posting, its hub left out, that roots (v, root) do not connect yet."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("bigint")
-    rows = state.withColumn("band", band)
-    units = rows.groupBy("root", "band", "known").agg(
-        F.count("*").alias("sets"), F.sum(F.size("elements")).cast("bigint").alias("total")
+    rows = met.where("sets > 2 and node <> hub").join(roots.withColumnRenamed("v", "node"), "node", "left")
+    rows = stored(rows.select("element", "node", "m", "at", band.alias("band"), F.coalesce("root", "node").alias("root")))
+    spans = rows.groupBy("element", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    beside = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    spans = spans.select("element", "low", "high", beside).groupBy("element", "band")
+    is_open = spans.agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    rows = stored(rows.join(is_open.select("element", "band"), ["element", "band"], "left_semi"))
+    # Postings of the same sets, told apart by 128 bits, are one tree, from the first of their elements on.
+    key = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"key{k}") for k in (0, 1)]
+    lists = rows.groupBy("element").agg(*key, F.count("*").alias("sets"), F.sum("m").alias("total"))
+    lists = lists.select("element", F.concat_ws(":", "key0", "key1", "sets").alias("tree"), "sets", "total")
+    once = rows.join(lists, "element").groupBy("tree", "node").agg(
+        F.min("at").alias("at"), *[F.max(c).alias(c) for c in ("m", "band", "root", "sets", "total")]
     )
-    cut = F.ceil(F.greatest(F.col("sets") * 2 / TREE_SETS, F.col("total") * 2 / TREE_ELEMENTS)).cast("bigint")
-    units = units.select("root", "band", "known", cut.alias("cut"))
-    right = units.select("root", F.col("band").alias("band2"), F.col("known").alias("known2"), F.col("cut").alias("cut2"))
-    pairs = units.join(right, "root").where(
-        "abs(band - band2) <= 1 and not (known = known2 and known <> 0) and struct(band, known) <= struct(band2, known2)"
+    once = stored(once)
+    is_large = (F.col("sets") > TREE_SETS) | (F.col("total") > TREE_ELEMENTS)
+    small = once.where(~is_large).select("tree", "node", "at", F.col("root").alias("known"))
+    return small.unionAll(block_pairs(once.where(is_large)))
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """(tree, node, at, known): every two sets of a large tree that may be an open link meet in a small one.
+
+    A unit is a tree's sets of a band of sizes that are in its largest component, or that are not.
+    """
+    counts = rows.groupBy("tree", "root").agg(F.count("*").alias("sets"))
+    main = counts.groupBy("tree").agg(F.max_by("root", F.struct("sets", "root")).alias("main"))
+    rows = stored(
+        rows.join(main, "tree").select("tree", "node", "at", "m", "band", "root", (F.col("root") == F.col("main")).alias("main"))
     )
-    name = F.concat_ws(":", "root", "band", "known", "band2", "known2")
-    pairs = pairs.withColumn("pair", name).withColumn("alike", F.expr("band = band2 and known = known2"))
-    as_first = rows.join(pairs, ["root", "band", "known"])
-    own = F.pmod(F.xxhash64("node"), F.col("cut"))
-    as_first = as_first.select(
-        "pair", "alike", "node", "n", "elements", "known", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cut2") - 1)).alias("other")
+    units = rows.groupBy("tree", "band", "main").agg(F.count("*").alias("sets"), F.sum("m").alias("total"))
+    units = units.select("tree", "band", "main", _cut("sets", "total", 2).alias("cut"))
+    right = units.select("tree", *[F.col(c).alias(f"{c}2") for c in ("band", "main", "cut")])
+    pairs = units.join(right, "tree").where(
+        "abs(band - band2) <= 1 and not (main and main2) and struct(band, main) <= struct(band2, main2)"
     )
+    pairs = pairs.withColumn("pair", F.concat_ws(":", *[F.col(c).cast("string") for c in ("tree", "band", "main", "band2", "main2")]))
+    pairs = pairs.withColumn("alike", F.expr("band = band2 and main = main2"))
+
+    def met(side: DataFrame, cut: str, others: str) -> DataFrame:
+        own, other = F.pmod(F.xxhash64("node"), F.col(cut)), F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        return side.select("pair", "alike", "node", "at", F.col("root").alias("known"), own.alias("own"), other.alias("other"))
+
+    first = met(rows.join(pairs, ["tree", "band", "main"]), "cut", "cut2")
+    second = rows.withColumnsRenamed({"band": "band2", "main": "main2"}).join(pairs.where("not alike"), ["tree", "band2", "main2"])
+    second = met(second, "cut2", "cut")
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    first_key = F.when(F.col("alike"), F.concat_ws(":", "pair", low, high)).otherwise(F.concat_ws(":", "pair", "own", "other"))
-    keep = ["node", "n", "elements", "known"]
-    second = rows.withColumnsRenamed({"band": "band2", "known": "known2"}).join(
-        pairs.where("not alike"), ["root", "band2", "known2"]
-    )
-    own2 = F.pmod(F.xxhash64("node"), F.col("cut2"))
-    second = second.select(
-        "pair", "node", "n", "elements", F.col("known2").alias("known"), own2.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other")
-    )
-    return as_first.select(first_key.alias("tree"), *keep).unionAll(
-        second.select(F.concat_ws(":", "pair", "other", "own").alias("tree"), *keep)
-    )
+    name = F.when(F.col("alike"), F.concat_ws(":", "pair", low, high)).otherwise(F.concat_ws(":", "pair", "own", "other"))
+    keep = ["node", "at", "known"]
+    return first.select(name.alias("tree"), *keep).unionAll(second.select(F.concat_ws(":", "pair", "other", "own").alias("tree"), *keep))
 
 
-def tree_links(trees: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links within trees (tree, node, n, elements, known)."""
+def tree_links(trees: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links within trees (tree, node, at, known) of sets (node, n, elements), from their element `at` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def walked(rows: list) -> pa.RecordBatch:
@@ -312,6 +333,8 @@ def tree_links(trees: DataFrame, percent: int) -> DataFrame:
         if held:
             yield walked(held)
 
+    rest = F.slice("elements", F.col("at") + 1, F.size("elements"))
+    trees = trees.join(near, "node").select("tree", "node", "n", rest.alias("elements"), "known")
     dealt = trees.repartition("tree").sortWithinPartitions("tree")
     return dealt.select("tree", "node", "n", "elements", "known").mapInArrow(run, "a bigint, b bigint")
 
@@ -333,19 +356,12 @@ def join_similar(docs: DataFrame, rule: Similar = Similar()) -> DataFrame:
     near = sequences(shared).join(size, "node").where(F.size("elements") >= _need(F.col("n"), rule.percent))
     near = stored(near.select("node", "n", "elements"))
 
-    members = stored(near.join(connected_candidates(near, rule.percent), "node"))
-    groups = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum(F.size("elements")).alias("total"))
-    is_large = (F.col("sets") > TREE_SETS) | (F.col("total") > TREE_ELEMENTS)
-    large_groups = groups.where(is_large & (F.col("sets") > 1)).select("root")
-    keep = ["node", "n", "elements"]
-    small = members.join(large_groups, "root", "left_anti")
-    trees = small.select(F.col("root").cast("string").alias("tree"), *keep, F.lit(0).cast("bigint").alias("known"))
-    state, hub_links = compare_with_hubs(members.join(large_groups, "root", "left_semi"), rule.percent)
-    trees = trees.unionAll(block_pairs(state, rule.percent).select("tree", *keep, "known"))
-
     several = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     same_doc = full.join(several, "doc_id").select("a", F.col("node").alias("b"))
-    roots = components(tree_links(trees, rule.percent).unionAll(hub_links).unionAll(same_doc))
+    met = postings(near, rule.percent)
+    found = stored(tree_links(hub_trees(met, rule.percent), near, rule.percent).unionAll(same_doc))
+    rest = open_trees(met, components(found), rule.percent)
+    roots = components(found.unionAll(tree_links(rest, near, rule.percent)))
 
     own = sets.join(roots.withColumnRenamed("v", "node"), "node", "left")
     own = own.select("doc_id", "n", F.coalesce("root", "node").alias("root"), (F.expr("n > 0 and doc_id is not null")).alias("full"))
