@@ -11,14 +11,16 @@ Rows with the same set are one node from the start. The steps, each a Spark job
 3. Postings: an element is posted for a node if it is among its first ones, so many that similar sets
    always have a posted element in common: the first of all that they share.
 4. Hub trees: every posting has a hub, the set with the largest share of its elements in common with
-   others. All sets that a hub was met by are walked with it as prefix trees, in slices.
-5. Open postings: where a posting's other sets are not all connected yet and of sizes that can be
-   similar, they are walked as a tree, from the posted element on, so that a pair is counted in full at
+   others. A set is walked once, as a prefix tree with the hub that most of its postings have and the
+   hub's other sets, in slices.
+5. Open postings: where a posting's sets are not all connected yet and of sizes that can be similar,
+   they are walked as a tree, from the posted element on, so that a pair is counted in full at
    its first common element and nowhere else. Postings of the same sets are one tree; long ones are cut
    into blocks by size and hash, and pairs of blocks that may hold open links are walked.
 6. Links of all trees, which suffice to connect whatever is similar, give components.
 
-A set thus travels at most twice for each of its posted elements, however many unlike sets are about.
+A set thus travels once for its hub, and once for each posted element that is open, however many unlike
+sets are about (but for postings longer than a tree).
 
 A document without words has an empty set and is linked with nothing; nor is a row without doc_id, which
 has a null component. A text of fewer words than an n-gram has is one n-gram. Rows with one doc_id are
@@ -221,16 +223,16 @@ def _similar(overlap: Column, a: Column, b: Column, percent: int) -> Column:
 
 
 def postings(near: DataFrame, percent: int) -> DataFrame:
-    """(element, node, n, m, at, sets, hub, hub_n): elements of prefixes that several sets have in theirs.
+    """(element, node, n, m, at, hub, hub_n): elements of prefixes that several sets have in theirs.
 
-    m counts a set's shared elements, at is the place of this one among them, sets the posting's nodes.
+    m counts a set's shared elements, at is the place of this one among them.
     """
     m = F.size("elements")
     prefix = F.slice("elements", F.lit(1), (m - _need(F.col("n"), percent) + 1).cast("int"))
     rows = stored(near.select("node", "n", m.alias("m"), F.posexplode(prefix).alias("at", "element")))
     rank = F.struct((F.col("m") / F.col("n")).alias("share"), "node", "n")
     lists = rows.groupBy("element").agg(F.max(rank).alias("hub"), F.count("*").alias("sets")).where("sets > 1")
-    lists = lists.select("element", "sets", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    lists = lists.select("element", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     return stored(rows.join(lists, "element"))
 
 
@@ -240,9 +242,10 @@ def _cut(sets: str, total: str, times: int = 1) -> Column:
 
 
 def hub_trees(met: DataFrame, percent: int) -> DataFrame:
-    """(tree, node, at, known): every set with the hubs of its postings that are of a similar size."""
+    """(tree, node, at, known): every set with the hub, of a similar size, that most of its postings have."""
     alike = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    pairs = stored(met.where(alike & (F.col("node") != F.col("hub"))).groupBy("hub", "node").agg(F.max("m").alias("m")))
+    pairs = met.where(alike & (F.col("node") != F.col("hub"))).groupBy("node", "hub").agg(F.count("*").alias("k"), F.max("m").alias("m"))
+    pairs = stored(pairs.groupBy("node").agg(F.max(F.struct("k", "hub", "m")).alias("p")).select("node", "p.hub", "p.m"))
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("m").alias("total"))
     cuts = sizes.select("hub", _cut("sets", "total").alias("cut"))
     part = F.pmod(F.xxhash64("node"), F.col("cut"))
@@ -253,11 +256,14 @@ def hub_trees(met: DataFrame, percent: int) -> DataFrame:
 
 
 def open_trees(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(tree, node, at, known): sets of a posting, its hub left out, that roots (v, root) do not connect yet."""
+    """(tree, node, at, known): sets of a posting that roots (v, root) do not connect yet."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("bigint")
-    rows = met.where("sets > 2 and node <> hub").join(roots.withColumnRenamed("v", "node"), "node", "left")
+    rows = met.join(roots.withColumnRenamed("v", "node"), "node", "left")
     rows = stored(rows.select("element", "node", "m", "at", band.alias("band"), F.coalesce("root", "node").alias("root")))
-    spans = rows.groupBy("element", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    ends = [F.min("root").alias("low"), F.max("root").alias("high")]
+    several = rows.groupBy("element").agg(*ends).where("low < high").select("element")
+    rows = stored(rows.join(several, "element", "left_semi"))
+    spans = rows.groupBy("element", "band").agg(*ends)
     beside = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
     spans = spans.select("element", "low", "high", beside).groupBy("element", "band")
     is_open = spans.agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
