@@ -259,18 +259,23 @@ def open_trees(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(tree, node, at, known): sets of a posting that roots (v, root) do not connect yet."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("bigint")
     rows = met.join(roots.withColumnRenamed("v", "node"), "node", "left")
-    rows = stored(rows.select("element", "node", "m", "at", band.alias("band"), F.coalesce("root", "node").alias("root")))
+    rows = stored(rows.select("element", "node", "n", "m", "at", band.alias("band"), F.coalesce("root", "node").alias("root")))
     ends = [F.min("root").alias("low"), F.max("root").alias("high")]
     several = rows.groupBy("element").agg(*ends).where("low < high").select("element")
     rows = stored(rows.join(several, "element", "left_semi"))
-    spans = rows.groupBy("element", "band").agg(*ends)
+    bounds = [F.min("n").alias("least"), F.max(F.col("m") - F.col("at")).alias("most")]
+    spans = rows.groupBy("element", "band").agg(*ends, *bounds)
     beside = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
-    spans = spans.select("element", "low", "high", beside).groupBy("element", "band")
-    is_open = spans.agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    rows = stored(rows.join(is_open.select("element", "band"), ["element", "band"], "left_semi"))
+    spans = spans.select("element", "low", "high", "least", "most", beside).groupBy("element", "band")
+    spans = spans.agg(*[F.min(c).alias(c) for c in ("low", "least")], *[F.max(c).alias(c) for c in ("high", "most")])
+    # What a set and its partner have in common from here on is no more than either has left.
+    partner = F.greatest("least", F.col("n") * percent / 100)
+    enough = F.least(F.col("m") - F.col("at"), "most") * (100 + percent) >= (F.col("n") + partner) * percent - 0.001
+    rows = rows.join(spans.where("low < high"), ["element", "band"]).where(enough)
+    rows = stored(rows.select("element", "node", "m", "at", "band", "root"))
     # Postings of the same sets, told apart by 128 bits, are one tree, from the first of their elements on.
     key = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"key{k}") for k in (0, 1)]
-    lists = rows.groupBy("element").agg(*key, F.count("*").alias("sets"), F.sum("m").alias("total"))
+    lists = rows.groupBy("element").agg(*key, *ends, F.count("*").alias("sets"), F.sum("m").alias("total")).where("low < high")
     lists = lists.select("element", F.concat_ws(":", "key0", "key1", "sets").alias("tree"), "sets", "total")
     once = rows.join(lists, "element").groupBy("tree", "node").agg(
         F.min("at").alias("at"), *[F.max(c).alias(c) for c in ("m", "band", "root", "sets", "total")]
