@@ -296,9 +296,9 @@ class List:
         return docs[a:b], impacts[a:b]
 
     def bounds(self, docs: np.ndarray) -> np.ndarray:
-        """What a document's impact is at most, by the block where it would stand."""
+        """What a document's impact is at most, by the block where it would stand; in 64 bits, as weights multiply it."""
         at = np.searchsorted(self.last, docs)
-        return np.where(at < len(self.tops), self.tops[np.minimum(at, len(self.tops) - 1)], 0)
+        return np.where(at < len(self.tops), self.tops[np.minimum(at, len(self.tops) - 1)], 0).astype(np.int64)
 
     def impacts(self, docs: np.ndarray) -> np.ndarray:
         """Impacts of ascending documents, 0 where the term does not stand; only their blocks are unpacked."""

@@ -114,3 +114,28 @@ def test_blocks_are_not_unpacked_in_vain(spark):
     scores, docs = search.best_of_shard(held, np.arange(2000), 2)
     assert (docs % 400 == 0).all() and len(lists[b"weak"].kept) < len(lists[b"weak"].last) / 2
     assert len(scores) == 2
+
+
+def test_bounds_of_rare_terms_in_short_documents():
+    """A weight times a block's greatest impact passes 32 bits; no candidate may be lost by it."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    docs = [(i, " ".join(words[int(500 * rng.random() ** 2)] for _ in range(rng.choice((1, 2, 3, 10, 50))))) for i in range(6000)]
+    corpus = search.Corpus(len(docs), sum(len(t.split()) for _, t in docs))
+    writer = search.ShardWriter(corpus)
+    for doc_id, text in docs:
+        writer.add(doc_id, text)
+    own, rows = writer.close(0)
+    doc_ids, sizes = (np.frombuffer(own.column(c)[0].as_py(), np.int64) for c in (1, 2))
+    lists = search._lists_of(pa.Table.from_batches([rows]), sizes, corpus)
+    weights = {t: corpus.weight(int((x.impacts(doc_ids) > 0).sum())) for t, x in lists.items()}
+    assert any(w * int(lists[t].tops.max()) >= 2**31 for t, w in weights.items())
+    items = [(i, " ".join(rng.choices(words, k=rng.choice((3, 8, 20))))) for i in range(20)]
+    for item in items:
+        asked = [t for t in {w.encode() for w in item[1].split()} if t in lists and weights[t]]
+        held = [(weights[t] * int(lists[t].tops.max()), weights[t], lists[t]) for t in asked]
+        scores, found = search.best_of_shard(held, doc_ids, 10)
+        ranked = [(item[0], r, d, s) for r, (s, d) in enumerate(zip(scores.tolist(), found.tolist()), 1)]
+        assert sorted(ranked, key=str) == brute(docs, [item])
