@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
 from blockloom.plans.extraction import extract
+from blockloom.session import spread
 
 
 def extract_stream(
@@ -19,7 +20,7 @@ def extract_stream(
     """
 
     def each(rows: DataFrame, batch: int) -> None:
-        extract(rows, model, key).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+        extract(spread(rows), model, key).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
     return (
         pages.writeStream.foreachBatch(each)

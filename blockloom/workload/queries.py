@@ -528,11 +528,10 @@ def predict_blocks(spark, sf):
 # -- streaming ----------------------------------------------------------------
 
 def _stream(spark, sf, name):
+    """A table as it arrives, a file per core at a time. The braces make a glob of its name, which may be a file or a folder's."""
     schema = table(spark, sf, name).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", 1).parquet(sf)
-    )
+    files = spark.sparkContext.defaultParallelism
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf}/{{{name}.parquet}}")
 
 
 @query

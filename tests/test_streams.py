@@ -318,3 +318,20 @@ def test_extract_stream_equals_batch(spark, tmp_path, model, recipes):
     got = sorted(map(repr, spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()))
     assert got == sorted(map(repr, extract(pages, model, "file").select(*columns).collect()))
     assert len(got) == 21
+
+
+@pytest.mark.parametrize("files", [None, 3])
+def test_rule_extract_stream_of_a_file_or_a_folder(spark, tmp_path, files):
+    """The table of pages is one Parquet file, or a folder of them beside those of other tables."""
+    from blockloom.workload.queries import QUERIES
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    expected = sorted(map(tuple, QUERIES["extract_records"](spark, "/root/testdata/sf0.001").collect()))
+    if files is None:
+        found = QUERIES["rule_extract_stream"](spark, "/root/testdata/sf0.001")
+    else:
+        for name in ("pages", "documents"):
+            spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(files).write.parquet(f"{tmp_path}/{name}.parquet")
+        found = QUERIES["rule_extract_stream"](spark, str(tmp_path))
+    rows = sorted(map(tuple, found.collect()))
+    assert len(rows) == pages.count() and [r[0] for r in rows] == [r[0] for r in expected]
