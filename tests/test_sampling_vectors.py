@@ -170,3 +170,22 @@ def test_balanced_rows_can_be_shuffled(spark):
     mixed = sampling.balance_classes(df, ["id"], shuffled=True).collect()
     assert sorted(map(tuple, mixed)) == sorted(map(tuple, plain.collect()))
     assert mixed != sorted(mixed) and mixed == sampling.balance_classes(df, ["id"], shuffled=True).collect()
+
+
+def test_pairs_are_not_shuffled_before_they_are_counted(spark, monkeypatch):
+    """Words that pairs are looked up in go to all tasks whatever Spark guesses of their size; too many do not. Same terms."""
+    from blockloom.operators import vectors
+
+    texts = [(f"red lamp {i % 5} red lamp by word{i % 40} then word{i % 7} red",) for i in range(200)]
+    df = spark.createDataFrame(texts, "text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = vectors.tfidf_vocab(df, max_terms=12)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+        monkeypatch.setattr(vectors, "BROADCAST_WORDS", 0, raising=False)
+        plain = vectors.tfidf_vocab(df, max_terms=12)
+        assert "SortMergeJoin" in plain._jdf.queryExecution().sparkPlan().toString()
+        assert found.collect() == plain.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
