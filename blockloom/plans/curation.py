@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.operators.crawl import crawl_outcome, registered_domain
+from blockloom.functions.text import strip
+from blockloom.operators.crawl import MISSING_HREF, crawl_outcome, registered_domain
 from blockloom.operators.flatten import page_text
 from blockloom.operators.pairing import pending
 from blockloom.operators.quality import clean_corpus, cleanup_report
@@ -25,17 +26,23 @@ def validate(
     url, domain, status, reason. Files that are no JSON fail.
 
     Domains are looked up on the labels, before any body is joined. Labels of browser_domains
-    (domain) need a body that was fetched by browser.
+    (domain) need a body that was fetched by browser. A label without href fails whatever body it may have,
+    so none is looked up: its page columns are null.
     """
     todo = labels if state is None else pending(labels, state, retry_failed=retry_failed)
     good = good_records(todo) if CORRUPT in todo.columns else todo
-    named = registered_domain(good, suffixes, "href")
+    has_href = strip(F.coalesce("href", F.lit(""))) != ""
+    failed = good.where(~has_href).withColumns({
+        "url": F.lit(None).cast("string"), "domain": F.lit(""), "status": F.lit("failed"), "reason": F.lit(MISSING_HREF),
+    })
+    named = registered_domain(good.where(has_href), suffixes, "href")
     if browser_domains is not None:
         listed = browser_domains.select("domain").distinct().withColumn("__browser", F.lit(True))
         named = named.join(listed, "domain", "left")
         outcome = crawl_outcome(fetched, named, browser_first="__browser").drop("__browser")
     else:
         outcome = crawl_outcome(fetched, named)
+    outcome = outcome.unionByName(failed, allowMissingColumns=True)
     if CORRUPT not in todo.columns:
         return outcome
     bad = bad_records(todo).withColumn("status", F.lit("failed"))

@@ -17,13 +17,27 @@ from blockloom.sources.state import (
 )
 
 OPEN = ("pending", "needs_browser")
+NARROW = ("file", "status", "url", "reason", "domain")
+BROADCAST_FILES = 100_000  # names that go to all tasks
 
 
 def _one_per_file(labels: DataFrame) -> DataFrame:
-    """The greatest record of every file, in the order of its JSON text: the same one in every run."""
+    """The greatest record of every file, in the order of its JSON text: the same one in every run. A stored table.
+
+    Files with several records are found by name first: only their records are grouped.
+    """
+    rows = stored(labels)
+    several = stored(rows.groupBy("file").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("file").alias("__file")))
+    files = several.count()
+    if not files:
+        return rows
+    if files <= BROADCAST_FILES:
+        several = F.broadcast(several)
+    same = F.col("file").eqNullSafe(F.col("__file"))
     text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in labels.columns]))
-    record = F.struct(text.alias("t"), F.struct(*[F.col(f"`{c}`") for c in labels.columns]).alias("r"))
-    return labels.groupBy("file").agg(F.max_by(record, F.struct(text)).alias("m")).select("m.r.*")
+    record = F.struct(*[F.col(f"`{c}`") for c in labels.columns])
+    best = rows.join(several, same, "left_semi").groupBy("file").agg(F.max_by(record, text).alias("m")).select("m.*")
+    return stored(rows.join(several, same, "left_anti").unionByName(best))
 
 
 def ingest_batch(
@@ -46,24 +60,25 @@ def ingest_batch(
     marker = last_marker(spark, state_path, batch)
     kept = read_if_there(spark, f"{state_path.rstrip('/')}-open", f"{schema}, batch bigint")
     waiting = kept.where(F.col("batch") == (-1 if marker is None else marker["batch"])).drop("batch")
-    todo = stored(_one_per_file(labels.unionByName(waiting)))
+    todo = _one_per_file(labels.unionByName(waiting))
     buckets = buckets_of(todo)
     files = todo.select("file")
     state = stored(load_state(spark, state_path, batch, buckets).join(files, "file", "left_semi"))
     domains = browser_domains(spark, state_path, before=batch)
-    outcome = stored(
-        validate(todo, bodies_of(fetched, files, buckets), suffixes, state, retry_failed, domains)
-    )
+    found = validate(todo, bodies_of(fetched, files, buckets), suffixes, state, retry_failed, domains)
+    # Of what is not valid, nobody reads texts and bodies.
+    valid = F.col("status") == "valid"
+    outcome = stored(found.select(*[c if c in NARROW else F.when(valid, F.col(f"`{c}`")).alias(c) for c in found.columns]))
     still_open = todo.join(outcome.where(F.col("status").isin(*OPEN)).select("file"), "file", "left_semi")
     still_open.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}-open/batch={batch}")
 
     valid = outcome.where("status = 'valid'")
     start = next_index(spark, state_path, before=batch)
-    named = stored(assign_ids(valid, start))
-    named.drop("status", "reason").write.mode("overwrite").parquet(
+    ids = stored(assign_ids(valid.select("file"), start))
+    valid.drop("status", "reason").join(ids, "file").write.mode("overwrite").parquet(
         f"{corpus_path.rstrip('/')}/batch={batch}"
     )
-    processed = named.withColumn("status", F.lit("processed")).withColumn(
+    processed = valid.select(*NARROW).join(ids, "file").withColumn("status", F.lit("processed")).withColumn(
         "reason", F.lit(None).cast("string")
     )
     others = outcome.where("status <> 'valid'").withColumn("out_index", F.lit(None).cast("bigint"))
@@ -73,7 +88,7 @@ def ingest_batch(
     before = state.select(*[F.col(c).alias(f"__{c}") for c in columns])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])
     append_state(entries.join(before, same, "left_anti"), state_path, batch)
-    top = named.agg(F.max("out_index")).first()[0]
+    top = ids.agg(F.max("out_index")).first()[0]
     close_batch(spark, state_path, batch, start if top is None else top + 1)
 
 

@@ -570,7 +570,7 @@ def ingest_stream(spark, sf):
     labels = stored(_ingest_labels(spark, sf, named))
     for batch in range(4):
         lines = _label_lines(labels.where(F.col("batch") == batch))
-        lines.write.mode("append").text(f"{root}/in")
+        lines.write.mode("append").option("compression", "gzip").text(f"{root}/in")
         stream = label_files.parse_packed_labels(spark.readStream.text(f"{root}/in"))
         ingest.ingest_stream(
             stream, fetched, inputs.suffix_rules(spark), f"{root}/state", f"{root}/corpus", f"{root}/checkpoint"
@@ -588,16 +588,15 @@ def _ingest_labels(spark, sf, named):
         F.when(kind == 0, F.element_at(F.array(F.lit(0), F.lit(1), F.lit(3)), (n % 3 + 1).cast("int")))
         .when(kind == BLANK, F.lit(2)).otherwise(n % 2)
     )
-    tries = _attempts(_pages(spark, sf).select("page_id", "url", F.col("file").alias("document")))
+    tries = _attempts(_pages(spark, sf).select("page_id", "url", F.col("file").alias("document"))).withColumn("paged", F.lit(True))
     records = _labels(spark, sf).withColumnRenamed("file", "document")
-    content = ["title", "ingredients", "directions"]
-    paged = records.join(tries, "document").withColumn("n", F.col("page"))
-    paged = paged.select(named.alias("file"), *content, href, "n", batch.cast("bigint").alias("batch"))
-    rest = records.join(tries.select("document"), "document", "left_anti").select(
-        F.concat(F.lit("recipe_d"), F.col("doc_id")).alias("file"), *content, F.lit(None).cast("string").alias("href"),
-        F.col("doc_id").alias("n"), (F.col("doc_id") % 4).alias("batch"),
+    rows = records.join(tries, "document", "left")  # one join for both, as the records are wide
+    of = lambda paged, other: F.when(F.col("paged"), paged).otherwise(other)
+    return rows.select(
+        of(named, F.concat(F.lit("recipe_d"), F.col("doc_id"))).alias("file"), "title", "ingredients", "directions",
+        of(href, F.lit(None)).alias("href"), of(F.col("page"), F.col("doc_id")).alias("n"),
+        of(batch.cast("bigint"), F.col("doc_id") % 4).alias("batch"),
     )
-    return paged.unionByName(rest)
 
 
 class _TagRules(Transformer, DefaultParamsReadable, DefaultParamsWritable):

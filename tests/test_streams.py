@@ -335,3 +335,31 @@ def test_rule_extract_stream_of_a_file_or_a_folder(spark, tmp_path, files):
         found = QUERIES["rule_extract_stream"](spark, str(tmp_path))
     rows = sorted(map(tuple, found.collect()))
     assert len(rows) == pages.count() and [r[0] for r in rows] == [r[0] for r in expected]
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_one_record_per_file_without_a_shuffle_of_records(spark, monkeypatch, most):
+    """Records are grouped only for files that have several; the greatest JSON text stays, nulls are a file, too."""
+    from blockloom.streaming import ingest
+
+    monkeypatch.setattr(ingest, "BROADCAST_FILES", most, raising=False)
+    alone = [(f"f{i}", f"title {i}") for i in range(50)]
+    rows = lambda data: spark.createDataFrame(data, "file string, title string")
+    unique = ingest._one_per_file(rows(alone))
+    assert "Exchange" not in unique._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, unique.collect())) == sorted(alone)
+    several = [("f3", "a"), ("f3", "z"), ("g", "2"), ("g", "1"), (None, "x"), (None, "y")]
+    found = {r.file: r.title for r in ingest._one_per_file(rows(alone + several)).collect()}
+    assert found == {**dict(alone), "f3": "z", "g": "2", None: "y"}
+
+
+def test_a_record_without_href_is_not_joined_with_bodies(spark, crawl):
+    from blockloom.plans.curation import validate
+
+    fetched, suffixes, labels = crawl
+    found = {r.file: r for r in validate(spark.createDataFrame(labels(0, 12), LABELS), fetched, suffixes).collect()}
+    assert len(found) == 12
+    for i in (0, 5, 10):
+        r = found[f"recipe_{i}"]
+        assert (r.status, r.reason, r.url, r.domain, r.html) == ("failed", "Missing href", None, "", None)
+    assert all(found[f"recipe_{i}"].html is not None for i in range(12) if i % 5)
