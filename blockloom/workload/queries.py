@@ -151,24 +151,30 @@ def page_files(spark, sf):
     """Pages written as a file each and read back by their names."""
     root = scratch_path(spark, "page-files")
     pages = texts(spark, sf, "pages", "page_id", "html")
-    pages.select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").option("lineSep", "\x00").text(root)
-    files = page_sources.read_pages(spark, f"{root}/*", "part-*", _folder("page_id"))
+    n = _write_files(pages.select(F.concat("page_id", F.lit(".html")).alias("name"), F.col("html").alias("value")), root)
+    files = _in_tasks(page_sources.read_pages(spark, f"{root}/*"), n)
     html = F.replace(F.col("html"), F.lit("\x00"), F.lit(""))
     return files.select(F.col("file").cast("bigint").alias("page_id"), F.md5(html).alias("md5"), F.char_length(html).alias("n_chars"))
 
 
-def _folder(column: str):
-    """The value in the name of the folder that a file stands in."""
-    return F.regexp_extract(F.col("_metadata.file_path"), f"{column}=([^/]*)/", 1)
+def _write_files(rows: DataFrame, root: str) -> int:
+    """Files that end in a zero, as Spark skips empty ones when it reads; returns their number."""
+    return corpus.write_files(rows.withColumn("value", F.concat(F.coalesce("value", F.lit("")), F.lit("\x00"))), root)
+
+
+def _in_tasks(files: DataFrame, n: int) -> DataFrame:
+    """Rows of n small files, some hundreds of them to a task: Spark would make a task of every 32."""
+    return files.coalesce(max(files.sparkSession.sparkContext.defaultParallelism, n // 500))
 
 
 @query
 def read_label_files(spark, sf):
-    """Label records written as a JSON file each, some broken, and read back by their names."""
+    """Label records written as a JSON file each, some broken, and read back by their names, once for good and bad ones."""
     root = scratch_path(spark, "label-files")
-    lines = _label_lines(_labels(spark, sf).withColumn("n", F.col("doc_id")), whole=True)
-    lines.write.partitionBy("stem").option("lineSep", "\x00").text(root)
-    rows = label_files.read_labels(spark, f"{root}/*", pattern="part-*", name=_folder("stem"))
+    labels = inputs.candidate_labels(texts(spark, sf, "documents", "doc_id", "text"))
+    lines = _label_lines(labels.withColumn("n", F.col("doc_id")), whole=True)
+    n = _write_files(lines.select(F.concat("stem", F.lit(".json")).alias("name"), "value"), root)
+    rows = stored(_in_tasks(label_files.read_labels(spark, f"{root}/*"), n))
     plain = lambda c: F.replace(F.col(c), F.lit("\x00"), F.lit("")).alias(c)
     return _label_rows(rows).select("file", plain("title"), "ingredients", "directions")
 

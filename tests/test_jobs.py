@@ -200,3 +200,28 @@ def test_train_counts_labels_as_training_does(monkeypatch):
     with pytest.raises(ZeroDivisionError):
         queries.train_counts(None, "")
     assert asked == [0.8]
+
+
+def test_a_file_per_row_in_few_folders(spark, tmp_path):
+    """Files are named by their rows and read by the usual readers; running again replaces them."""
+    from blockloom.sources.corpus import FOLDERS, write_files
+
+    rows = [(f"{i}.html", f"<p>page {i}\u00e9\n</p>") for i in range(300)] + [("none.html", None)]
+    frame = spark.createDataFrame(rows, "name string, value string").repartition(5)
+    for path in (str(tmp_path / "out"), f"file://{tmp_path}/out"):
+        assert write_files(frame, path) == 301
+    folders = list((tmp_path / "out").iterdir())
+    assert len(folders) <= FOLDERS and {f.name for d in folders for f in d.iterdir()} == {r[0] for r in rows}
+    found = {f"{r.file}.html": r.html for r in read_pages(spark, f"{tmp_path}/out/*").collect()}
+    assert {k: found.get(k) for k, _ in rows} == dict(rows)
+    assert write_files(frame.limit(0), str(tmp_path / "other")) == 0
+
+
+def test_label_files_are_read_once_in_tasks_of_hundreds(spark):
+    from blockloom.workload.oracle import ORACLE
+    from blockloom.workload.queries import QUERIES
+
+    found = QUERIES["read_label_files"](spark, "/root/testdata/sf0.001")
+    assert not any("label-files" in f for f in found.inputFiles())  # the stored records, not the files again
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert "read_label_files" in ORACLE
