@@ -8,6 +8,7 @@ from blockloom.plans.extraction import extract
 from blockloom.plans.training import labeled_blocks, load_model, predict, save_model
 from blockloom.sources import corpus
 from blockloom.sources.labels import bad_records, good_records, read_labels, read_packed_labels
+from blockloom.session import stored
 from blockloom.sources.pages import read_pages
 
 
@@ -225,3 +226,36 @@ def test_label_files_are_read_once_in_tasks_of_hundreds(spark):
     assert not any("label-files" in f for f in found.inputFiles())  # the stored records, not the files again
     assert found.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert "read_label_files" in ORACLE
+
+
+def test_tasks_of_boosting_do_not_grow_with_partitions(spark, recipes, monkeypatch):
+    """The rows that trees are fitted to are bounded, and so are the partitions they lie in."""
+    from blockloom.plans import training
+
+    class Seen(Exception):
+        pass
+
+    class Fit:
+        def __init__(self, **options):
+            pass
+
+        def fit(self, rows):
+            raise Seen(rows.rdd.getNumPartitions(), rows.count())
+
+    pages, labels = recipes
+    blocks = stored(training.labeled_blocks(labels, pages))
+    monkeypatch.setattr(training, "OneVsRest", Fit)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "4k")
+        with pytest.raises(Seen) as seen:
+            training.fit_classifier(blocks.repartition(40))
+        assert seen.value.args == (1, blocks.count())
+        monkeypatch.setattr(training, "TASK_ROWS", 1)
+        with pytest.raises(Seen) as seen:
+            training.fit_classifier(blocks.repartition(40))
+        assert 1 < seen.value.args[0] <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
