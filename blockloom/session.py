@@ -63,14 +63,15 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Cut lineage with a table in the shared folder.
 
     Lost executors can not change or lose it, later passes read only the columns
-    they need, and its size is known when Spark picks a join.
+    they need, and its size is known when Spark picks a join. compression: another codec
+    than the session's, as for wide texts.
     """
     path = scratch_path(df.sparkSession, "stored")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -52,7 +52,7 @@ def in_buckets(rows: DataFrame, buckets: list[int] | None) -> DataFrame:
 def write_bucketed(rows: DataFrame, path: str) -> None:
     """Rows (file, ...) in folders of BUCKET, dealt evenly, sorted by file."""
     placed = rows.withColumn(BUCKET, file_bucket(F.col("file"))).repartitionByRange(BUCKET, "file")
-    placed.sortWithinPartitions(BUCKET, "file").write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    placed.sortWithinPartitions(BUCKET, "file").write.mode("overwrite").partitionBy(BUCKET).parquet(path, compression="zstd")
 
 
 def last_marker(spark: SparkSession, path: str, before: int | None = None) -> Row | None:

@@ -19,6 +19,7 @@ from blockloom.sources.state import (
 OPEN = ("pending", "needs_browser")
 NARROW = ("file", "status", "url", "reason", "domain")
 BROADCAST_FILES = 100_000  # names that go to all tasks
+TEXTS = "zstd"  # tables with texts are written small, as every batch writes its own
 
 
 def _one_per_file(labels: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def _one_per_file(labels: DataFrame) -> DataFrame:
 
     Files with several records are found by name first: only their records are grouped.
     """
-    rows = stored(labels)
+    rows = stored(labels, TEXTS)
     several = stored(rows.groupBy("file").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("file").alias("__file")))
     files = several.count()
     if not files:
@@ -37,7 +38,7 @@ def _one_per_file(labels: DataFrame) -> DataFrame:
     text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in labels.columns]))
     record = F.struct(*[F.col(f"`{c}`") for c in labels.columns])
     best = rows.join(several, same, "left_semi").groupBy("file").agg(F.max_by(record, text).alias("m")).select("m.*")
-    return stored(rows.join(several, same, "left_anti").unionByName(best))
+    return stored(rows.join(several, same, "left_anti").unionByName(best), TEXTS)
 
 
 def ingest_batch(
@@ -68,7 +69,7 @@ def ingest_batch(
     found = validate(todo, bodies_of(fetched, files, buckets), suffixes, state, retry_failed, domains)
     # Of what is not valid, nobody reads texts and bodies.
     valid = F.col("status") == "valid"
-    outcome = stored(found.select(*[c if c in NARROW else F.when(valid, F.col(f"`{c}`")).alias(c) for c in found.columns]))
+    outcome = stored(found.select(*[c if c in NARROW else F.when(valid, F.col(f"`{c}`")).alias(c) for c in found.columns]), TEXTS)
     still_open = todo.join(outcome.where(F.col("status").isin(*OPEN)).select("file"), "file", "left_semi")
     still_open.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}-open/batch={batch}")
 
@@ -76,7 +77,7 @@ def ingest_batch(
     start = next_index(spark, state_path, before=batch)
     ids = stored(assign_ids(valid.select("file"), start))
     valid.drop("status", "reason").join(ids, "file").write.mode("overwrite").parquet(
-        f"{corpus_path.rstrip('/')}/batch={batch}"
+        f"{corpus_path.rstrip('/')}/batch={batch}", compression=TEXTS
     )
     processed = valid.select(*NARROW).join(ids, "file").withColumn("status", F.lit("processed")).withColumn(
         "reason", F.lit(None).cast("string")

@@ -573,7 +573,7 @@ def ingest_stream(spark, sf):
     )
     bodies.write_bodies(_fetched(spark, sf).select(named.alias("file"), "html"), f"{root}/bodies")
     fetched = bodies.read_bodies(spark, f"{root}/bodies")
-    labels = stored(_ingest_labels(spark, sf, named))
+    labels = stored(_ingest_labels(spark, sf, named), ingest.TEXTS)
     for batch in range(4):
         lines = _label_lines(labels.where(F.col("batch") == batch))
         lines.write.mode("append").option("compression", "gzip").text(f"{root}/in")
