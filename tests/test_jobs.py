@@ -259,3 +259,29 @@ def test_tasks_of_boosting_do_not_grow_with_partitions(spark, recipes, monkeypat
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_trees_are_fitted_to_all_rows(spark, recipes, monkeypatch):
+    """More rows than were once fitted at most; each task has no more of them than it can keep."""
+    from blockloom.plans import training
+
+    class Seen(Exception):
+        pass
+
+    class Fit:
+        def __init__(self, **options):
+            pass
+
+        def fit(self, rows):
+            sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+            raise Seen(sum(sizes), max(sizes))
+
+    pages, labels = recipes
+    blocks = stored(training.labeled_blocks(labels, pages))
+    many = blocks.join(spark.range(-(-210_000 // blocks.count())).withColumnRenamed("id", "again"))
+    monkeypatch.setattr(training, "OneVsRest", Fit)
+    monkeypatch.setattr(training, "MOST_TASK_ROWS", 10_000, raising=False)
+    with pytest.raises(Seen) as seen:
+        training.fit_classifier(many)
+    n, most = seen.value.args
+    assert n == many.count() >= 210_000 and most <= 11_000
