@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.session import scratch_path
+
 CORRUPT = "_corrupt"
 
 # The fields of a label file. A value of another type is null, it does not spoil the record.
@@ -25,6 +29,9 @@ FIELDS = {
 }
 
 PATTERN = "recipe_*.json"
+LISTED = 100_000  # files that the driver lists at once
+LIST_CACHE = "spark.sql.hive.filesourcePartitionFileCacheSize"
+TASK_FILES = 500  # files that a task reads: Spark would make a task of every 32
 
 
 def stem(file_name):
@@ -53,9 +60,12 @@ def _parsed(rows: DataFrame, key: str = "file") -> DataFrame:
 
 
 def read_labels(
-    spark: SparkSession, path: str, limit_files: int | None = None, pattern: str = PATTERN, name: Column | None = None
+    spark: SparkSession, path: str | list[str], limit_files: int | None = None, pattern: str = PATTERN, name: Column | None = None
 ) -> DataFrame:
-    """Label records with their file stem (file), one JSON file each. name: another key, from the file's _metadata."""
+    """Label records with their file stem (file), one JSON file each. name: another key, from the file's _metadata.
+
+    Spark's driver lists all files, some 2 KB each; stored_labels() reads more than it can hold.
+    """
     own = stem(F.col("_metadata.file_name")) if name is None else name
     files = (
         spark.read.option("pathGlobFilter", pattern)
@@ -67,6 +77,45 @@ def read_labels(
     return _parsed(files)
 
 
+def stored_labels(spark: SparkSession, path: str, pattern: str = PATTERN, name: Column | None = None) -> DataFrame:
+    """What read_labels() gives, as a table in the shared folder, read by jobs that run at once.
+
+    path may be a glob of folders, as write_files() makes them: the driver then lists only so many of them at a time
+    as hold some LISTED files together. A single folder is listed at once.
+    """
+    table = scratch_path(spark, "labels")
+    for folders, n in _portions(spark, path):
+        rows = _unlisted(spark, lambda folders=folders: read_labels(spark, folders, pattern=pattern, name=name))
+        rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, n // TASK_FILES))
+        rows.write.mode("append").parquet(table)
+    return spark.read.schema(rows.schema).parquet(table)
+
+
+def _unlisted(spark: SparkSession, read: Callable[[], DataFrame]) -> DataFrame:
+    """What read() gives, without Spark's driver keeping the files it lists for later readers."""
+    kept = spark.conf.get(LIST_CACHE)
+    spark.conf.set(LIST_CACHE, "0")
+    try:
+        return read()
+    finally:
+        spark.conf.set(LIST_CACHE, kept)
+
+
+def _portions(spark: SparkSession, path: str) -> Iterator[tuple[list[str], int]]:
+    """The folders of a glob, put together to some LISTED files, and how many these are."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held, total = [], 0
+    for found in store.globStatus(at) or []:
+        n = store.getContentSummary(found.getPath()).getFileCount()
+        if held and total + n > LISTED:
+            yield held, total
+            held, total = [], 0
+        held.append(found.getPath().toString())
+        total += n
+    yield held or [path], total
+
+
 def parse_packed_labels(texts: DataFrame) -> DataFrame:
     """Label records of JSON lines, batch or stream, read by the text source."""
     return _parsed(texts.select(F.col("_metadata.file_name").alias("__source"), "value"))

@@ -163,8 +163,8 @@ def _write_files(rows: DataFrame, root: str) -> int:
 
 
 def _in_tasks(files: DataFrame, n: int) -> DataFrame:
-    """Rows of n small files, some hundreds of them to a task: Spark would make a task of every 32."""
-    return files.coalesce(max(files.sparkSession.sparkContext.defaultParallelism, n // 500))
+    """Rows of n small files, some hundreds of them to a task."""
+    return files.coalesce(max(files.sparkSession.sparkContext.defaultParallelism, n // label_files.TASK_FILES))
 
 
 @query
@@ -173,8 +173,8 @@ def read_label_files(spark, sf):
     root = scratch_path(spark, "label-files")
     labels = inputs.candidate_labels(texts(spark, sf, "documents", "doc_id", "text"))
     lines = _label_lines(labels.withColumn("n", F.col("doc_id")), whole=True)
-    n = _write_files(lines.select(F.concat("stem", F.lit(".json")).alias("name"), "value"), root)
-    rows = stored(_in_tasks(label_files.read_labels(spark, f"{root}/*"), n))
+    _write_files(lines.select(F.concat("stem", F.lit(".json")).alias("name"), "value"), root)
+    rows = label_files.stored_labels(spark, f"{root}/*")
     plain = lambda c: F.replace(F.col(c), F.lit("\x00"), F.lit("")).alias(c)
     return _label_rows(rows).select("file", plain("title"), "ingredients", "directions")
 

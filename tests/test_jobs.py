@@ -285,3 +285,25 @@ def test_trees_are_fitted_to_all_rows(spark, recipes, monkeypatch):
         training.fit_classifier(many)
     n, most = seen.value.args
     assert n == many.count() >= 210_000 and most <= 11_000
+
+
+def test_folders_of_label_files_are_listed_in_portions(spark, tmp_path, monkeypatch):
+    """The driver never lists all files of a glob of folders at once; the rows are those of one reading."""
+    from blockloom.sources import labels
+
+    names = [f"recipe_{i:03d}" for i in range(60)]
+    for i, name in enumerate(names):
+        folder = tmp_path / f"f{i % 6}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{name}.json").write_text('{"title": "' + name + ('"}' if i % 7 else ""))
+    (tmp_path / "f0" / "other.json").write_text("{}")
+    (tmp_path / "none").mkdir()
+    asked, plain = [], labels.read_labels
+    whole = plain(spark, f"{tmp_path}/*").collect()
+    monkeypatch.setattr(labels, "read_labels", lambda s, p, **o: asked.append(plain(s, p, **o)) or asked[-1])
+    monkeypatch.setattr(labels, "LISTED", 21, raising=False)
+    found = labels.stored_labels(spark, f"{tmp_path}/*")
+    assert sorted(found.collect(), key=str) == sorted(whole, key=str) and len(whole) == 60 and found.columns == asked[0].columns
+    assert len(asked) == 3 and all(len(a.inputFiles()) <= 21 for a in asked)
+    assert labels.stored_labels(spark, str(tmp_path / "f1")).count() == 10
+    assert labels.stored_labels(spark, str(tmp_path / "none")).count() == 0
