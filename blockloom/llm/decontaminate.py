@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import content_key, table, words
+from blockloom.session import stored
 
 # The masks, and marks that do not count.
 MASKS = ("11010011011", "1110110101", "1011100111")
@@ -63,13 +64,19 @@ def seeds(items: DataFrame, lengths: list[int], rule: Rule = Rule()) -> DataFram
     return rows.where("seed is not null").select("seed", "item_id", "item_at", "n")
 
 
+def _near(rule: Rule) -> tuple[Column, Column]:
+    """The words of the document that the stretch around a hit may meet, and the place of the first."""
+    first = F.greatest(F.lit(0), F.col("at") - rule.stretch)
+    return F.slice("w", first + 1, 2 * rule.stretch + len(MASKS[0])), first
+
+
 def _agreeing(rule: Rule) -> tuple[Column, Column]:
     """Agreeing words in the stretch of the item around a hit, and the words it has."""
     length = F.least(F.col("n"), F.lit(rule.stretch))
     begin = F.greatest(F.lit(0), F.least(F.col("item_at") - (rule.stretch - len(MASKS[0])) // 2, F.col("n") - length))
     there = F.col("at") - F.col("item_at") + begin  # in the document; before its start if negative
     skip = F.greatest(F.lit(0), -there)
-    own = F.slice("w", there + skip + 1, length - skip)
+    own = F.slice("near", there + skip - F.col("first") + 1, length - skip)
     item = F.slice("item_w", begin + skip + 1, length - skip)
     equal = F.zip_with(own, item, lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     return F.aggregate(equal, F.lit(0), lambda a, x: a + x), length
@@ -88,23 +95,25 @@ def contaminations(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> Da
     masks = [*MASKS, *("1" * k for k in lengths)]
     blocks = -(-total * len(MASKS) * 5 // (4 * SEEDS)) or 1
 
-    rows = docs.select("doc_id", "text", plain_words(F.col("text")).alias("w"))
+    rows = docs.select("doc_id", content_key(F.col("text"), "key"), plain_words(F.col("text")).alias("w"))
     last = F.size("w") - min(map(len, masks))
-    rows = rows.select("doc_id", "text", "w", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
-    rows = rows.select("doc_id", "text", "w", "at", F.explode(F.array(*_hashes("w", F.col("at"), masks))).alias("seed"))
+    rows = rows.select("doc_id", "key", "w", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
+    rows = rows.select("doc_id", "key", "w", "at", F.explode(F.array(*_hashes("w", F.col("at"), masks))).alias("seed"))
 
+    near, first = _near(rule)
     found = []
     for block in range(blocks):
         own = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else tests
         hits = rows.join(F.broadcast(seeds(own, lengths, rule)), "seed")
+        # A document's hits are in memory together, so they leave its text and most of its words behind.
+        hits = hits.select("doc_id", "key", "at", "item_id", "item_at", "n", near.alias("near"), first.alias("first"))
         hits = hits.join(F.broadcast(own.select("item_id", F.col("w").alias("item_w"))), "item_id")
         agree, length = _agreeing(rule)
-        hits = hits.select("doc_id", "text", "item_id", agree.alias("agree"), length.alias("length"), is_short.alias("short"))
+        hits = hits.select("doc_id", "key", "item_id", agree.alias("agree"), length.alias("length"), is_short.alias("short"))
         hits = hits.where(F.col("agree") >= F.when(F.col("short"), F.col("length")).otherwise(F.ceil(rule.share * F.col("length"))))
-        hits = hits.select("doc_id", content_key(F.col("text"), "key"), "item_id", (F.col("agree") / F.col("length")).alias("share"))
-        found.append(
-            hits.groupBy("doc_id", "key", "item_id").agg(F.count("*").alias("hits"), F.max("share").alias("overlap"))
-        )
+        hits = hits.select("doc_id", "key", "item_id", (F.col("agree") / F.col("length")).alias("share"))
+        counted = hits.groupBy("doc_id", "key", "item_id").agg(F.count("*").alias("hits"), F.max("share").alias("overlap"))
+        found.append(stored(counted) if blocks > 1 else counted)  # a block after the other, so that one is held at a time
     return reduce(DataFrame.unionAll, found)
 
 

@@ -97,6 +97,21 @@ def items(spark):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
+def test_hits_leave_the_text_behind(spark, items):
+    """A document's hits are rows that are in memory together: their size must not be the document's."""
+    docs = spark.createDataFrame([(1, f"{ITEM} " * 200), (2, f"{invented(9, 300)} {ITEM}"), (3, ITEM)], "doc_id long, text string")
+    found = decontaminate.contaminations(docs, items)
+
+    def joins(node):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        own = [{a.name() for a in (b.output().apply(i) for i in range(b.output().size()))} for b in below]
+        return ([own[0]] if any("item_w" in names for names in own[1:]) else []) + [x for b in below for x in joins(b)]
+
+    rows = joins(found._jdf.queryExecution().optimizedPlan())
+    assert rows and not any({"text", "w"} & names for names in rows)
+    assert {(r.doc_id, r.item_id, r.overlap) for r in found.collect()} == {(1, 0, 1.0), (2, 0, 1.0), (3, 0, 1.0)}
+
+
 def test_contaminations(spark, items, clashing):
     words = ITEM.split()
     tolerant = [w if i not in (4, 12) else "other" for i, w in enumerate(words)]
